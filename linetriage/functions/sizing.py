@@ -36,14 +36,17 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined.drop(*[f"__{k}" for k in keys])
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+def attach(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, sizes: DataFrame | None = None
+) -> DataFrame:
     """Give every row the columns of its group; ``table`` has one row per key and ``weight`` rows behind it.
 
     A group that alone would overfill a shuffle partition is joined by broadcast (weights
     add up to the row count, so there are at most as many such groups as partitions);
-    all other groups go through a shuffle join.
+    all other groups go through a shuffle join. ``sizes`` may give a cheaper table with the
+    same weights.
     """
-    stats = table.agg(F.sum(weight).alias("total"), F.max(weight).alias("top")).first()
+    stats = (sizes if sizes is not None else table).agg(F.sum(weight).alias("total"), F.max(weight).alias("top")).first()
     if not stats["total"]:
         return join_same(rows, table, keys)
     parts = bucket_count(rows.sparkSession)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from linetriage.functions.columns import count_if, ratio, ratio_or_zero
 from linetriage.operators.ordering import Cuts, running_by_value
+from linetriage.operators.quantiles import quantiles
 
 # Edges of the reliability bins and the clip of log-loss probabilities.
 RELIABILITY_EDGES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
@@ -138,6 +139,18 @@ def slices(
     })
 
 
+def fold_slices(df: DataFrame, conditions: Mapping[str, str], top: str = "top") -> DataFrame:
+    """Per fold, segment, condition and side of the training median: rows, mean score and what the budget took."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("condition"), F.col(c).alias("side")) for n, c in conditions.items()])
+    long = df.select("fold", "segment", "label", "score", top, F.explode(pairs).alias("_p")).select("*", "_p.*")
+    yes, hit = F.col(top), F.col("label") == 1
+    return long.groupBy("fold", "segment", "condition", "side").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("label1"), F.avg("score").alias("mean_score"),
+        count_if(yes).alias("top10_count"), count_if(yes & hit).alias("top10_true_positive"),
+        count_if(yes & ~hit).alias("top10_false_positive"), count_if(~yes & hit).alias("top10_false_negative"),
+    )
+
+
 def selection_slices(
     df: DataFrame, conditions: Sequence[str], dims: Sequence[str] = ("model", "seed"), group: str = "group_id"
 ) -> DataFrame:
@@ -214,6 +227,30 @@ def best_thresholds(df: DataFrame, scope: Sequence[str], required_recall: float
     )
 
 
+def best_f2_threshold(df: DataFrame, scope: Sequence[str], points: int = 201) -> DataFrame:
+    """Best F2 over evenly spaced score quantiles; the lowest threshold wins ties.
+
+    What a threshold catches is a range sum over the score axis. Thresholds enter the score
+    table as rows without weight, so one running sum answers all of them.
+    """
+    scope = list(scope)
+    trial = quantiles(df, scope, "score", [i / (points - 1) for i in range(points)])
+    rows = df.select(*scope, "score", F.lit(1).alias("w"), F.col("label").alias("y"), F.lit(False).alias("t"))
+    marks = trial.select(
+        *scope, F.col("quantile").alias("score"), F.lit(0).alias("w"), F.lit(0).alias("y"), F.lit(True).alias("t")
+    )
+    sums = {"n": F.col("w"), "pos": F.col("y"), "marks": F.col("t").cast("int")}
+    table = running_by_value(rows.unionByName(marks), scope, "score", sums).where(F.col("marks") > 0)
+    k, tp = F.col("n_before") + F.col("n"), F.col("pos_before") + F.col("pos")
+    scored = table.withColumn("f2", ratio_or_zero(5 * tp, 4 * F.col("pos_total") + k)).withColumn("_k", k)
+    best = scored.groupBy(*scope).agg(
+        F.max(F.struct(F.round("f2", 12).alias("a"), (-F.col("score")).alias("b"), "f2", "score", "_k")).alias("m")
+    )
+    return best.select(
+        *scope, F.col("m.score").alias("f2_threshold"), F.col("m.f2").alias("f2"), F.col("m._k").alias("inspected")
+    )
+
+
 def value_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
 

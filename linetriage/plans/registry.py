@@ -31,6 +31,6 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> dict[str, Entry]:
-    from linetriage.plans import queue_queries  # noqa: F401
+    from linetriage.plans import metric_queries, queue_queries, split_queries  # noqa: F401
 
     return REGISTRY
