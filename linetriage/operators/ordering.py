@@ -236,3 +236,25 @@ def rows_at_rank(
         candidates.withColumn("_at", F.row_number().over(inside) + F.col("_before"))
         .where(F.col("_at") == F.col("k")).drop("_at", "_before", *BUCKETS)
     )
+
+
+def previous_row(
+    df: DataFrame, scope: Sequence[str], value: str, tie: str, take: Sequence[str], prefix: str = "previous_"
+) -> DataFrame:
+    """Columns of the row just before in (value, tie) order within each scope, null for the first row.
+
+    Buckets are ordered; the first row of a bucket takes the last row of the latest bucket before it.
+    """
+    cuts = find_cuts(df, value, tie)
+    ready = with_buckets(df, cuts, value, (tie,))
+    keys = [*scope, *BUCKETS]
+    row = F.struct(*take)
+    inside = Window.partitionBy(*keys).orderBy(value, tie)
+    lasts = ready.groupBy(*keys).agg(F.max_by(row, F.struct(value, tie)).alias("_last"))
+    across = Window.partitionBy(*(scope or [F.lit(0)])).orderBy(*_bucket_order(False))
+    carried = small_table(lasts.select(*keys, F.lag("_last").over(across).alias("_carried")))
+    joined = ready.withColumn("_near", F.lag(row).over(inside)).join(carried, keys)
+    found = joined.withColumn("_found", F.coalesce("_near", "_carried"))
+    return found.withColumns({f"{prefix}{c}": F.col(f"_found.{c}") for c in take}).drop(
+        "_near", "_carried", "_found", *BUCKETS
+    )

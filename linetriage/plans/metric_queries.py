@@ -143,7 +143,7 @@ SELECT model, seed, segment, count(*) AS rows, round(avg((score - label) * (scor
   round(avg(-(label * ln(s) + (1 - label) * ln(1 - s))), 6) AS log_loss, round(avg(score), 6) AS mean_probability,
   round(coalesce(2.0::DOUBLE * count(*) FILTER (score >= 0.5 AND label = 1)
     / nullif(count(*) FILTER (score >= 0.5) + sum(label), 0), 0), 6) AS f1_at_0_5
-FROM p GROUP BY ROLLUP (model, seed, segment) HAVING model IS NOT NULL AND seed IS NOT NULL AND segment IS NOT NULL""")
+FROM p GROUP BY model, seed, segment""")
 def prob_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(quality.probability_quality(views.oof(spark, sf), [*DIMS, "segment"]))
 

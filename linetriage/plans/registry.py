@@ -31,6 +31,8 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> dict[str, Entry]:
-    from linetriage.plans import metric_queries, queue_queries, split_queries  # noqa: F401
+    from linetriage.plans import (  # noqa: F401
+        drift_queries, join_queries, metric_queries, queue_queries, resample_queries, rule_queries, split_queries,
+    )
 
     return REGISTRY
