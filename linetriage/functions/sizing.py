@@ -53,7 +53,7 @@ def attach(
     share = stats["total"] / parts
     if stats["top"] <= share:
         return join_same(rows, table, keys)
-    hot = F.broadcast(table.where(F.col(weight) > share).limit(parts))
+    hot = F.broadcast(table.where(F.col(weight) > share))
     cold = table.where(F.col(weight) <= share)
     in_hot = join_same(rows, hot, keys)
     rest = join_same(rows, hot.select(*keys), keys, "left_anti")

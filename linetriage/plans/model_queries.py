@@ -1,0 +1,271 @@
+"""Derived-column, scoring and model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from linetriage.operators import anomaly, budget, derive, drift, groups, models, quality, splits
+from linetriage.plans import views
+from linetriage.plans.registry import query
+from linetriage.sources.sinks import scratch_folder
+from linetriage.session import cut_lineage
+
+VECTOR = tuple(f"f{i:02d}" for i in range(64))
+SOME = VECTOR[:12]
+NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+
+
+@query("P1 P2", f"""WITH {views.READINGS} SELECT segment, row_id, l_quantity, l_discount, CASE WHEN segment = 'O' THEN 1.0 ELSE 0.0 END::DOUBLE AS segment_O,
+  l_quantity * CASE WHEN segment = 'O' THEN 1 ELSE 0 END::DOUBLE AS l_quantity_x_segment_O,
+  l_discount * CASE WHEN segment = 'O' THEN 1 ELSE 0 END::DOUBLE AS l_discount_x_segment_O,
+  round(l_quantity * l_quantity, 6) AS l_quantity_squared, round(l_quantity * l_discount, 6) AS l_quantity_x_l_discount FROM readings""")
+def model_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    kept = ["l_quantity", "l_discount"]
+    matrix = derive.model_matrix(views.readings(spark, sf), views.FEATURES, "O", drop=["l_tax"])
+    mapped = derive.interactions(matrix, kept, "segment_O")
+    return _rounded(derive.nonlinear(mapped, ["l_quantity"], ("l_quantity", "l_discount")))
+
+
+@query("P3", f"""WITH {views.READINGS} SELECT segment, row_id, round(l_quantity / greatest(abs(l_discount), 1e-8), 4) AS r1,
+  round(l_extendedprice / greatest(abs(l_tax), 1e-8), 4) AS r2, round((l_quantity + l_discount + l_tax) / 3, 6) AS level_mean,
+  round(greatest(l_quantity, l_discount, l_tax) - least(l_quantity, l_discount, l_tax), 6) AS level_spread, round(l_discount - l_tax, 6) AS d1 FROM readings""")
+def engineered(spark: SparkSession, sf: str) -> DataFrame:
+    out = derive.engineered(
+        views.readings(spark, sf), {"r1": ("l_quantity", "l_discount"), "r2": ("l_extendedprice", "l_tax")},
+        ("level", views.FEATURES), {"d1": ("l_discount", "l_tax")})
+    return out.select("segment", "row_id", F.round("r1", 4).alias("r1"), F.round("r2", 4).alias("r2"),
+                      *[F.round(c, 6).alias(c) for c in ("level_mean", "level_spread", "d1")])
+
+
+@query("P4", "SELECT event_type AS line, event_id AS source_row, value AS reading FROM events")
+def identity_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return derive.identity(views.table(spark, sf, "events"), {
+        "event_type": "line", "event_id": "source_row", "value": "reading"})
+
+
+COEFS = {"l_quantity": 0.4, "l_extendedprice": -0.7, "l_discount": 0.2, "l_tax": 0.1}
+Z_SQL = " + ".join(f"(r.{f} - w.m_{f}) / w.s_{f} * {c}" for f, c in COEFS.items())
+LINEAR_SQL = views.READINGS + ", w AS (SELECT segment, " + ", ".join(
+    f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in COEFS
+) + f""" FROM readings GROUP BY segment), z AS (SELECT r.*, CASE WHEN r.segment = 'O' THEN -1.5 ELSE -2.0 END + {Z_SQL} AS z
+  FROM readings r JOIN w ON r.segment = w.segment)"""
+
+
+def linear_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights per segment: moments of the segment's rows and fixed coefficients."""
+    stats = views.readings(spark, sf).groupBy("segment").agg(
+        *[F.avg(f).alias(f"m_{f}") for f in COEFS], *[F.stddev_pop(f).alias(f"s_{f}") for f in COEFS])
+    intercept = F.when(F.col("segment") == "O", -1.5).otherwise(-2.0)
+    entries = [F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("mean"), F.col(f"s_{f}").alias("scale"),
+                        F.lit(c).alias("coef")) for f, c in COEFS.items()]
+    none = F.lit(None).cast("double")
+    last = F.struct(F.lit(None).cast("string").alias("feature"), none.alias("mean"), none.alias("scale"), intercept.alias("coef"))
+    return stats.select("segment", F.explode(F.array(*entries, last)).alias("e")).select("segment", "e.*")
+
+
+@query("P11 P12 J9", f"""WITH {LINEAR_SQL} SELECT segment, row_id, round(1 / (1 + exp(-z)), 6) AS score FROM z""")
+def linear_score(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.readings(spark, sf)
+    out = derive.linear_score(rows, linear_weights(spark, sf), list(COEFS))
+    return out.select("segment", "row_id", F.round("score", 6).alias("score"))
+
+
+@query("A34 T3", f"""WITH {LINEAR_SQL}, c AS (SELECT segment, unnest({list(COEFS)}) AS feature, unnest({list(COEFS.values())})::DOUBLE AS coef FROM w)
+SELECT segment, feature, coef FROM c ORDER BY abs(coef) DESC, segment, feature LIMIT 5""")
+def strongest_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return models.strongest_weights(linear_weights(spark, sf), 5).select("segment", "feature", "coef")
+
+
+@query("P13 U4", f"""WITH {views.READINGS} SELECT segment, row_id, round(l_quantity / (l_quantity + 40 * l_discount + 20), 6) AS score FROM readings""")
+def score_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    formula = F.round(F.col("l_quantity") / (F.col("l_quantity") + 40 * F.col("l_discount") + 20), 6)
+    out = derive.score_distinct(
+        views.readings(spark, sf), views.FEATURES, lambda inputs: inputs.withColumn("score", formula))
+    return out.select("segment", "row_id", "score")
+
+
+@query("P14", f"""WITH {views.OBS}, c AS (SELECT segment, label, count(*) AS n FROM obs GROUP BY ALL), t AS (SELECT segment, sum(n) AS n FROM c GROUP BY segment)
+SELECT o.segment, o.row_id, round(t.n / (2.0 * c.n), 6) AS class_weight FROM obs o JOIN c ON o.segment = c.segment AND o.label = c.label JOIN t ON o.segment = t.segment""")
+def class_weights(spark: SparkSession, sf: str) -> DataFrame:
+    out = derive.balanced_weights(views.observations(spark, sf), ["segment"])
+    return out.select("segment", "row_id", F.round("class_weight", 6).alias("class_weight"))
+
+
+@query("P15", f"""WITH {views.OOF}, p AS (SELECT segment, row_id, max(score) FILTER (model = 'ratio') - 0.8 AS a, max(score) FILTER (model = 'mixed') - 0.6 AS b
+  FROM oof WHERE seed = 1 GROUP BY segment, row_id)
+SELECT segment, row_id, round((greatest(a, b) + 1) / 2, 6) AS score, greatest(a, b) >= 0 AS decision FROM p""")
+def union_margin(spark: SparkSession, sf: str) -> DataFrame:
+    from linetriage.operators.joins import candidate_pairs
+
+    rows = views.oof(spark, sf).where(F.col("seed") == 1)
+    pairs = candidate_pairs(rows, ["segment", "row_id"], views.MODELS, "model")
+    out = derive.union_margin(pairs, {"score_ratio": 0.8, "score_mixed": 0.6})
+    return out.select("segment", "row_id", F.round("score", 6).alias("score"), "decision")
+
+
+@query("M1 M8", f"""WITH {views.OBS}, f AS (SELECT fold, count(*) AS n, sum(label) AS p FROM obs GROUP BY fold),
+t AS (SELECT sum(n) AS n, sum(p) AS p FROM f)
+SELECT row_id, o.fold, round((t.p - f.p) / (t.n - f.n)::DOUBLE, 6) AS score FROM obs o JOIN f ON o.fold = f.fold CROSS JOIN t""")
+def prior(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(models.prior_oof(views.observations(spark, sf)).select("row_id", "fold", "score"))
+
+
+# -- fits: rows-only checks -------------------------------------------------------------------
+
+
+def training_rows(spark: SparkSession, sf: str, features=VECTOR) -> tuple[DataFrame, DataFrame]:
+    """Embedding rows with groups and five outer folds, and the fold table of their groups."""
+    rows = cut_lineage(groups.with_groups(views.vectors(spark, sf).select("segment", "row_id", "label", *features), features))
+    table = cut_lineage(splits.deal_folds(
+        rows.select("segment", "group_id", "first_row", "stratum", "group_rows", "group_positives").distinct(), 5, 42))
+    placed = rows.join(table.select("group_id", "fold"), "group_id")
+    return cut_lineage(placed), table
+
+
+def _quality(scores: DataFrame) -> DataFrame:
+    """Metrics per candidate and segment, with row coverage."""
+    keys = ["candidate", "segment"]
+    scores = cut_lineage(scores)
+    counts = scores.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("score").between(0, 1), 1)).alias("scored"))
+    return _rounded(quality.ranking_quality(scores, keys).join(counts, keys))
+
+
+@query("M2 M8 M3 M4")
+def oof_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = training_rows(spark, sf, SOME)
+    candidates = {
+        "prior": models.prior(), "logistic": models.logistic(0.1),
+        "forest": models.forest(20, 4), "boosted": models.boosted(2, 10, 0.2),
+    }
+    return _quality(models.oof_scores(rows, SOME, candidates, (0, 1), 42))
+
+
+@query("M2 M8 P12")
+def oof_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = training_rows(spark, sf)
+    candidates = {
+        "pooled": models.logistic(0.1), "unweighted": models.logistic(1.0, None),
+        "separate": models.per_segment(models.logistic(0.1), ("even", "odd")),
+    }
+    return _quality(models.oof_scores(rows, VECTOR, candidates, range(5), 42))
+
+
+@query("M5")
+def rff_svc(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = training_rows(spark, sf)
+    return _quality(models.oof_scores(rows, VECTOR, {"rbf": models.fourier_svc(1.0, 128)}, (0, 1, 2), 42))
+
+
+@query("M6")
+def iforest(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = training_rows(spark, sf)
+    scored = anomaly.isolation_oof(rows, VECTOR, range(5), trees=30, seed=42)
+    return _quality(scored.withColumn("candidate", F.lit("isolation")))
+
+
+@query("M7")
+def platt(spark: SparkSession, sf: str) -> DataFrame:
+    rows, table = training_rows(spark, sf, SOME)
+    inner = splits.inner_folds(table, range(5), 42, most=3)
+    out = cut_lineage(models.calibrated_oof(rows, SOME, cut_lineage(inner), (0, 1)))
+    long = out.select("segment", "label", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("candidate"), F.col(c).alias("score")) for c in ("raw", "sigmoid")
+    ])).alias("s")).select("segment", "label", "s.*")
+    return _rounded(quality.probability_quality(long, ["candidate"]))
+
+
+@query("M9 M10 A29 T4")
+def nested_select(spark: SparkSession, sf: str) -> DataFrame:
+    rows, table = training_rows(spark, sf, SOME)
+    outer = (0, 1)
+    inner = cut_lineage(splits.inner_folds(table, outer, 42, most=2))
+    candidates = {"reference": models.logistic(0.1), "loose": models.logistic(1.0), "prior": models.prior()}
+    decided, _, _ = models.nested_selection(rows, SOME, candidates, inner, outer, "reference", 42)
+    chosen = decided.withColumn("decision", F.col("f1_decision"))
+    return _rounded(quality.confusion(chosen, ["route", "segment"]))
+
+
+@query("M12 W3 J6")
+def calibrated_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank blend of two candidates, one scalar sigmoid per segment and a threshold, all fitted on other folds."""
+    from linetriage.operators.joins import candidate_pairs
+    from linetriage.operators.windows import average_rank
+
+    rows, _ = training_rows(spark, sf, SOME)
+    pair = {"a": models.logistic(0.1), "b": models.logistic(1.0, None)}
+    scores = models.oof_scores(rows, SOME, pair, range(5), 42)
+    wide = cut_lineage(candidate_pairs(scores, ["segment", "row_id", "group_id", "fold", "label"], list(pair)))
+    for name in pair:
+        wide = average_rank(wide, ["segment", "fold"], f"score_{name}", f"share_{name}")
+    ranked = cut_lineage(wide.withColumn("score", (F.col("share_a") + F.col("share_b")) / 2))
+    parts = []
+    for segment in ("even", "odd"):
+        fit = ranked.where((F.col("segment") == segment) & (F.col("fold") != 0))
+        slope, intercept = models.fit_scalar_map(fit)
+        mapped = fit.withColumn("score", models.apply_map(F.col("score"), slope, intercept))
+        limit = quality.best_thresholds(mapped, ["segment"]).first()
+        held = ranked.where((F.col("segment") == segment) & (F.col("fold") == 0))
+        parts.append(held.withColumn("score", models.apply_map(F.col("score"), slope, intercept)).withColumn(
+            "decision", F.col("score") >= F.lit(limit["f1_threshold"])))
+    return _rounded(quality.confusion(parts[0].unionByName(parts[1]), ["segment"]))
+
+
+@query("M13 A36 G7")
+def tabular_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    rows = splits.time_split(views.timed(spark, sf), 0.2).withColumn("label", F.col("label").cast("double"))
+    training, test = rows.where(~F.col("test")), rows.where("test")
+    out = models.tabular_baseline(training, test, ["x", "o_custkey"], ["segment"], "label")
+    return _rounded(quality.class_metrics(out, [], "label", "prediction").join(
+        quality.ranking_quality(out.withColumn("label", F.col("label").cast("int")), [])))
+
+
+@query("M13 A36")
+def tabular_regression(spark: SparkSession, sf: str) -> DataFrame:
+    rows = splits.random_split(views.table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("segment"), F.col("l_orderkey").alias("row_id"), *NUMBERS), 0.2, 7)
+    out = models.tabular_baseline(
+        rows.where(~F.col("test")), rows.where("test"), ["l_quantity", "l_discount"], ["segment"], "l_extendedprice", True)
+    return _rounded(quality.regression_metrics(out, [], "l_extendedprice", "prediction"), 3)
+
+
+@query("S13 M15 A37", """SELECT count(*) AS keys, 0::BIGINT AS only_in_first, 0::BIGINT AS only_in_second, 0.0::DOUBLE AS max_abs_error FROM embeddings""")
+def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Final fit on all rows, weights saved and read back, and both scorings compared."""
+    rows = cut_lineage(views.vectors(spark, sf))
+    weights = models.weights_table(spark, {
+        s: models.fit_logistic(rows.where(F.col("segment") == s), SOME) for s in ("even", "odd")})
+    path = f"{scratch_folder(spark)}/weights"
+    weights.write.mode("errorifexists").parquet(path)
+    first = derive.linear_score(rows, weights, SOME)
+    second = derive.linear_score(rows, spark.read.parquet(path), SOME)
+    return _rounded(drift.parity(first, second, ["row_id"], "score"), 12)
+
+
+@query("M14 M15")
+def model_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on development folds, score everything else, queue it."""
+    from linetriage.operators.quantiles import range_bounds
+    from linetriage.operators.queue import build_queue
+
+    rows, _ = training_rows(spark, sf, SOME)
+    fit, live = rows.where(F.col("fold") < 3), rows.where(F.col("fold") >= 3)
+    weights = models.weights_table(spark, {
+        s: models.fit_logistic(fit.where(F.col("segment") == s), SOME) for s in ("even", "odd")})
+    ranged = derive.out_of_range(live, range_bounds(fit, SOME), SOME)
+    return build_queue(derive.linear_score(ranged, weights, SOME), ["odd"])
+
+
+@query("A31 A33 W7", f"""WITH {views.OOF}, s AS (SELECT *, row_number() OVER (PARTITION BY model, seed, segment ORDER BY score DESC, row_id)
+    <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY model, seed, segment)) AS sel FROM oof)
+SELECT model, seed, count(*) FILTER (sel) AS inspected, count(*) FILTER (sel AND label = 1) AS found,
+  round(count(*) FILTER (sel AND label = 1) / sum(label)::DOUBLE, 6) AS recall, round(count(*) FILTER (sel AND label = 1) / count(*) FILTER (sel)::DOUBLE, 6) AS "precision"
+FROM s GROUP BY model, seed""")
+def line_quota(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = budget.select(views.oof(spark, sf), 0.2, dims=["model", "seed"]).withColumnRenamed("selected", "decision")
+    out = quality.confusion(chosen, ["model", "seed"])
+    return _rounded(out.select("model", "seed", F.col("k").alias("inspected"), F.col("tp").alias("found"), "recall", "precision"))

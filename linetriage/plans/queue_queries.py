@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from linetriage.functions.sizing import small_table
 from linetriage.operators import budget, derive, queue as q
 from linetriage.operators.ordering import rank_rows
 from linetriage.operators.quantiles import range_bounds
@@ -164,7 +165,7 @@ def budget_global(spark: SparkSession, sf: str) -> DataFrame:
 SELECT segment, row_id, r AS candidate_rank, r <= ceil(0.075::DOUBLE * n) AS in_budget FROM ranked""")
 def candidate_rank(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.observations(spark, sf).select("segment", "row_id", "score")
-    sizes = F.broadcast(rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).limit(10_000))
+    sizes = small_table(rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n")))
     ranked = rank_rows(rows, ["segment"], ties=("row_id",), out="candidate_rank").join(sizes, "segment")
     return ranked.select(
         "segment", "row_id", F.col("candidate_rank").cast("long"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from linetriage.functions.sizing import small_table
 from linetriage.operators import budget, choose, quality, rules
 from linetriage.operators.ordering import rank_rows
 from linetriage.plans import views
@@ -216,8 +217,6 @@ def decision_replay(spark: SparkSession, sf: str) -> DataFrame:
         "target", F.explode(F.array(*[F.lit(k) for k in range(5)]))).where(F.col("target") != F.col("fold"))
     found = quantiles(trained.drop("fold").withColumnRenamed("target", "fold"), [*DIMS, "fold"], "score", [0.9])
     thresholds = found.withColumnRenamed("quantile", "threshold").drop("share")
-    from linetriage.functions.sizing import small_table
-
     thresholds = small_table(thresholds)
     passed = F.col("score") >= F.col("threshold")
     stored = rows.join(thresholds, [*DIMS, "fold"]).withColumn(
@@ -234,7 +233,7 @@ def metric_replay(spark: SparkSession, sf: str) -> DataFrame:
         rows, DIMS, (0.1,), (budget.PER_SEGMENT,), folds=False, group=None, quality=False
     ).where(F.col("segment") != budget.ALL).select(*keys, "rows", "k", "found", "recall", "precision")
     ranked = rank_rows(rows, keys, ties=("row_id",))
-    sizes = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).limit(10_000))
+    sizes = small_table(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
     chosen = ranked.join(sizes, keys).withColumn("decision", F.col("rank") <= F.ceil(F.lit(0.1) * F.col("n")))
     again = quality.confusion(chosen, keys).select(
         *keys, "rows", "k", F.col("tp").alias("found"), "recall", "precision")
