@@ -52,34 +52,37 @@ def engineered(
     return df.withColumns(new)
 
 
+def _aligned(table: DataFrame, keys: Sequence[str], features: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """One row per key with an array of structs in the order of ``features``, so a row's lookup is by position."""
+    by_name = table.where(F.col("feature").isNotNull()).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", F.struct(*fields)))).alias("_map")
+    )
+    names = F.array(*[F.lit(f) for f in features])
+    return by_name.select(*keys, F.transform(names, lambda n: F.try_element_at("_map", n)).alias("_by_feature"))
+
+
 def condition_bands(df: DataFrame, medians: DataFrame, features: Sequence[str]) -> DataFrame:
     """Side of the training median of the row's own (fold, segment)."""
-    wide = medians.groupBy("fold", "segment").agg(*[
-        F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"_median_{f}") for f in features
-    ])
-    joined = df.join(small_table(wide), ["fold", "segment"], "left")
-    bands = {
-        f"band_{f}": F.when(F.col(f) <= F.col(f"_median_{f}"), "le_train_median").when(
-            F.col(f) > F.col(f"_median_{f}"), "gt_train_median")
-        for f in features
-    }
-    return joined.withColumns(bands).drop(*[f"_median_{f}" for f in features])
+    wide = small_table(_aligned(medians, ["fold", "segment"], features, ["median"]))
+    joined = df.join(wide, ["fold", "segment"], "left")
+    bands = {}
+    for i, f in enumerate(features):
+        median = F.col("_by_feature")[i]["median"]
+        bands[f"band_{f}"] = F.when(F.col(f) <= median, "le_train_median").when(F.col(f) > median, "gt_train_median")
+    return joined.withColumns(bands).drop("_by_feature")
 
 
 def out_of_range(df: DataFrame, bounds: DataFrame, features: Sequence[str], limit: int = 3) -> DataFrame:
     """Count the features outside their segment's bounds and flag rows with ``limit`` or more."""
-    wide = bounds.groupBy("segment").agg(*[
-        F.max(F.when(F.col("feature") == f, F.col(side))).alias(f"_{side}_{f}")
-        for f in features for side in ("low", "high")
-    ])
-    joined = df.join(small_table(wide), "segment", "left")
+    wide = small_table(_aligned(bounds, ["segment"], features, ["low", "high"]))
+    joined = df.join(wide, "segment", "left")
     outside = add_up([
-        F.when((F.col(f) < F.col(f"_low_{f}")) | (F.col(f) > F.col(f"_high_{f}")), 1).otherwise(0)
-        for f in features
+        F.when((F.col(f) < F.col("_by_feature")[i]["low"]) | (F.col(f) > F.col("_by_feature")[i]["high"]), 1).otherwise(0)
+        for i, f in enumerate(features)
     ])
     return joined.withColumn("ood_feature_count", outside).withColumn(
         "ood_flag", F.col("ood_feature_count") >= limit
-    ).drop(*[f"_{side}_{f}" for f in features for side in ("low", "high")])
+    ).drop("_by_feature")
 
 
 def linear_margin(df: DataFrame, weights: DataFrame, features: Sequence[str], out: str = "z") -> DataFrame:
@@ -88,31 +91,26 @@ def linear_margin(df: DataFrame, weights: DataFrame, features: Sequence[str], ou
     ``weights`` has segment, feature, mean, scale, coef; the intercept is the row whose
     feature is null. Rows of a segment without weights keep a null margin.
     """
-    parts = ("mean", "scale", "coef")
-    wide = weights.groupBy("segment").agg(
-        *[
-            F.max(F.when(F.col("feature") == f, F.col(p))).alias(f"_{p}_{f}")
-            for f in features for p in parts
-        ],
-        F.max(F.when(F.col("feature").isNull(), F.col("coef"))).alias("_intercept"),
-    )
+    intercept = weights.where(F.col("feature").isNull()).select("segment", F.col("coef").alias("_intercept"))
+    wide = _aligned(weights, ["segment"], features, ["mean", "scale", "coef"]).join(intercept, "segment")
     joined = df.join(small_table(wide), "segment", "left")
-    terms = [
-        (F.col(f) - F.col(f"_mean_{f}")) / F.col(f"_scale_{f}") * F.col(f"_coef_{f}") for f in features
-    ]
-    return joined.withColumn(out, add_up([F.col("_intercept"), *terms])).drop(
-        "_intercept", *[f"_{p}_{f}" for f in features for p in parts]
-    )
+    terms = []
+    for i, f in enumerate(features):
+        w = F.col("_by_feature")[i]
+        terms.append((F.col(f) - w["mean"]) / w["scale"] * w["coef"])
+    return joined.withColumn(out, add_up([F.col("_intercept"), *terms])).drop("_intercept", "_by_feature")
 
 
-def linear_score(df: DataFrame, weights: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
+def checked_sigmoid(z: Column) -> Column:
     """Logistic score; a margin that is not finite is an error, not a score."""
-    scored = linear_margin(df, weights, features, "_z")
-    z = F.col("_z")
-    checked = F.when(finite(z), sigmoid(z)).otherwise(
+    return F.when(finite(z), sigmoid(z)).otherwise(
         F.raise_error(F.lit("input gives no finite model output; no score is produced")).cast("double")
     )
-    return scored.withColumn(out, checked).drop("_z")
+
+
+def linear_score(df: DataFrame, weights: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
+    scored = linear_margin(df, weights, features, "_z")
+    return scored.withColumn(out, checked_sigmoid(F.col("_z"))).drop("_z")
 
 
 def route_by_segment(df: DataFrame, columns: Mapping[str, str], default: str, out: str = "score") -> DataFrame:

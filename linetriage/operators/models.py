@@ -21,10 +21,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from linetriage.functions.columns import sigmoid
+from linetriage.functions.columns import add_up, sigmoid
 from linetriage.functions.sizing import small_table
 from linetriage.operators import budget, choose, quality
-from linetriage.operators.derive import linear_margin, linear_score
+from linetriage.operators.derive import checked_sigmoid
 from linetriage.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -89,17 +89,19 @@ def strongest_weights(weights: DataFrame, top: int = 10) -> DataFrame:
     return weights.where(F.col("feature").isNotNull()).orderBy(F.abs("coef").desc(), "segment", "feature").limit(top)
 
 
-def _linear_scorer(fit: Sequence[tuple], features: Sequence[str], adder=linear_score) -> Scorer:
-    def score(df: DataFrame) -> DataFrame:
-        table = weights_table(df.sparkSession, {"*": fit})
-        marked = df.withColumn("_own", F.col("segment")).withColumn("segment", F.lit("*"))
-        return adder(marked, table, features).withColumn("segment", F.col("_own")).drop("_own")
-
-    return score
+def margin(fit: Sequence[tuple]) -> Column:
+    """Margin of one fit as a column expression over the feature columns."""
+    *parts, (_, _, _, intercept) = fit
+    return add_up([F.lit(intercept), *[(F.col(f) - m) / s * w for f, m, s, w in parts]])
 
 
 def logistic(c: float = 0.1, weights: str | None = "balanced", row_weight: str | None = None) -> Candidate:
-    return lambda df, features, seed: _linear_scorer(fit_logistic(df, features, c, weights, row_weight), features)
+
+    def fit(df: DataFrame, features: Sequence[str], seed: int) -> Scorer:
+        found = margin(fit_logistic(df, features, c, weights, row_weight))
+        return lambda rows: rows.withColumn("_z", found).withColumn("score", checked_sigmoid(F.col("_z"))).drop("_z")
+
+    return fit
 
 
 def prior() -> Candidate:
@@ -288,11 +290,11 @@ def calibrated_oof(
         margins = []
         for i in range(inner_count):
             fit = fit_logistic(placed.where(F.col("inner_fold") != i), features, c)
-            margins.append(_linear_scorer(fit, features, linear_margin)(placed.where(F.col("inner_fold") == i)).select(
-                "label", F.col("z").alias("score")))
+            held = placed.where(F.col("inner_fold") == i)
+            margins.append(held.select("label", margin(fit).alias("score")))
         slope, intercept = fit_sigmoid(reduce(DataFrame.unionByName, margins))
         fit = fit_logistic(training, features, c)
-        scored = _linear_scorer(fit, features, linear_margin)(df.where(F.col("fold") == k))
+        scored = df.where(F.col("fold") == k).withColumn("z", margin(fit))
         return scored.select(
             "segment", "row_id", "group_id", "label", "fold", sigmoid(F.col("z")).alias("raw"),
             apply_map(F.col("z"), slope, intercept).alias("sigmoid"),
