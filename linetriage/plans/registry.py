@@ -33,7 +33,7 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> dict[str, Entry]:
     from linetriage.plans import (  # noqa: F401
         drift_queries, join_queries, metric_queries, model_queries, queue_queries, resample_queries, rule_queries,
-        split_queries,
+        source_queries, split_queries,
     )
 
     return REGISTRY

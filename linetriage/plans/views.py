@@ -49,9 +49,13 @@ def oof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return as_readings(table(spark, sf, "lineitem"))
+
+
+def as_readings(lines: DataFrame) -> DataFrame:
     """lineitem rows; the pair (order, line) is not unique there, so the row key is a hash of all four keys."""
     key = hash_number(hash_text("row", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    return table(spark, sf, "lineitem").select(
+    return lines.select(
         F.col("l_linestatus").alias("segment"),
         key.alias("row_id"),
         *FEATURES, "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate",
