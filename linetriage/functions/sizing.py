@@ -58,3 +58,11 @@ def attach(
     in_hot = join_same(rows, hot, keys)
     rest = join_same(rows, hot.select(*keys), keys, "left_anti")
     return in_hot.unionByName(join_same(rest, cold, keys))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal out an input that has fewer splits than there are cores; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -19,6 +19,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linetriage.functions.columns import add_up, sigmoid
@@ -35,14 +36,16 @@ Candidate = Callable[[DataFrame, Sequence[str], int], Scorer]
 
 
 def class_facts(df: DataFrame, features: Sequence[str]) -> dict:
-    """Row counts and population moments of the training rows, in one pass."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"),
-        *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
-    ).first()
-    if not row["p"] or row["p"] == row["n"]:
+    """Row counts and population moments of the training rows, in one pass over one vector column."""
+    vector = array_to_vector(F.array(*[F.col(f).cast("double") for f in features])).alias("x")
+    stats = Summarizer.metrics("mean", "variance").summary(F.col("x")).alias("s")
+    row = df.select("label", vector).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"), stats).first()
+    n, p = row["n"], row["p"]
+    if not p or p == n:
         raise ValueError("training rows need both classes")
-    return row.asDict()
+    means, scales = row["s"]["mean"].toArray(), np.sqrt(row["s"]["variance"].toArray() * (n - 1) / n)
+    return {"n": n, "p": p, **{f"m_{f}": float(m) for f, m in zip(features, means)},
+            **{f"s_{f}": float(v) for f, v in zip(features, scales)}}
 
 
 def class_weight(facts: Mapping, mode: str | None) -> Column:
@@ -70,7 +73,7 @@ def fit_logistic(
     scales = [float(facts[f"s_{f}"]) or 1.0 if standardise else 1.0 for f in features]
     scaled = [(F.col(f) - m) / s for f, m, s in zip(features, means, scales)]
     ready = df.select(array_to_vector(F.array(*scaled)).alias("x"), F.col("label").cast("double"), weight.alias("w"))
-    total = ready.agg(F.sum("w")).first()[0]
+    total = float(facts["n"]) if weights != "sqrt" and not row_weight else ready.agg(F.sum("w")).first()[0]
     model = LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="w", regParam=1.0 / (c * total), elasticNetParam=0.0,
         standardization=False, tol=1e-12, maxIter=2000,

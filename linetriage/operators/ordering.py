@@ -174,8 +174,11 @@ def rank_everywhere_and_within(
     cuts = find_cuts(df, value, ties[-1])
     ready = with_buckets(df, cuts, value, ties)
     order = [F.col(value).desc(), *[F.col(t).asc() for t in ties]]
+    # One count per (inner, bucket) serves both scopes.
+    counts = small_table(ready.groupBy(inner, *BUCKETS).agg(F.count(F.lit(1)).alias("_c")))
     for scope, out in (([], outs[0]), ([inner], outs[1])):
-        ready = running(ready, scope, BUCKETS, _bucket_order(True), order, {out: F.lit(1)})
+        offsets = _offsets(counts, scope, BUCKETS, _bucket_order(True), {out: F.col("_c")}, True)
+        ready = running(ready, scope, BUCKETS, _bucket_order(True), order, {out: F.lit(1)}, offsets=offsets)
     return ready.withColumns({out: F.col(f"{out}_before") + 1 for out in outs}).drop(
         f"{outs[0]}_total", *[f"{out}_before" for out in outs], *BUCKETS
     )

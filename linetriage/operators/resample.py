@@ -35,10 +35,17 @@ def multinomial_weights(
     """How often each group is drawn: strata, group, draw, w (only w >= 1)."""
     strata = list(strata)
     numbered = cut_lineage(number_groups(df, strata, group))
-    slots = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    text = hash_text(seed, *strata, "draw", "group_number")
+    # One hash text holds the picks of two draws: 15 hex digits from each half.
+    pairs = numbered.withColumn("_pair", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 2)))).select(
+        *strata, "_pair", "group_count", hash_text(seed, *strata, "_pair", "group_number").alias("_text")
+    )
+    halves = F.array(*[
+        F.struct((F.col("_pair") * 2 + i).alias("draw"), hash_number(F.col("_text"), 15, 1 + 16 * i).alias("_pick"))
+        for i in (0, 1)
+    ])
+    slots = pairs.select(*strata, "group_count", F.explode(halves).alias("_h")).where(F.col("_h.draw") < draws)
     picked = slots.select(
-        *strata, "draw", F.pmod(hash_number(text), F.col("group_count")).alias("group_number")
+        *strata, "_h.draw", F.pmod("_h._pick", "group_count").alias("group_number")
     ).groupBy(*strata, "draw", "group_number").agg(F.count(F.lit(1)).alias("w"))
     return picked.join(numbered, [*strata, "group_number"]).select(*strata, group, "draw", "w")
 
@@ -70,6 +77,7 @@ def draw_metrics(
     """
     dims, strata = list(dims), list(strata)
     cuts = cuts or find_cuts(df, "score", "row_id")
+    weights = cut_lineage(weights)  # used for the score counts and again for the tied rows
     keys = [*dims, "draw", "scope"]
     own_scopes = F.array(*[F.lit(ALL) if s == ALL else F.col("segment") for s in scopes])
     base = df.groupBy(*dims, "segment", "group_id", "score").agg(

@@ -11,6 +11,7 @@ from linetriage.operators.quantiles import range_bounds
 from linetriage.operators.windows import average_rank, first_per_segment, rank_audit
 from linetriage.plans import views
 from linetriage.plans.registry import query
+from linetriage.sources.sinks import save, scratch_folder
 
 FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 FIT_UNTIL = "1998-07-01"
@@ -69,7 +70,10 @@ def ood_count(spark: SparkSession, sf: str) -> DataFrame:
   ('action', 0), ('duplicate_key', 0), ('global_rank_repeated', 0), ('segment_rank_repeated', 0),
   ('score_order', 0), ('not_in_source', 0), ('not_in_queue', 0)) v(rule, failed_rows)""")
 def queue_check(spark: SparkSession, sf: str) -> DataFrame:
-    return q.queue_faults(queue(spark, sf), views.readings(spark, sf), UNVALIDATED)
+    """The stored queue is what gets checked."""
+    folder = scratch_folder(spark) + "/queue"
+    save(queue(spark, sf), folder)
+    return q.queue_faults(spark.read.parquet(folder), views.readings(spark, sf), UNVALIDATED)
 
 
 @query("S12 P9 P10", f"""WITH {QUEUE_SQL}, paged AS (

@@ -24,7 +24,7 @@ def _weights_sql(source: str, strata: str = "") -> str:
     on = " AND w0.segment = n.segment" if strata else ""
     return f"""numbered AS (SELECT {lead}group_id, row_number() OVER ({part}ORDER BY md5('boot|' || group_id), group_id) - 1 AS i,
     count(*) OVER ({part.strip()}) AS g FROM (SELECT DISTINCT {lead}group_id FROM {source})),
-w0 AS (SELECT {lead}d.draw, CAST('0x' || substr(md5('{SEED}|' || {text}d.draw || '|' || i), 1, 15) AS BIGINT) % g AS i, count(*) AS w
+w0 AS (SELECT {lead}d.draw, CAST('0x' || substr(md5('{SEED}|' || {text}(d.draw // 2) || '|' || i), 1 + 16 * (d.draw % 2), 15) AS BIGINT) % g AS i, count(*) AS w
   FROM numbered CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw) d GROUP BY ALL),
 weights AS (SELECT {'n.segment, ' if strata else ''}n.group_id, draw, w FROM w0 JOIN numbered n ON w0.i = n.i{on})"""
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linetriage.functions.columns import hash_number, hash_text
+from linetriage.functions.sizing import spread
 
 MODELS = ("ratio", "mixed")
 SEEDS = (1, 2)
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     cents = F.round(F.col("value") * 100).cast("long")
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events"), "event_id").select(
         F.col("event_type").alias("segment"), F.col("event_id").alias("row_id"), "ts", "user_id", "value",
         F.concat(F.col("event_type"), F.lit(":"), cents.cast("string")).alias("group_id"),
         (cents % 5).cast("int").alias("fold"),
@@ -49,12 +49,14 @@ def oof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    return as_readings(table(spark, sf, "lineitem"))
+    return as_readings(spread(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey"))
 
 
 def as_readings(lines: DataFrame) -> DataFrame:
-    """lineitem rows; the pair (order, line) is not unique there, so the row key is a hash of all four keys."""
-    key = hash_number(hash_text("row", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    """lineitem rows; (order, line) is not unique there, so the row key also mixes in the other keys and the price."""
+    place = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    key = place * 1048576 + (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729 + cents) % 1048576
     return lines.select(
         F.col("l_linestatus").alias("segment"),
         key.alias("row_id"),
@@ -64,7 +66,7 @@ def as_readings(lines: DataFrame) -> DataFrame:
 
 
 def timed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders"), "o_orderkey").select(
         F.col("o_orderstatus").alias("segment"), F.col("o_orderkey").alias("row_id"),
         F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("x"), "o_custkey",
         F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("label"),
@@ -72,7 +74,7 @@ def timed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("lang").alias("segment"), F.col("doc_id").alias("row_id"), "source", F.col("n_chars").alias("x")
     )
 
@@ -82,7 +84,7 @@ def doc_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings"), "vec_id").select(
         F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("segment"),
         F.col("vec_id").alias("row_id"),
         F.when(F.col("label") == 0, 1).otherwise(0).alias("label"),
@@ -105,8 +107,9 @@ OOF = OBS + """, oof AS (
   FROM obs o CROSS JOIN (VALUES ('ratio', 1), ('ratio', 2), ('mixed', 1), ('mixed', 2)) m(model, seed))"""
 
 READINGS = """readings AS (
-  SELECT l_linestatus AS segment, CAST('0x' || substr(md5(concat_ws('|', 'row', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15) AS BIGINT)
-           AS row_id, l_quantity, l_discount, l_tax,
+  SELECT l_linestatus AS segment, (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 7919 + l_suppkey * 104729
+           + CAST(round(l_extendedprice * 100) AS BIGINT)) % 1048576 AS row_id,
+         l_quantity, l_discount, l_tax,
          l_extendedprice, l_partkey, l_suppkey, l_shipdate,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
   FROM lineitem)"""
