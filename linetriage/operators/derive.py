@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linetriage.functions.columns import add_up, finite, sigmoid
-from linetriage.functions.sizing import join_same, small_table
+from linetriage.functions.sizing import attach, small_table
 
 # Fixed value: least absolute denominator of an engineered ratio.
 RATIO_FLOOR = 1e-8
@@ -132,8 +132,9 @@ def union_margin(df: DataFrame, thresholds: Mapping[str, float | Column]) -> Dat
 
 def score_distinct(df: DataFrame, features: Sequence[str], score) -> DataFrame:
     """Apply ``score`` (a DataFrame function adding ``score``) once per distinct input and give it to every copy."""
-    distinct = df.select(*features).distinct()
-    return join_same(df, score(distinct).select(*features, "score"), list(features))
+    distinct = df.groupBy(*features).agg(F.count(F.lit(1)).alias("_copies"))
+    scored = score(distinct).select(*features, "_copies", "score")
+    return attach(df, scored, list(features), "_copies", sizes=distinct).drop("_copies")
 
 
 def balanced_weights(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -62,7 +62,14 @@ def _cut(df: DataFrame, value: Column, splits: Sequence[float], out: str) -> Dat
 
 
 def with_buckets(df: DataFrame, cuts: Cuts, value: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Add the bucket columns. A value that fills whole buckets is cut further by its tie keys."""
+    """Add the bucket columns. A value that fills whole buckets is cut further by its tie keys.
+
+    A value without a place in the order (null or NaN) is an error, never a dropped row. Scope
+    columns are joined on and must not be null either.
+    """
+    placed = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    fault = F.raise_error(F.lit(f"{value} is null or NaN and cannot be ordered")).cast(df.schema[value].dataType)
+    df = df.withColumn(value, F.when(placed, F.col(value)).otherwise(fault))
     out = _cut(df, F.col(value), cuts.splits, "_bucket")
     if not cuts.heavy or not ties:
         return out.withColumns({"_tie_name": F.lit(""), "_tie_bucket": F.lit(0.0)})

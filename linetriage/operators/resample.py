@@ -127,11 +127,11 @@ def draw_metrics(
     ).withColumn("recall", ratio(F.col("found"), F.col("positives")))
 
 
-def interval(df: DataFrame, keys: Sequence[str], value: Column, draws: int) -> DataFrame:
+def interval(df: DataFrame, keys: Sequence[str], value: Column, draws: int, *more: Column) -> DataFrame:
     """95% interval over draws; draws where the value is undefined are counted, not used."""
     return df.groupBy(*keys).agg(
         F.percentile(value, F.lit(0.025)).alias("lower95"), F.percentile(value, F.lit(0.975)).alias("upper95"),
-        F.count(value).alias("valid_repeats"),
+        F.count(value).alias("valid_repeats"), *more,
     ).withColumns({
         "invalid_repeats": F.lit(draws) - F.col("valid_repeats"), "requested_repeats": F.lit(draws).cast("long"),
     })
@@ -179,20 +179,17 @@ def paired_policy_bootstrap(
     pair = df.where(F.col("model").isin(baseline, candidate))
     if weights is None:
         weights = multinomial_weights(pair, draws, seed, ["segment"])
-    per_draw = draw_metrics(pair, weights, ["model"], [fraction], ["segment"], (ALL, "segment"))
-    values = _policy_values(per_draw, ["model", "draw"])
-    deltas = values.groupBy("draw", "segment", "policy", "metric").agg(
+    # The observed table is one more draw, number -1, in which every group counts once.
+    once = pair.select("segment", "group_id").distinct().withColumns({"draw": F.lit(-1), "w": F.lit(1).cast("long")})
+    both = weights.select("segment", "group_id", "draw", "w").unionByName(once)
+    per_draw = draw_metrics(pair, both, ["model"], [fraction], ["segment"], (ALL, "segment"))
+    keys = ["segment", "policy", "metric"]
+    deltas = _policy_values(per_draw, ["model", "draw"]).groupBy("draw", *keys).agg(
         (F.max(F.when(F.col("model") == candidate, F.col("v")))
          - F.max(F.when(F.col("model") == baseline, F.col("v")))).alias("delta")
     )
-    spread = interval(deltas, ["segment", "policy", "metric"], F.col("delta"), draws)
-    once = pair.select("segment", "group_id").distinct().withColumns({"draw": F.lit(0), "w": F.lit(1)})
-    whole = _policy_values(draw_metrics(pair, once, ["model"], [fraction], ["segment"], (ALL, "segment")), ["model"])
-    observed = whole.groupBy("segment", "policy", "metric").agg(
-        (F.max(F.when(F.col("model") == candidate, F.col("v")))
-         - F.max(F.when(F.col("model") == baseline, F.col("v")))).alias("difference")
-    )
-    return spread.join(small_table(observed), ["segment", "policy", "metric"])
+    drawn, observed = F.when(F.col("draw") >= 0, F.col("delta")), F.when(F.col("draw") < 0, F.col("delta"))
+    return interval(deltas, keys, drawn, draws, F.max(observed).alias("difference"))
 
 
 def _policy_values(per_draw: DataFrame, keys: Sequence[str]) -> DataFrame:

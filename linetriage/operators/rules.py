@@ -285,8 +285,7 @@ def decision_faults(
     )
 
 
-def metric_faults(saved: DataFrame, again: DataFrame, keys: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
-    """Metric cells that a recomputation does not confirm, as (keys, metric, saved, again)."""
+def _metric_cells(saved: DataFrame, again: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
     metrics = [c for c in saved.columns if c not in keys]
     b = again.select(*keys, *[F.col(m).alias(f"_again_{m}") for m in metrics])
     joined = join_same(saved, b, list(keys), "full_outer")
@@ -296,7 +295,19 @@ def metric_faults(saved: DataFrame, again: DataFrame, keys: Sequence[str], toler
     ])
     long = joined.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
     close = F.coalesce(F.abs(F.col("saved") - F.col("again")) <= tolerance, F.lit(False))
-    return long.where(~(close | F.col("saved").eqNullSafe(F.col("again"))))
+    return long.withColumn("failed", ~(close | F.col("saved").eqNullSafe(F.col("again"))))
+
+
+def metric_faults(saved: DataFrame, again: DataFrame, keys: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
+    """Metric cells that a recomputation does not confirm, as (keys, metric, saved, again)."""
+    return _metric_cells(saved, again, keys, tolerance).where("failed").drop("failed")
+
+
+def metric_replay(saved: DataFrame, again: DataFrame, keys: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
+    """Per metric: cells compared and cells that differ."""
+    return _metric_cells(saved, again, keys, tolerance).groupBy("metric").agg(
+        F.count(F.lit(1)).alias("cells"), count_if(F.col("failed")).alias("failed_cells")
+    )
 
 
 def comparable(a: DataFrame, b: DataFrame, keys: Sequence[str], facts: Sequence[str]) -> DataFrame:

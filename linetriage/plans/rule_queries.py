@@ -224,7 +224,8 @@ def decision_replay(spark: SparkSession, sf: str) -> DataFrame:
     return rules.decision_faults(stored, thresholds, [*DIMS, "fold"])
 
 
-@query("Q20", "SELECT 'x' AS model, 0 AS seed, 'x' AS segment, 'x' AS metric, 0.0::DOUBLE AS saved, 0.0::DOUBLE AS again WHERE false")
+@query("Q20", f"""WITH {views.OOF}, c AS (SELECT count(DISTINCT model || seed || segment) AS cells FROM oof)
+SELECT unnest(['rows', 'k', 'found', 'recall', 'precision']) AS metric, cells, 0::BIGINT AS failed_cells FROM c""")
 def metric_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Budget metrics from boundary rows against the same metrics from full ranks: no cell may differ."""
     rows = views.oof(spark, sf).select(*DIMS, "segment", "row_id", "label", "score")
@@ -237,7 +238,7 @@ def metric_replay(spark: SparkSession, sf: str) -> DataFrame:
     chosen = ranked.join(sizes, keys).withColumn("decision", F.col("rank") <= F.ceil(F.lit(0.1) * F.col("n")))
     again = quality.confusion(chosen, keys).select(
         *keys, "rows", "k", F.col("tp").alias("found"), "recall", "precision")
-    return rules.metric_faults(saved, again, keys)
+    return rules.metric_replay(saved, again, keys)
 
 
 WINNER_SQL = views.OOF + """, r AS (SELECT *, row_number() OVER (PARTITION BY model, seed, fold, segment ORDER BY score DESC, row_id) AS i,

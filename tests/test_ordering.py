@@ -103,3 +103,10 @@ def test_quantiles_interpolate_like_pandas(spark, partitions, count):
     for segment, part in got.groupby("segment"):
         want = rows[rows.segment == segment].score.quantile(shares)
         assert np.allclose(part.set_index("share")["quantile"].loc[shares], want)
+
+
+@pytest.mark.parametrize("score", [None, float("nan")])
+def test_a_row_without_a_place_is_an_error_not_a_lost_row(spark, score):
+    frame = spark.createDataFrame([("a", 1, 0.5), ("a", 2, score)], "segment string, row_id long, score double")
+    with pytest.raises(Exception, match="cannot be ordered"):
+        rank_rows(frame, ["segment"]).collect()

@@ -172,3 +172,18 @@ def test_evidence_view(spark):
     assert len(got) == 8
     links = {r.version: r.previous_version for r in evidence.linked_history(records).collect()}
     assert links[4] == 1 and links[1] is None
+
+
+def test_metric_replay_finds_a_changed_cell(spark):
+    a = spark.createDataFrame([("x", 1.0, None), ("y", 2.0, 0.5)], "model string, ap double, auc double")
+    assert rules.metric_faults(a, a, ["model"]).count() == 0
+    b = a.withColumn("ap", F.when(F.col("model") == "y", 2.1).otherwise(F.col("ap")))
+    (r,) = rules.metric_faults(a, b, ["model"]).collect()
+    assert (r.model, r.metric, r.saved, r.again) == ("y", "ap", 2.0, 2.1)
+
+
+@pytest.mark.parametrize("score", [None, float("nan"), 1.5, -0.1])
+def test_queue_refuses_invalid_scores(spark, score):
+    rows = forty(spark).unionByName(spark.createDataFrame([("cn7", 99, score, 0)], SCORES))
+    with pytest.raises(Exception, match="risk scores must be finite|cannot be ordered"):
+        q.build_queue(rows, ["rg3"]).collect()
