@@ -67,9 +67,11 @@ def with_buckets(df: DataFrame, cuts: Cuts, value: str, ties: Sequence[str] = ()
     A value without a place in the order (null or NaN) is an error, never a dropped row. Scope
     columns are joined on and must not be null either.
     """
-    placed = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    fault = F.raise_error(F.lit(f"{value} is null or NaN and cannot be ordered")).cast(df.schema[value].dataType)
-    df = df.withColumn(value, F.when(placed, F.col(value)).otherwise(fault))
+    kind = dict(df.dtypes)[value]
+    fault = F.raise_error(F.lit(f"{value} is null or NaN and cannot be ordered")).cast(kind)
+    # One reference to the value: filters that Spark derives from it are inlined into its expression.
+    known = F.nanvl(F.col(value), F.lit(None).cast(kind)) if kind in ("double", "float") else F.col(value)
+    df = df.withColumn(value, F.coalesce(known, fault))
     out = _cut(df, F.col(value), cuts.splits, "_bucket")
     if not cuts.heavy or not ties:
         return out.withColumns({"_tie_name": F.lit(""), "_tie_bucket": F.lit(0.0)})

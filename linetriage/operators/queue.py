@@ -46,12 +46,12 @@ def tier(rank: Column, rows: Column) -> Column:
 
 def build_queue(scored: DataFrame, unvalidated: Sequence[str]) -> DataFrame:
     """Queue over (segment, row_id, score, ood_feature_count); both ranks come from one shuffle."""
+    base = scored.select("segment", "row_id", "score", "ood_feature_count")
     score = F.col("score")
-    usable = finite(score) & score.between(0, 1)
     fault = F.raise_error(F.lit("risk scores must be finite in [0, 1]")).cast("double")
-    base = scored.select("segment", "row_id", F.when(usable, score).otherwise(fault).alias("score"), "ood_feature_count")
+    checked = F.when(score.between(0, 1), score).otherwise(fault)
     return rank_everywhere_and_within(base, "segment").select(
-        "segment", "row_id", F.col("score").alias("risk_score"), "ood_feature_count",
+        "segment", "row_id", checked.alias("risk_score"), "ood_feature_count",
         F.col("global_rank").cast("long").alias("global_rank"),
         F.col("segment_rank").cast("long").alias("segment_rank"),
         tier(F.col("segment_rank"), F.col("segment_rank_total")).alias("priority"),

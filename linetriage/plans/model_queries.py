@@ -30,14 +30,14 @@ def model_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(derive.nonlinear(mapped, ["l_quantity"], ("l_quantity", "l_discount")))
 
 
-@query("P3", f"""WITH {views.READINGS} SELECT segment, row_id, round(l_quantity / greatest(abs(l_discount), 1e-8), 4) AS r1,
-  round(l_extendedprice / greatest(abs(l_tax), 1e-8), 4) AS r2, round((l_quantity + l_discount + l_tax) / 3, 6) AS level_mean,
+@query("P3", f"""WITH {views.READINGS} SELECT segment, row_id, l_quantity / greatest(abs(l_discount), 1e-8) AS r1,
+  l_extendedprice / greatest(abs(l_tax), 1e-8) AS r2, round((l_quantity + l_discount + l_tax) / 3, 6) AS level_mean,
   round(greatest(l_quantity, l_discount, l_tax) - least(l_quantity, l_discount, l_tax), 6) AS level_spread, round(l_discount - l_tax, 6) AS d1 FROM readings""")
 def engineered(spark: SparkSession, sf: str) -> DataFrame:
     out = derive.engineered(
         views.readings(spark, sf), {"r1": ("l_quantity", "l_discount"), "r2": ("l_extendedprice", "l_tax")},
         ("level", views.FEATURES), {"d1": ("l_discount", "l_tax")})
-    return out.select("segment", "row_id", F.round("r1", 4).alias("r1"), F.round("r2", 4).alias("r2"),
+    return out.select("segment", "row_id", "r1", "r2",
                       *[F.round(c, 6).alias(c) for c in ("level_mean", "level_spread", "d1")])
 
 
