@@ -142,7 +142,7 @@ def oof_candidates(spark: SparkSession, sf: str) -> DataFrame:
         "prior": models.prior(), "logistic": models.logistic(0.1),
         "forest": models.forest(20, 4), "boosted": models.boosted(2, 10, 0.2),
     }
-    return _quality(models.oof_scores(rows, SOME, candidates, (0, 1), 42))
+    return _quality(models.oof_scores(rows, SOME, candidates, range(5), 42))
 
 
 @query("M2 M8 P12")
@@ -158,7 +158,7 @@ def oof_logistic(spark: SparkSession, sf: str) -> DataFrame:
 @query("M5")
 def rff_svc(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = training_rows(spark, sf)
-    return _quality(models.oof_scores(rows, VECTOR, {"rbf": models.fourier_svc(1.0, 128)}, (0, 1, 2), 42))
+    return _quality(models.oof_scores(rows, VECTOR, {"rbf": models.fourier_svc(1.0, 128)}, range(5), 42))
 
 
 @query("M6")
@@ -172,7 +172,7 @@ def iforest(spark: SparkSession, sf: str) -> DataFrame:
 def platt(spark: SparkSession, sf: str) -> DataFrame:
     rows, table = training_rows(spark, sf, SOME)
     inner = splits.inner_folds(table, range(5), 42, most=3)
-    out = cut_lineage(models.calibrated_oof(rows, SOME, cut_lineage(inner), (0, 1)))
+    out = cut_lineage(models.calibrated_oof(rows, SOME, cut_lineage(inner), range(5)))
     long = out.select("segment", "label", F.explode(F.array(*[
         F.struct(F.lit(c).alias("candidate"), F.col(c).alias("score")) for c in ("raw", "sigmoid")
     ])).alias("s")).select("segment", "label", "s.*")
