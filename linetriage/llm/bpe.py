@@ -115,23 +115,29 @@ class Transducer:
                 j += 1
 
     def step(self, state: dict, byte: int) -> tuple[tuple[int, ...], dict]:
-        written, live = state[-1]
-        one, after, ended = bytes((byte,)), [], None
+        (written, live), one = state[-1], bytes((byte,))
+        after, ended, ranks, prefixes = [], None, self.ranks, self.prefixes
         for since, chain in live:
             longer = since + one
-            if ended is None and longer in self.ranks and self.fits(chain[-1] if chain else written, longer):
-                ended = (*chain, longer)
-            if longer in self.prefixes:
+            if ended is None and longer in ranks:
+                key = (chain[-1] if chain else written, longer)
+                fits = self.fits_memory.get(key)
+                if self.fits(*key) if fits is None else fits:
+                    ended = (*chain, longer)
+            if longer in prefixes:
                 after.append((longer, chain))
         after.append((EMPTY, ended))
-        sure = 0
-        while all(len(c) > sure and c[sure] == ended[sure] for _, c in after):
-            sure += 1
+        sure = len(ended)
+        for _, chain in after[:-1]:
+            sure = min(sure, len(chain))
+            while chain[:sure] != ended[:sure]:
+                sure -= 1
+        ids = ()
         if sure:
             written = ended[sure - 1]
             after = [(since, chain[sure:]) for since, chain in after]
-        made = tuple(self.ranks[t] for t in ended[:sure]), self.state((written, tuple(after)))
-        state[byte] = made
+            ids = tuple([ranks[t] for t in ended[:sure]])
+        made = state[byte] = ids, self.state((written, tuple(after)))
         return made
 
     def encode(self, piece: bytes) -> list[int]:
@@ -141,7 +147,8 @@ class Transducer:
         state = self.start
         for byte in piece:
             ids, state = state[byte] if byte in state else self.step(state, byte)
-            out += ids
+            if ids:
+                out += ids
         out += state[-2]
         return out
 
