@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,3 +88,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def summed_vector(
+    df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, join: np.ufunc = np.add
+) -> np.ndarray:
+    """The sum over all tasks of vectors of fixed ``size`` (unsigned 32-bit), as one vector on the driver.
+
+    Each task sends the non-zero stretches of its vector; equal stretches are summed by Spark before
+    anything reaches the driver, which holds ``4 * size`` bytes however large the input is.
+    """
+    stretch = 4096
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for vector in partial(batches):
+            at = [i for i in range(0, size, stretch) if vector[i : i + stretch].any()]
+            raw = [np.pad(v := vector[i : i + stretch], (0, stretch - len(v))).astype("<u4").tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw, pa.binary())], names=["at", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(raw, "<u4")
+                sums[at] = join(sums[at], part) if at in sums else part
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
+            names=["at", "part"])
+
+    schema = "at long, part binary"
+    sent = df.mapInArrow(cut, schema).repartition(max(1, min(parts(df.sparkSession), -(-size // stretch))), "at")
+    out = np.zeros(-(-size // stretch) * stretch, np.uint32)
+    for row in sent.mapInArrow(add, schema).collect():
+        out[row["at"] : row["at"] + stretch] = np.frombuffer(row["part"], "<u4")
+    return out[:size]
