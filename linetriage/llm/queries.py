@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linetriage.llm import bpe, html, linededup, neardup, packing, parsing, quality, toxicity
+from linetriage.llm import bpe, html, jaccard, linededup, neardup, packing, parsing, quality, toxicity
 from linetriage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
     return packed.select(
@@ -57,7 +61,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_embedding_neardup, op2_quality, op4_html_extraction, op5_toxicity, op7_packing, op8_line_dedup,
+    op1_embedding_neardup, op2_quality, op4_html_extraction, op5_toxicity, op6_ngram_jaccard, op7_packing,
+    op8_line_dedup,
      op9_byte_bpe, op10_fingerprints,
 )}
 ORACLE_SQL: dict[str, str] = {}
