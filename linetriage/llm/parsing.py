@@ -129,11 +129,11 @@ def id_ranges(docs: DataFrame, ranges: int) -> list[int]:
     return sorted(r.doc_id for r in firsts)
 
 
-def dealt_by_range(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def dealt_by_range(docs: DataFrame, ranges: int | None = None, copies: bool = True) -> DataFrame:
     """Deal (doc_id, text) into sorted ranges of doc_id, each followed by a copy of the next range's first row.
 
     Adds ``range`` and ``copy``; rows are sorted by both and doc_id (ties by text) within their task. The
-    last range is followed by the first row of all.
+    last range is followed by the first row of all. Without ``copies``, ranges hold their own rows only.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -151,7 +151,7 @@ def dealt_by_range(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     own = F.struct(F.col("_r").alias("range"), F.lit(False).alias("copy"))
     before = F.struct(((F.col("_r") + F.lit(len(starts) - 1)) % F.lit(len(starts))).cast("int").alias("range"),
                       F.lit(True).alias("copy"))
-    places = F.when(F.col("doc_id").isin(starts), F.array(own, before)).otherwise(F.array(own))
+    places = F.when(F.col("doc_id").isin(starts), F.array(own, before)).otherwise(F.array(own)) if copies else F.array(own)
     return (
         docs.withColumn("_r", range_of("doc_id")).withColumn("_to", F.explode(places))
         .select("doc_id", "text", "_to.range", "_to.copy")

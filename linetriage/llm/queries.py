@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linetriage.llm import bpe, html, jaccard, linededup, neardup, packing, parsing, quality, toxicity
+from linetriage.llm import bpe, html, jaccard, linededup, neardup, packing, parsing, quality, tokenfiles, toxicity
 from linetriage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return tokenfiles.read_tokens(files).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -61,8 +67,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_embedding_neardup, op2_quality, op4_html_extraction, op5_toxicity, op6_ngram_jaccard, op7_packing,
-    op8_line_dedup,
-     op9_byte_bpe, op10_fingerprints,
+    op1_embedding_neardup, op2_quality, op3_token_files, op4_html_extraction, op5_toxicity, op6_ngram_jaccard, op7_packing,
+    op8_line_dedup, op9_byte_bpe, op10_fingerprints,
 )}
 ORACLE_SQL: dict[str, str] = {}
