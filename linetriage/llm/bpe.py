@@ -45,18 +45,16 @@ class Transducer:
     left neighbour does not merge with it. A state holds the last written token and, for each position
     from which a longer token may still start, the bytes since then and the tokens since the last
     written one. States are made when they are first reached and shared by content; what all positions
-    agree on is written. Lookahead is bounded by the longest token. With more than ``limit`` states the
-    table starts anew. As in any trained file, a token must have a higher rank than its two halves.
+    agree on is written. Lookahead is bounded by the longest token. Once there are ``limit`` states, no
+    more are kept, and the rest of a piece that leaves them is stepped through without. As in any trained
+    file, a token must have a higher rank than its two halves.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 60_000):
         self.ranks, self.limit = ranks, limit
         self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
         self.fits_memory: dict[tuple[bytes, bytes], bool] = {}
         self.halves_memory: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.restart()
-
-    def restart(self) -> None:
         self.states: dict[tuple, dict] = {}
         self.start = self.state((EMPTY, ((EMPTY, ()),)))
 
@@ -88,7 +86,7 @@ class Transducer:
         key = (left, right)
         known = self.fits_memory.get(key)
         if known is None:
-            if len(self.fits_memory) > 4 * self.limit:
+            if len(self.fits_memory) > 2 * self.limit:
                 self.fits_memory.clear()
             known = self.fits_memory[key] = self._fits(left, right)
         return known
@@ -140,13 +138,34 @@ class Transducer:
         made = state[byte] = ids, self.state((written, tuple(after)))
         return made
 
+    def unkept(self, key: tuple, rest: bytes) -> list[int]:
+        """Ids from a state on to the end of ``rest``, without making states: what the steps above would write."""
+        (written, live), ranks, prefixes, known = key, self.ranks, self.prefixes, self.fits_memory
+        for byte in rest:
+            one, after, ended = bytes((byte,)), [], None
+            for since, chain in live:
+                longer = since + one
+                if ended is None and longer in ranks:
+                    pair = (chain[-1] if chain else written, longer)
+                    fits = known.get(pair)
+                    if self.fits(*pair) if fits is None else fits:
+                        ended = (*chain, longer)
+                if longer in prefixes:
+                    after.append((longer, chain))
+            after.append((EMPTY, ended))
+            live = after
+        return [ranks[t] for t in live[-1][1]]
+
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.limit:
-            self.restart()
         out: list[int] = []
-        state = self.start
-        for byte in piece:
-            ids, state = state[byte] if byte in state else self.step(state, byte)
+        state, full = self.start, len(self.states) >= self.limit
+        for at, byte in enumerate(piece):
+            known = state.get(byte)
+            if known is None:
+                if full:
+                    return out + self.unkept(state[-1], piece[at:])
+                known = self.step(state, byte)
+            ids, state = known
             if ids:
                 out += ids
         out += state[-2]
@@ -154,29 +173,36 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Ids of whole pieces seen before, as bytes; new ones go through the transducer."""
+    """Ids of whole pieces seen lately, as bytes; others go through the transducer.
+
+    With ``limit`` pieces they become the older half, from which those still in use come back.
+    """
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, transducer: Transducer, limit: int):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.limit, self.older = transducer, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = self[piece] = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        raw = self.older.get(piece)
+        if raw is None:
+            raw = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = raw
         return raw
 
 
 class Encoder:
-    """Ids of texts: each match of ``pattern`` separately; at most ``limit`` pieces remembered per worker."""
+    """Ids of texts: each match of ``pattern`` separately; at most twice ``limit`` pieces remembered per worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 150_000):
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.pieces, self.limit = Pieces(Transducer(ranks)), limit
+        self.pieces = Pieces(Transducer(ranks), limit)
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.find(text))), "<u4")
 
 
