@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -133,3 +134,18 @@ def quantile_of(scores: DataFrame, share: float, grades: int = GRADES) -> float:
 
 def held_out() -> Column:
     return F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+
+
+def cut_at(docs: DataFrame, model: Model) -> float:
+    """The score below which documents go: the quantile at the share that the fit rejects, but one half at most."""
+    return min(quantile_of(score(docs, model), model.rejected), 0.5)
+
+
+def passing(docs: DataFrame, model: Model, cut: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``cut`` or more; nulls count as empty texts."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([features(t or "") for t in texts], float).reshape(-1, WIDTH)), dtype=float)
+
+    return docs.where(scored(F.col("text").cast("string")) >= cut)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -124,3 +125,20 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
 
 def held_out() -> Column:
     return F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+
+
+def passing(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``cut``; nulls count as empty texts.
+
+    A model that had no n-gram to learn from tells no documents apart, so all of them pass.
+    """
+    if not len(model.hashes):
+        return docs
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        wanted, weight = model.table()
+        sums = np.array([weight[present(t or "", wanted)].sum() for t in texts], float)
+        return pd.Series(sigmoid(sums + model.offset), dtype=float)
+
+    return docs.where(scored(F.col("text").cast("string")) < cut)
