@@ -14,7 +14,9 @@ from linetriage.llm.graph import components
 
 SKETCH = 1 << 21  # counters of n-gram frequencies; collisions change the order, never the result
 BINS = 32  # partitions of a set that the suffix filter compares
+FULL = 65_535  # a partition of so many or more elements; two such partitions never rule a pair out
 BLOCK = 2048  # classes under one n-gram that meet in one block
+SHARED = ["gram", "id", "n", "place", "bins"]
 STARS = 2  # rounds in which each n-gram's classes are compared with one of them only
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -113,7 +115,7 @@ class Join:
         def rows(batches):
             for doc, found in _sets(batches, self.width):
                 bins = np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=BINS)
-                yield (doc, len(found), *_digest(found), bins.astype("<u4").tobytes())
+                yield (doc, len(found), *_digest(found), np.minimum(bins, FULL).astype("<u2").tobytes())
 
         return _texts(docs).mapInArrow(
             lambda b: _batched(rows(b), schema), "doc_id long, n int, d1 long, d2 long, bins binary")
@@ -235,7 +237,8 @@ class Join:
         small, large = np.minimum(n1, n2), np.maximum(n1, n2)
         ok = (100 * small >= self.least * large) & (np.minimum(n1 - place1, n2 - place2) >= least)
         some = np.flatnonzero(ok)
-        ok[some] = np.minimum(bins1[some], bins2[some]).sum(axis=1) >= least[some]
+        common = np.minimum(bins1[some], bins2[some])
+        ok[some] = (common.sum(axis=1, dtype=np.int64) >= least[some]) | (common == FULL).any(axis=1)
         return ok
 
     def blocked(self, shared: DataFrame) -> DataFrame:
@@ -249,15 +252,15 @@ class Join:
         ).withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("other", "blocks")
 
     def within_blocks(self, shared: DataFrame, pairs: bool) -> DataFrame:
-        """Ids that any filter-passing partner has, or (``pairs``) those pairs whose components differ."""
+        """Rows with a filter-passing partner under their n-gram, or (``pairs``) those pairs whose components differ."""
 
         def run(batches):
             keys = ["gram", "first", "second"]
             for whole in whole_keys(batches, keys):
                 c = {k: whole.column(k).to_numpy() for k in [*keys, "own", "id", "n", "place", *["component"] * pairs]}
-                bins = np.frombuffer(b"".join(whole.column("bins").to_pylist()), "<u4").reshape(-1, BINS)
+                bins = np.frombuffer(b"".join(whole.column("bins").to_pylist()), "<u2").reshape(-1, BINS)
                 edges = runs(*(c[k] for k in keys))
-                left, right = [], []
+                left, right, met = [], [], np.zeros(whole.num_rows, bool)
                 for at, end in zip(edges[:-1], edges[1:]):
                     m = end - at
                     if m < 2:
@@ -273,22 +276,24 @@ class Join:
                             ok &= c["component"][x] != c["component"][y]
                         x, y = x[ok], y[ok]
                         ok = self.may_link(c["n"][x], c["n"][y], c["place"][x], c["place"][y], bins[x], bins[y])
-                        left.append(c["id"][x[ok]])
-                        right.append(c["id"][y[ok]])
-                if left:
+                        if pairs:
+                            left.append(c["id"][x[ok]])
+                            right.append(c["id"][y[ok]])
+                        else:
+                            met[x[ok]] = met[y[ok]] = True
+                if pairs and left:
                     a, b = np.concatenate(left), np.concatenate(right)
-                    if pairs:
-                        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.append(a, b)))], names=["id"])
+                    both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+                elif met.any():
+                    yield from whole.select(SHARED).filter(pa.array(met)).to_batches()
 
         keys = ["gram", "first", "second"]
-        return (
-            self.blocked(shared).repartition(2 * parts(shared.sparkSession), *keys).sortWithinPartitions(*keys)
-            .mapInArrow(run, "a long, b long" if pairs else "id long").distinct()
-        )
+        dealt = self.blocked(shared).repartition(2 * parts(shared.sparkSession), *keys).sortWithinPartitions(*keys)
+        if pairs:
+            return dealt.mapInArrow(run, "a long, b long").distinct()
+        return dealt.mapInArrow(run, shared.select(*SHARED).schema)
 
     def stars(self, shared: DataFrame, turn: int) -> DataFrame:
         """(a, b): each set with one set of each of its n-grams (another one each turn), if filters let it."""
@@ -304,7 +309,7 @@ class Join:
                 if not batch.num_rows:
                     continue
                 c = {k: batch.column(k).to_numpy() for k in ("id", "n", "place", "id2", "n2", "place2")}
-                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, BINS) for k in ("bins", "bins2"))
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in ("bins", "bins2"))
                 ok = self.may_link(c["n"], c["n2"], c["place"], c["place2"], one, two)
                 yield pa.RecordBatch.from_arrays([pa.array(c["id"][ok]), pa.array(c["id2"][ok])], names=["a", "b"])
 
@@ -347,18 +352,24 @@ def link(docs: DataFrame, width: int = 3, least: int = 90, stars: int = STARS) -
         described.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
         .agg(F.min("doc_id").alias("id"), F.first("bins").alias("bins")))
     shared = stored(join.shared(join.prefixes(docs, join.frequencies(docs))))
-    shared = stored(shared.join(classes.select("d1", "d2", "id", "bins"), ["d1", "d2"]).select("gram", "id", "n", "place", "bins"))
-    wanted = stored(join.within_blocks(shared, False))
-    sets = stored(join.sets_of(docs, wanted))
-    shared = stored(shared.join(wanted, "id", "left_semi"))
+    shared = stored(shared.join(classes.select("d1", "d2", "id", "bins"), ["d1", "d2"]).select(*SHARED))
+    shared = stored(join.within_blocks(shared, False))
+    sets = stored(join.sets_of(docs, shared.select("id").distinct()))
     links, tied = None, None
     for turn in range(stars + 1):
         if tied is None:
             now = shared.withColumn("component", F.col("id"))
         else:
             now = shared.join(tied, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
-        pairs = join.stars(now, turn) if turn < stars else join.within_blocks(now, True)
-        found = stored(join.verified(pairs, sets))
+        pairs = stored(join.stars(now, turn) if turn < stars else join.within_blocks(now, True))
+        if turn:  # few sets are still in question
+            ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+            sets_now = sets.join(stored(ends), "id", "left_semi")
+        else:
+            sets_now = sets
+        found = stored(join.verified(pairs, sets_now))
+        if turn and found.isEmpty():
+            continue
         links = found if links is None else links.union(found)
         tied = stored(components(links))
     named = classes.join(tied, "id", "left").select(
