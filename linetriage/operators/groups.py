@@ -138,8 +138,8 @@ def identifiability(df: DataFrame, features: Sequence[str], fraction: float = 0.
 
 
 def collapse_events(df: DataFrame, features: Sequence[str], group: str = "group_id") -> DataFrame:
-    """One row per group with label = any positive; different measurements in a group are an error."""
-    ends = [F.min(f).alias(f"_a_{f}") for f in features] + [F.max(f).alias(f"_b_{f}") for f in features]
+    """One row per group with label = any positive; different measurements in a group, a null beside a value too, are an error."""
+    ends = [a(f).alias(f"_{k}_{f}") for f in features for k, a in (("a", F.min), ("b", F.max), ("n", F.count))]
     g = df.groupBy("segment", group).agg(
         F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("group_rows"),
         F.max("label").alias("label"), *ends,
@@ -147,7 +147,8 @@ def collapse_events(df: DataFrame, features: Sequence[str], group: str = "group_
     def checked(f: str) -> Column:
         low, high = F.col(f"_a_{f}"), F.col(f"_b_{f}")
         fault = F.raise_error(F.concat(F.lit(f"group with different {f}: "), F.col(group)))
-        return F.when(low.eqNullSafe(high), low).otherwise(fault.cast("double")).alias(f)
+        whole = F.col(f"_n_{f}").isin(0) | (F.col(f"_n_{f}") == F.col("group_rows"))
+        return F.when(low.eqNullSafe(high) & whole, low).otherwise(fault.cast("double")).alias(f)
 
     return g.select("segment", group, "row_id", "group_rows", "label", *[checked(f) for f in features])
 

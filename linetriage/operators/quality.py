@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linetriage.functions.columns import count_if, ratio, ratio_or_zero
+from linetriage.functions.columns import count_if, finite, ratio, ratio_or_zero
 from linetriage.operators.ordering import Cuts, running_by_value
 from linetriage.operators.quantiles import quantiles
 
@@ -71,12 +71,16 @@ def probability_quality(df: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def reliability(df: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Observed rate per score bin; a score of 1 falls in the last bin and empty bins stay, with null means."""
+    """Observed rate per score bin; a score of 1 falls in the last bin and empty bins stay, with null means.
+
+    A null, NaN or infinite score is an error.
+    """
     edges = RELIABILITY_EDGES
+    fault = F.raise_error(F.lit("a score is missing or not finite")).cast("int")
     spot = F.lit(0)
     for i, low in enumerate(edges[1:-1], start=1):
         spot = F.when(F.col("score") >= low, F.lit(i)).otherwise(spot)
-    filled = df.withColumn("bin", spot).groupBy(*scope, "bin").agg(
+    filled = df.withColumn("bin", F.when(finite(F.col("score")), spot).otherwise(fault)).groupBy(*scope, "bin").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("label1"),
         F.avg("score").alias("mean_probability"), F.avg("label").alias("observed_rate"),
     )

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from linetriage.functions.columns import count_if, finite
-from linetriage.functions.sizing import small_table
+from linetriage.functions.columns import any_of, count_if, finite
+from linetriage.functions.sizing import join_same, small_table
 from linetriage.operators.ordering import BUCKETS, find_cuts, rank_everywhere_and_within, with_buckets
 
 # Tiers, actions, reasons, the queue's columns and the checked contract items.
@@ -60,19 +60,27 @@ def build_queue(scored: DataFrame, unvalidated: Sequence[str]) -> DataFrame:
 
 
 def queue_faults(queue: DataFrame, source: DataFrame, unvalidated: Sequence[str]) -> DataFrame:
-    """One row per rule with the number of violations; all zero for a valid queue."""
+    """One row per rule with the number of violations; all zero for a valid queue.
+
+    A null breaks the rule that would compare it, and ``null_value`` counts the rows that hold any.
+    """
     if tuple(queue.columns) != QUEUE_COLUMNS:
         raise ValueError(f"queue columns are {queue.columns}")
     sizes = small_table(queue.groupBy("segment").agg(F.count(F.lit(1)).alias("_rows")))
     total = queue.count()
-    rows = queue.join(sizes, "segment")
+    rows = join_same(queue, sizes, ["segment"], "left")
+
+    def broken(condition: Column) -> Column:
+        return count_if(F.coalesce(condition, F.lit(True)))
+
     # Ranks are contiguous when each of 1..n occurs once: n distinct values within [1, n].
     local = rows.agg(
-        count_if(~finite(F.col("risk_score")) | (F.col("risk_score") < 0) | (F.col("risk_score") > 1)).alias("score"),
-        count_if(~F.col("global_rank").between(1, total)).alias("global_rank_range"),
-        count_if(~F.col("segment_rank").between(1, F.col("_rows"))).alias("segment_rank_range"),
+        count_if(any_of([F.col(c).isNull() for c in QUEUE_COLUMNS])).alias("null_value"),
+        broken(~finite(F.col("risk_score")) | (F.col("risk_score") < 0) | (F.col("risk_score") > 1)).alias("score"),
+        broken(~F.col("global_rank").between(1, total)).alias("global_rank_range"),
+        broken(~F.col("segment_rank").between(1, F.col("_rows"))).alias("segment_rank_range"),
         count_if(~F.col("priority").eqNullSafe(tier(F.col("segment_rank"), F.col("_rows")))).alias("tier"),
-        count_if(
+        broken(
             (F.col("ood_feature_count") < 0) | (F.col("ood_flag") != (F.col("ood_feature_count") >= OOD_LIMIT))
         ).alias("ood_flag"),
         count_if(~F.col("action").eqNullSafe(route_action(unvalidated))).alias("action"),
@@ -95,15 +103,20 @@ def queue_faults(queue: DataFrame, source: DataFrame, unvalidated: Sequence[str]
 
 
 def _order_faults(queue: DataFrame) -> DataFrame:
-    """Scores must not rise with the rank: compare neighbours inside rank blocks and across block ends."""
+    """Scores must not rise with the rank: compare neighbours inside rank blocks and across block ends.
+
+    Rows that cannot be ordered (a null rank, no finite score) are counted by other rules and left out here.
+    """
+    queue = queue.where(F.col("global_rank").isNotNull() & finite(F.col("risk_score")))
     cuts = find_cuts(queue, "global_rank")
     blocks = with_buckets(queue.select("global_rank", "risk_score"), cuts, "global_rank")
     inside = Window.partitionBy(*BUCKETS).orderBy("global_rank")
     local = blocks.withColumn("_up", F.lag("risk_score").over(inside) < F.col("risk_score")).groupBy(*BUCKETS).agg(
-        count_if(F.col("_up")).alias("_bad"), F.max("risk_score").alias("_top"), F.min("risk_score").alias("_low"),
+        count_if(F.col("_up")).alias("_bad"), F.min_by("risk_score", "global_rank").alias("_first"),
+        F.max_by("risk_score", "global_rank").alias("_last"),
     )
     across = Window.partitionBy(F.lit(0)).orderBy("_bucket")
-    return local.withColumn("_gap", F.lag("_low").over(across) < F.col("_top")).agg(
+    return local.withColumn("_gap", F.lag("_last").over(across) < F.col("_first")).agg(
         (F.coalesce(F.sum("_bad"), F.lit(0)) + count_if(F.col("_gap"))).alias("score_order")
     )
 

@@ -141,6 +141,12 @@ def _more_than_one(column: str) -> Column:
     return F.coalesce(F.min(column) < F.max(column), F.lit(False))
 
 
+def _differ(column: str) -> Column:
+    """Does the group hold two different values, or a null beside a value?"""
+    some = F.count(column)
+    return _more_than_one(column) | ((some > 0) & (some < F.count(F.lit(1))))
+
+
 def leakage(fit: DataFrame, validation: DataFrame, group: str = "group_id") -> DataFrame:
     """Groups present on both sides of a fit."""
     shared = fit.select(group).join(validation.select(group).distinct(), group, "left_semi").distinct()
@@ -167,13 +173,15 @@ def fold_coverage(df: DataFrame) -> DataFrame:
 
 
 def group_integrity(df: DataFrame, features: Sequence[str], group: str = "group_id") -> DataFrame:
-    """Same group, same measurements."""
-    return check_groups(df, [group], {f"differs_{f}": (_more_than_one(f), lambda v: v) for f in features})
+    """Same group, same measurements; a null beside a value is a difference."""
+    return check_groups(df, [group], {f"differs_{f}": (_differ(f), lambda v: v) for f in features})
 
 
 def score_spread(df: DataFrame, dims: Sequence[str], group: str = "group_id", tolerance: float = 1e-12) -> DataFrame:
-    """Same group, same score: groups whose scores differ by more than the tolerance."""
-    per = df.groupBy(*dims, group).agg((F.max("score") - F.min("score")).alias("s"))
+    """Same group, same score: groups whose scores differ by more than the tolerance; a missing score is an error."""
+    fault = F.raise_error(F.lit("a score is missing or not finite")).cast("double")
+    score = F.when(finite(F.col("score")), F.col("score")).otherwise(fault)
+    per = df.groupBy(*dims, group).agg((F.max(score) - F.min(score)).alias("s"))
     return per.groupBy(*dims).agg(
         F.count(F.lit(1)).alias("groups"), count_if(F.col("s") > tolerance).alias("groups_with_spread"),
         F.max("s").alias("largest_spread"),
@@ -232,14 +240,15 @@ def oof_faults(oof: DataFrame, expected: DataFrame, models: Sequence[str], seeds
 
 
 def cohort(df: DataFrame, group: str = "group_id") -> DataFrame:
-    """Frozen facts of a cohort: rows, positives, groups and folds per segment."""
-    groups = df.groupBy("segment", group).agg(
-        F.count(F.lit(1)).alias("r"), F.sum("label").alias("p"), F.min("fold").alias("a"), F.max("fold").alias("b"),
-    )
-    return groups.groupBy("segment").agg(
+    """Frozen facts of a cohort: rows, positives, groups and distinct folds per segment."""
+    groups = df.groupBy("segment", group).agg(F.count(F.lit(1)).alias("r"), F.sum("label").alias("p"))
+    facts = groups.groupBy("segment").agg(
         F.sum("r").alias("rows"), F.sum("p").alias("positives"), F.count(F.lit(1)).alias("groups"),
-        (F.max("b") - F.min("a") + 1).cast("long").alias("folds"),
     )
+    folds = df.groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("r")).groupBy("segment").agg(
+        F.count("fold").alias("folds")
+    )
+    return join_same(facts, folds, ["segment"])
 
 
 def cohort_differences(df: DataFrame, contract: DataFrame, keys: Sequence[str] = ("segment",)) -> DataFrame:

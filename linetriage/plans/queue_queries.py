@@ -65,14 +65,43 @@ def ood_count(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select("segment", "row_id", "ood_feature_count", "ood_flag")
 
 
-@query("Q8 W9 U2", """SELECT * FROM (VALUES
-  ('score', 0::BIGINT), ('global_rank_range', 0), ('segment_rank_range', 0), ('tier', 0), ('ood_flag', 0),
-  ('action', 0), ('duplicate_key', 0), ('global_rank_repeated', 0), ('segment_rank_repeated', 0),
-  ('score_order', 0), ('not_in_source', 0), ('not_in_queue', 0)) v(rule, failed_rows)""")
+# Faults put into a stored queue, as SQL expressions that both engines read: column, new value.
+TAMPER = {
+    "risk_score": "CASE WHEN row_id % 101 = 4 THEN NULL WHEN row_id % 103 = 5 THEN 1.5 ELSE risk_score END",
+    "ood_feature_count": "CASE WHEN row_id % 83 = 2 THEN NULL ELSE ood_feature_count END",
+    "segment_rank": "CASE WHEN row_id % 97 = 0 THEN NULL WHEN row_id % 107 = 6 THEN 1 ELSE segment_rank END",
+    "priority": "CASE WHEN row_id % 79 = 3 THEN 'HIGH' ELSE priority END",
+    "ood_flag": "CASE WHEN row_id % 89 = 1 THEN NOT ood_flag WHEN row_id % 109 = 7 THEN NULL ELSE ood_flag END",
+}
+TAMPERED_SQL = QUEUE_SQL + ", bad AS (SELECT q.* REPLACE (" + ", ".join(
+    f"{v} AS {c}" for c, v in TAMPER.items()
+) + """) FROM queue q WHERE row_id % 113 <> 8), sized AS (SELECT *, count(*) OVER () AS total, count(*) OVER (PARTITION BY segment) AS n FROM bad),
+neighbours AS (SELECT risk_score, lag(risk_score) OVER (ORDER BY global_rank) AS above FROM bad WHERE risk_score IS NOT NULL AND global_rank IS NOT NULL)"""
+
+
+@query("Q8 W9 U2", f"""WITH {TAMPERED_SQL}
+SELECT 'null_value' AS rule, count(*) FILTER (risk_score IS NULL OR ood_feature_count IS NULL OR segment_rank IS NULL OR ood_flag IS NULL) AS failed_rows FROM sized
+UNION ALL SELECT 'score', count(*) FILTER (risk_score IS NULL OR risk_score > 1) FROM sized
+UNION ALL SELECT 'global_rank_range', count(*) FILTER (global_rank > total) FROM sized
+UNION ALL SELECT 'segment_rank_range', count(*) FILTER (segment_rank IS NULL OR segment_rank > n) FROM sized
+UNION ALL SELECT 'tier', count(*) FILTER (priority <> CASE WHEN segment_rank <= ceil(0.1::DOUBLE * n) THEN 'HIGH'
+  WHEN segment_rank <= ceil(0.2::DOUBLE * n) THEN 'REVIEW' ELSE 'STANDARD' END) FROM sized
+UNION ALL SELECT 'ood_flag', count(*) FILTER (ood_flag IS NULL OR ood_feature_count IS NULL OR ood_flag <> (ood_feature_count >= 3)) FROM sized
+UNION ALL SELECT 'action', count(*) FILTER (action <> CASE WHEN segment IN ('O') THEN 'usual_inspection_unvalidated_machine'
+  WHEN ood_flag THEN 'usual_inspection_ood' ELSE 'usual_inspection_label_unconfirmed' END) FROM sized
+UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM bad GROUP BY segment, row_id HAVING count(*) > 1)
+UNION ALL SELECT 'global_rank_repeated', count(*) FROM (SELECT 1 FROM bad GROUP BY global_rank HAVING count(*) > 1)
+UNION ALL SELECT 'segment_rank_repeated', count(*) FROM (SELECT 1 FROM bad GROUP BY segment, segment_rank HAVING count(*) > 1)
+UNION ALL SELECT 'score_order', count(*) FILTER (above < risk_score) FROM neighbours
+UNION ALL SELECT 'not_in_source', 0
+UNION ALL SELECT 'not_in_queue', count(*) FROM readings WHERE row_id % 113 = 8""")
 def queue_check(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored queue is what gets checked."""
+    """A stored queue with faults of every kind in it, nulls included, is what gets checked."""
     folder = scratch_folder(spark) + "/queue"
-    save(queue(spark, sf), folder)
+    bad = queue(spark, sf).where("row_id % 113 <> 8").selectExpr(*[
+        f"{TAMPER[c]} AS {c}" if c in TAMPER else c for c in q.QUEUE_COLUMNS
+    ])
+    save(bad, folder)
     return q.queue_faults(spark.read.parquet(folder), views.readings(spark, sf), UNVALIDATED)
 
 

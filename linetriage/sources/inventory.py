@@ -1,12 +1,7 @@
-"""File inventory: size and SHA-256 of files, entries of zip archives, comparison with a recorded manifest."""
+"""File inventory: size and SHA-256 of files, comparison with a recorded manifest."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -29,25 +24,3 @@ def against_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     )
     return a.join(b, "name", "full_outer").withColumn("state", state)
 
-
-ENTRY_SCHEMA = "archive string, entry string, bytes long, unsafe boolean"
-
-
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for name, content in zip(batch["name"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for item in archive.infolist():
-                    parts = item.filename.replace("\\", "/").split("/")
-                    unsafe = item.filename.startswith(("/", "\\")) or ".." in parts or ":" in parts[0]
-                    rows.append((name, item.filename, item.file_size, unsafe))
-        yield pd.DataFrame(rows, columns=["archive", "entry", "bytes", "unsafe"])
-
-
-def zip_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of each zip archive, with a flag for paths that would leave the target folder."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInPandas(
-        _entries, ENTRY_SCHEMA
-    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linetriage.operators import budget, quality, resample
 
-SMALL = [("cn7", 0, 0.9, 1), ("cn7", 1, 0.8, 0), ("cn7", 2, 0.7, 0), ("rg3", 0, 0.6, 0), ("rg3", 1, 0.6, 1), ("rg3", 2, 0.6, 0)]
+SMALL = [("left", 0, 0.9, 1), ("left", 1, 0.8, 0), ("left", 2, 0.7, 0), ("right", 0, 0.6, 0), ("right", 1, 0.6, 1), ("right", 2, 0.6, 0)]
 
 
 def frame(spark, rows=SMALL, model="m", shuffled=False):
@@ -25,8 +25,8 @@ def chosen(df, *args):
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_selection_does_not_depend_on_row_order(spark, shuffled):
     df = frame(spark, shuffled=shuffled)
-    assert chosen(df, 0.1, budget.GLOBAL) == {("cn7", 0)}
-    assert chosen(df, 0.1, budget.PER_SEGMENT) == {("cn7", 0), ("rg3", 0)}
+    assert chosen(df, 0.1, budget.GLOBAL) == {("left", 0)}
+    assert chosen(df, 0.1, budget.PER_SEGMENT) == {("left", 0), ("right", 0)}
 
 
 @pytest.mark.parametrize("fraction", [0.0, -0.1, 1.1])
@@ -42,13 +42,13 @@ def test_unknown_policy_is_refused(spark):
 
 def test_tie_bounds_of_equal_scores(spark):
     rows = {r.segment: r for r in budget.tie_bounds(frame(spark), fractions=[0.1]).collect()}
-    tied = rows["rg3"]
+    tied = rows["right"]
     assert (tied.minimum_found, tied.maximum_found) == (0, 1)
     assert tied.expected_found == pytest.approx(1 / 3)
 
 
 def test_no_positives_give_null_not_zero(spark):
-    table = budget.policy_table(frame(spark, [("cn7", 0, 0.4, 0), ("cn7", 1, 0.2, 0)]), fractions=[0.5], folds=False)
+    table = budget.policy_table(frame(spark, [("left", 0, 0.4, 0), ("left", 1, 0.2, 0)]), fractions=[0.5], folds=False)
     for r in table.collect():
         assert r.recall is None and r.average_precision is None and r.roc_auc is None and r.lift is None
         assert r.precision == 0.0
@@ -56,10 +56,10 @@ def test_no_positives_give_null_not_zero(spark):
 
 def two_lines(extra=0.95):
     rows = []
-    for s in ("cn7", "rg3"):
+    for s in ("left", "right"):
         for i in range(1, 11):
             score = 0.9 if i == 1 else 0.1
-            if s == "rg3" and i == 3:
+            if s == "right" and i == 3:
                 score = extra
             rows.append((s, i, score, int(i <= 2)))
     return rows
@@ -76,7 +76,7 @@ def test_policy_summary(spark):
 
 def test_segment_ties_add_up(spark):
     bounds = budget.tie_bounds(frame(spark, two_lines(0.9)), fractions=[0.1], segments_only=True)
-    r = {x.segment: x for x in bounds.collect()}["rg3"]
+    r = {x.segment: x for x in bounds.collect()}["right"]
     assert (r.minimum_found, r.maximum_found, r.expected_found) == (0, 1, 0.5)
     total = budget.tie_totals(bounds, ["model", "seed"]).first()
     assert (total.tie_min_found, total.tie_max_found, total.tie_sensitive) == (1, 2, True)
@@ -108,8 +108,8 @@ def test_grid_matches_brute_force(spark):
 
 
 def test_identical_scores_differ_by_nothing(spark):
-    rows = [("cn7", i, s, y) for i, (s, y) in enumerate([(0.9, 1), (0.3, 0), (0.3, 0), (0.2, 0)])]
-    rows += [("rg3", i, s, y) for i, (s, y) in enumerate([(0.8, 0), (0.6, 1), (0.1, 0)])]
+    rows = [("left", i, s, y) for i, (s, y) in enumerate([(0.9, 1), (0.3, 0), (0.3, 0), (0.2, 0)])]
+    rows += [("right", i, s, y) for i, (s, y) in enumerate([(0.8, 0), (0.6, 1), (0.1, 0)])]
     both = frame(spark, rows, "base").unionByName(frame(spark, rows, "same"))
     out = resample.paired_policy_bootstrap(both, "base", "same", 20, 7).collect()
     assert len(out) == 12

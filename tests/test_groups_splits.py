@@ -7,7 +7,7 @@ from linetriage.operators import groups, rules, splits
 
 def sensor_rows(spark, group_count=40):
     """Two segments, each group twice, label = group parity."""
-    rows = [(s, g * 2 + c, float(g), float(g % 7), g % 2) for s in ("cn7", "rg3") for g in range(group_count) for c in (0, 1)]
+    rows = [(s, g * 2 + c, float(g), float(g % 7), g % 2) for s in ("left", "right") for g in range(group_count) for c in (0, 1)]
     return spark.createDataFrame(rows, "segment string, row_id long, a double, b double, label int")
 
 

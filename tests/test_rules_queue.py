@@ -1,24 +1,24 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linetriage.operators import derive, evidence, queue as q, rules
+from linetriage.operators import derive, evidence, groups, quality, queue as q, rules
 
 SCORES = "segment string, row_id long, score double, ood_feature_count int"
 
 
 def forty(spark):
-    rows = [("cn7" if i < 19 else "rg3", i, 0.99 - i * 0.98 / 39, 3 if i == 0 else 0) for i in range(40)]
+    rows = [("left" if i < 19 else "right", i, 0.99 - i * 0.98 / 39, 3 if i == 0 else 0) for i in range(40)]
     return spark.createDataFrame(rows, SCORES)
 
 
 def test_queue_of_two_lines(spark):
     scored = forty(spark)
-    queue = q.build_queue(scored, ["rg3"]).cache()
+    queue = q.build_queue(scored, ["right"]).cache()
     high = {r.segment: r["count"] for r in queue.where("priority = 'HIGH'").groupBy("segment").count().collect()}
-    assert high == {"cn7": 2, "rg3": 3}
+    assert high == {"left": 2, "right": 3}
     actions = {r.row_id: r.action for r in queue.collect()}
     assert actions[0] == q.ACTION_OUT_OF_RANGE and actions[1] == q.ACTION_LABEL and actions[39] == q.ACTION_UNVALIDATED
-    q.any_fault(q.queue_faults(queue, scored, ["rg3"]))
+    q.any_fault(q.queue_faults(queue, scored, ["right"]))
 
 
 TAMPERED = {
@@ -36,41 +36,41 @@ TAMPERED = {
 @pytest.mark.parametrize("rule", TAMPERED)
 def test_tampered_queue_is_found(spark, rule):
     scored = forty(spark)
-    queue = q.build_queue(scored, ["rg3"])
+    queue = q.build_queue(scored, ["right"])
     column, expression = TAMPERED[rule]
     changed = queue.withColumn(column, F.expr(expression))
-    faults = {r.rule for r in q.queue_faults(changed, scored, ["rg3"]).where("failed_rows > 0").collect()}
+    faults = {r.rule for r in q.queue_faults(changed, scored, ["right"]).where("failed_rows > 0").collect()}
     assert rule in faults
 
 
 def test_missing_rows_are_found(spark):
     scored = forty(spark)
-    queue = q.build_queue(scored, ["rg3"])
-    got = {r.rule: r.failed_rows for r in q.queue_faults(queue, scored.where("row_id > 0"), ["rg3"]).collect()}
+    queue = q.build_queue(scored, ["right"])
+    got = {r.rule: r.failed_rows for r in q.queue_faults(queue, scored.where("row_id > 0"), ["right"]).collect()}
     assert got["not_in_source"] == 1 and got["not_in_queue"] == 0
 
 
 def test_pages(spark):
-    queue = q.build_queue(forty(spark), ["rg3"])
+    queue = q.build_queue(forty(spark), ["right"])
     assert [r.global_rank for r in q.page(queue, 5, 3).orderBy("global_rank").collect()] == [6, 7, 8]
-    assert {r.segment for r in q.page(queue, 0, 100, "rg3").collect()} == {"rg3"}
+    assert {r.segment for r in q.page(queue, 0, 100, "right").collect()} == {"right"}
     for bad in ((-1, 5), (0, 0), (0, 101)):
         with pytest.raises(ValueError):
             q.page(queue, *bad)
 
 
 @pytest.mark.parametrize("segment, score, flag, action, reasons", [
-    ("cn7", 0.5, False, q.ACTION_LABEL, set()),
-    ("cn7", 0.5, True, q.ACTION_OUT_OF_RANGE, {"out_of_training_range"}),
-    ("rg3", 0.5, True, q.ACTION_UNVALIDATED, {"out_of_training_range", "unvalidated_machine"}),
-    ("cn7", 1.5, False, q.ACTION_INPUT_ERROR, {"invalid_or_missing_prediction"}),
-    ("cn7", float("nan"), False, q.ACTION_INPUT_ERROR, {"invalid_or_missing_prediction"}),
-    ("cn7", None, False, q.ACTION_INPUT_ERROR, {"invalid_or_missing_prediction"}),
+    ("left", 0.5, False, q.ACTION_LABEL, set()),
+    ("left", 0.5, True, q.ACTION_OUT_OF_RANGE, {"out_of_training_range"}),
+    ("right", 0.5, True, q.ACTION_UNVALIDATED, {"out_of_training_range", "unvalidated_machine"}),
+    ("left", 1.5, False, q.ACTION_INPUT_ERROR, {"invalid_or_missing_prediction"}),
+    ("left", float("nan"), False, q.ACTION_INPUT_ERROR, {"invalid_or_missing_prediction"}),
+    ("left", None, False, q.ACTION_INPUT_ERROR, {"invalid_or_missing_prediction"}),
     ("new", 0.5, False, q.ACTION_INPUT_ERROR, {"invalid_or_missing_prediction", "unvalidated_machine"}),
 ])
 def test_actions_and_reasons(spark, segment, score, flag, action, reasons):
     row = spark.createDataFrame([(segment, 1, score, flag)], "segment string, row_id long, risk_score double, ood_flag boolean")
-    r = q.decide(row, ["cn7"], ["cn7", "rg3"]).first()
+    r = q.decide(row, ["left"], ["left", "right"]).first()
     assert r.action == action and reasons <= set(r.fallback_reasons)
     assert r.fallback_reasons == sorted(set(r.fallback_reasons))
     if action == q.ACTION_INPUT_ERROR:
@@ -78,8 +78,8 @@ def test_actions_and_reasons(spark, segment, score, flag, action, reasons):
 
 
 def test_unhealthy_model_gives_no_score(spark):
-    row = spark.createDataFrame([("cn7", 1, 0.5, False)], "segment string, row_id long, risk_score double, ood_flag boolean")
-    r = q.decide(row, ["cn7"], ["cn7"], healthy=False).first()
+    row = spark.createDataFrame([("left", 1, 0.5, False)], "segment string, row_id long, risk_score double, ood_flag boolean")
+    r = q.decide(row, ["left"], ["left"], healthy=False).first()
     assert r.research_score is None and "model_unavailable_or_unverified" in r.fallback_reasons
 
 
@@ -184,6 +184,45 @@ def test_metric_replay_finds_a_changed_cell(spark):
 
 @pytest.mark.parametrize("score", [None, float("nan"), 1.5, -0.1])
 def test_queue_refuses_invalid_scores(spark, score):
-    rows = forty(spark).unionByName(spark.createDataFrame([("cn7", 99, score, 0)], SCORES))
+    rows = forty(spark).unionByName(spark.createDataFrame([("left", 99, score, 0)], SCORES))
     with pytest.raises(Exception, match="risk scores must be finite|cannot be ordered"):
-        q.build_queue(rows, ["rg3"]).collect()
+        q.build_queue(rows, ["right"]).collect()
+
+
+def test_nulls_in_a_queue_are_faults(spark):
+    scored = spark.createDataFrame(
+        [("a", i, i / 100, 0) for i in range(20)], "segment string, row_id long, score double, ood_feature_count int")
+    good = q.build_queue(scored, [])
+    assert {r.failed_rows for r in q.queue_faults(good, scored, []).collect()} == {0}
+    for column, rule in (("segment_rank", "segment_rank_range"), ("ood_feature_count", "ood_flag"), ("ood_flag", "ood_flag"),
+                         ("global_rank", "global_rank_range"), ("risk_score", "score")):
+        bad = good.withColumn(column, F.when(F.col("row_id") != 7, F.col(column)))
+        found = {r.rule: r.failed_rows for r in q.queue_faults(bad, scored, []).collect()}
+        assert found["null_value"] == 1 and found[rule] == 1, column
+
+
+def test_folds_of_a_cohort_are_counted_not_spanned(spark):
+    rows = spark.createDataFrame(
+        [("a", "g", 0, 1), ("a", "h", 1, 0), ("a", "i", 4, 0), ("a", "i", None, 0)],
+        "segment string, group_id string, fold int, label int")
+    assert rules.cohort(rows).first().folds == 3
+
+
+def test_a_null_beside_a_value_differs(spark):
+    rows = spark.createDataFrame([("g", None), ("g", 3.0), ("h", None), ("h", None), ("i", 1.0), ("i", 1.0)], "group_id string, x double")
+    assert rules.group_integrity(rows, ["x"]).first().failed_rows == 1
+
+
+def test_missing_scores_are_errors(spark):
+    for score in (None, float("nan")):
+        rows = spark.createDataFrame([("m", "g", 0.5, 1), ("m", "g", score, 0)], "model string, group_id string, score double, label int")
+        with pytest.raises(Exception, match="missing or not finite"):
+            rules.score_spread(rows, ["model"]).collect()
+        with pytest.raises(Exception, match="missing or not finite"):
+            quality.reliability(rows, ["model"]).collect()
+
+
+def test_collapse_needs_equal_measurements(spark):
+    rows = spark.createDataFrame([("s", "g", 1, 0, None), ("s", "g", 2, 1, 3.0)], "segment string, group_id string, row_id int, label int, x double")
+    with pytest.raises(Exception, match="different x"):
+        groups.collapse_events(rows, ["x"]).collect()

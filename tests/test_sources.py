@@ -1,4 +1,3 @@
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,11 +6,11 @@ from linetriage.sources import inventory, profile, readers, sinks
 
 
 def test_segments_come_from_file_names(spark, tmp_path):
-    for name in ("cn7", "rg3"):
+    for name in ("left", "right"):
         (tmp_path / f"set_labeled_{name}.csv").write_text("row_id,label,f\n1,0,0.5\n2,1,1.5\n")
     rows = readers.read_segments(spark, f"{tmp_path}/set_labeled_*.csv", ["f"], True, r"set_labeled_([^/.]+)\.csv")
     assert sorted((r.segment, r.row_id, r.label) for r in rows.collect()) == [
-        ("cn7", 1, 0), ("cn7", 2, 1), ("rg3", 1, 0), ("rg3", 2, 1)]
+        ("left", 1, 0), ("left", 2, 1), ("right", 1, 0), ("right", 2, 1)]
     (tmp_path / "set_labeled_bad.csv").write_text("row_id,label,other\n1,0,0.5\n")
     with pytest.raises(Exception):
         readers.read_segments(spark, f"{tmp_path}/set_labeled_*.csv", ["f"], True, r"labeled_([^/.]+)\.csv").collect()
@@ -64,14 +63,6 @@ def test_row_level_columns_are_not_exported(spark):
     assert sinks.export_aggregates(table.drop("row_id"), ["seed", "fraction"], 0.2).count() == 0
 
 
-def test_zip_entries_flag_unsafe_paths(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "z.zip", "w") as archive:
-        for name in ("ok/a.csv", "../up.csv", "/root.csv"):
-            archive.writestr(name, "x")
-    got = {r.entry: r.unsafe for r in inventory.zip_entries(spark, str(tmp_path / "z.zip")).collect()}
-    assert got == {"ok/a.csv": False, "../up.csv": True, "/root.csv": True}
-
-
 def test_changed_files_are_found(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1")
     (tmp_path / "b.txt").write_text("2")
