@@ -31,6 +31,9 @@ from linetriage.session import cut_lineage
 Scorer = Callable[[DataFrame], DataFrame]
 Candidate = Callable[[DataFrame, Sequence[str], int], Scorer]
 
+TOLERANCE = 1e-7  # relative change of the loss at which a logistic fit ends
+ITERATIONS = 2000
+
 
 # -- linear models as a weights table -------------------------------------------------------
 
@@ -76,8 +79,11 @@ def fit_logistic(
     total = float(facts["n"]) if weights != "sqrt" and not row_weight else ready.agg(F.sum("w")).first()[0]
     model = LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="w", regParam=1.0 / (c * total), elasticNetParam=0.0,
-        standardization=False, tol=1e-12, maxIter=2000,
+        standardization=False, tol=TOLERANCE, maxIter=ITERATIONS,
     ).fit(ready)
+    losses = model.summary.objectiveHistory
+    if len(losses) > ITERATIONS or len(losses) > 1 and losses[-2] - losses[-1] > 1e-6 * abs(losses[-1]):
+        raise RuntimeError(f"the logistic fit has not converged in {len(losses) - 1} steps")
     rows = [(f, m, s, float(w)) for f, m, s, w in zip(features, means, scales, model.coefficients)]
     return [*rows, (None, None, None, float(model.intercept))]
 
