@@ -40,7 +40,7 @@ def find_cuts(df: DataFrame, value: str, tie: str | None = None, buckets: int |
         wanted.append(F.percentile_approx(F.col(tie).cast("double"), shares, accuracy).alias("tie"))
     found = df.agg(*wanted).first()
     points = [float(p) for p in (found["value"] or []) if math.isfinite(p)]
-    repeated = {p for p in points if points.count(p) > 1} if count <= 256 else _repeated(points)
+    repeated = _repeated(points)
     splits = sorted({*points, *[math.nextafter(p, math.inf) for p in repeated]})
     heavy = tuple(splits.index(p) + 1 for p in sorted(repeated))
     ties = tuple(sorted({float(p) for p in (found["tie"] or [])})) if tie else ()

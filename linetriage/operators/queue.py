@@ -186,7 +186,7 @@ def page(queue: DataFrame, offset: int = 0, limit: int = 30, segment: str | None
 
 def any_fault(faults: DataFrame) -> None:
     """Strict mode: raise on the first broken rule."""
-    broken = faults.where(F.col("failed_rows") > 0).orderBy("rule").limit(20).collect()
+    broken = faults.where(F.col("failed_rows") > 0).orderBy("rule").collect()
     if broken:
         raise ValueError("; ".join(f"{r['rule']}: {r['failed_rows']}" for r in broken))
 

@@ -21,7 +21,7 @@ PARTITIONS = ("development", "holdout")
 
 
 def strict(faults: DataFrame) -> DataFrame:
-    broken = faults.where(F.col("failed_rows") > 0).orderBy("rule").limit(20).collect()
+    broken = faults.where(F.col("failed_rows") > 0).orderBy("rule").collect()
     if broken:
         raise ValueError("; ".join(f"{r['rule']}: {r['failed_rows']} rows" for r in broken))
     return faults

@@ -44,46 +44,46 @@ def unlabelled_rows(spark: SparkSession, sf: str) -> DataFrame:
     return views.docs(spark, sf).join(views.doc_labels(spark, sf), "row_id", "left_anti").select("segment", "row_id")
 
 
-PAIR_SQL = f"""WITH {views.OOF}, a AS (SELECT * FROM oof WHERE model = 'ratio' AND seed = 1), b AS (SELECT * FROM oof WHERE model = 'mixed' AND seed = 1)"""
+PAIR_SQL = f"""WITH {views.OOF}, a AS (SELECT * FROM oof WHERE model = 'ratio'), b AS (SELECT * FROM oof WHERE model = 'mixed')"""
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.oof(spark, sf).where(F.col("seed") == 1)
-    return joins.candidate_pairs(rows, ["segment", "row_id", "fold", "label"], views.MODELS, "model")
+    keys = ["segment", "row_id", "fold", "label", "seed"]
+    return joins.candidate_pairs(views.oof(spark, sf), keys, views.MODELS, "model")
 
 
-@query("J6", PAIR_SQL + """ SELECT a.segment, a.row_id, a.fold, a.label, round(a.score, 9) AS score_ratio, round(b.score, 9) AS score_mixed
-FROM a JOIN b ON a.row_id = b.row_id""")
+@query("J6", PAIR_SQL + """ SELECT a.segment, a.row_id, a.fold, a.label, a.seed, round(a.score, 9) AS score_ratio, round(b.score, 9) AS score_mixed
+FROM a JOIN b ON a.row_id = b.row_id AND a.seed = b.seed""")
 def paired_scores(spark: SparkSession, sf: str) -> DataFrame:
     out = _pairs(spark, sf)
     return out.withColumns({c: F.round(c, 9) for c in ("score_ratio", "score_mixed")})
 
 
 def _share(column: str, table: str) -> str:
-    return (f"(rank() OVER (PARTITION BY {table}.segment, {table}.fold ORDER BY {column}) "
-            f"+ (count(*) OVER (PARTITION BY {table}.segment, {table}.fold, {column}) - 1) / 2.0) "
-            f"/ count(*) OVER (PARTITION BY {table}.segment, {table}.fold)::DOUBLE")
+    return (f"(rank() OVER (PARTITION BY {table}.seed, {table}.segment, {table}.fold ORDER BY {column}) "
+            f"+ (count(*) OVER (PARTITION BY {table}.seed, {table}.segment, {table}.fold, {column}) - 1) / 2.0) "
+            f"/ count(*) OVER (PARTITION BY {table}.seed, {table}.segment, {table}.fold)::DOUBLE")
 
 
-@query("M11 W3 J6", PAIR_SQL + f""", p AS (SELECT a.segment, a.row_id, a.fold, a.score AS x, b.score AS y FROM a JOIN b ON a.row_id = b.row_id)
-SELECT segment, row_id, round(({_share('x', 'p')} + {_share('y', 'p')}) / 2, 9) AS score FROM p""")
+@query("M11 W3 J6", PAIR_SQL + f""", p AS (SELECT a.seed, a.segment, a.row_id, a.fold, a.score AS x, b.score AS y FROM a JOIN b ON a.row_id = b.row_id AND a.seed = b.seed)
+SELECT seed, segment, row_id, round(({_share('x', 'p')} + {_share('y', 'p')}) / 2, 9) AS score FROM p""")
 def rank_blend(spark: SparkSession, sf: str) -> DataFrame:
-    scope = ["segment", "fold"]
+    scope = ["seed", "segment", "fold"]
     pairs = _pairs(spark, sf)
     for name in views.MODELS:
         pairs = average_rank(pairs, scope, f"score_{name}", f"share_{name}")
     blend = (F.col("share_ratio") + F.col("share_mixed")) / 2
-    return pairs.select("segment", "row_id", F.round(blend, 9).alias("score"))
+    return pairs.select("seed", "segment", "row_id", F.round(blend, 9).alias("score"))
 
 
-@query("M11 P12", PAIR_SQL + """ SELECT a.segment, a.row_id, round((a.score + b.score) / 2, 9) AS half,
-  round(CASE WHEN a.segment = 'click' THEN a.score ELSE (a.score + b.score) / 2 END, 9) AS routed FROM a JOIN b ON a.row_id = b.row_id""")
+@query("M11 P12", PAIR_SQL + """ SELECT a.seed, a.segment, a.row_id, round((a.score + b.score) / 2, 9) AS half,
+  round(CASE WHEN a.segment = 'click' THEN a.score ELSE (a.score + b.score) / 2 END, 9) AS routed FROM a JOIN b ON a.row_id = b.row_id AND a.seed = b.seed""")
 def blend(spark: SparkSession, sf: str) -> DataFrame:
     from linetriage.operators.derive import route_by_segment
 
     pairs = _pairs(spark, sf).withColumn("half", (F.col("score_ratio") + F.col("score_mixed")) / 2)
     routed = route_by_segment(pairs, {"click": "score_ratio"}, "half", "routed")
-    return routed.select("segment", "row_id", F.round("half", 9).alias("half"), F.round("routed", 9).alias("routed"))
+    return routed.select("seed", "segment", "row_id", F.round("half", 9).alias("half"), F.round("routed", 9).alias("routed"))
 
 
 @query("J7 A13", f"""WITH {views.OOF}, r AS (SELECT *, row_number() OVER (PARTITION BY model, seed, segment ORDER BY score DESC, row_id)

@@ -98,16 +98,15 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("segment", "row_id", F.round("class_weight", 6).alias("class_weight"))
 
 
-@query("P15", f"""WITH {views.OOF}, p AS (SELECT segment, row_id, max(score) FILTER (model = 'ratio') - 0.8 AS a, max(score) FILTER (model = 'mixed') - 0.6 AS b
-  FROM oof WHERE seed = 1 GROUP BY segment, row_id)
-SELECT segment, row_id, round((greatest(a, b) + 1) / 2, 6) AS score, greatest(a, b) >= 0 AS decision FROM p""")
+@query("P15", f"""WITH {views.OOF}, p AS (SELECT seed, segment, row_id, max(score) FILTER (model = 'ratio') - 0.8 AS a, max(score) FILTER (model = 'mixed') - 0.6 AS b
+  FROM oof GROUP BY seed, segment, row_id)
+SELECT seed, segment, row_id, round((greatest(a, b) + 1) / 2, 6) AS score, greatest(a, b) >= 0 AS decision FROM p""")
 def union_margin(spark: SparkSession, sf: str) -> DataFrame:
     from linetriage.operators.joins import candidate_pairs
 
-    rows = views.oof(spark, sf).where(F.col("seed") == 1)
-    pairs = candidate_pairs(rows, ["segment", "row_id"], views.MODELS, "model")
+    pairs = candidate_pairs(views.oof(spark, sf), ["seed", "segment", "row_id"], views.MODELS, "model")
     out = derive.union_margin(pairs, {"score_ratio": 0.8, "score_mixed": 0.6})
-    return out.select("segment", "row_id", F.round("score", 6).alias("score"), "decision")
+    return out.select("seed", "segment", "row_id", F.round("score", 6).alias("score"), "decision")
 
 
 @query("M1 M8", f"""WITH {views.OBS}, f AS (SELECT fold, count(*) AS n, sum(label) AS p FROM obs GROUP BY fold),

@@ -166,7 +166,7 @@ def action_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
     edge = high.join(review, "segment")
     test = {p: budget.inside_at(f"{p}edge_score", f"{p}edge_segment", f"{p}edge_row") for p in ("h_", "r_")}
-    tiered = rows.join(F.broadcast(edge), "segment").withColumn(
+    tiered = rows.join(small_table(edge), "segment").withColumn(
         "priority", F.when(test["h_"], q.TIERS[0]).when(test["r_"], q.TIERS[1]).otherwise(q.TIERS[2])
     )
     return tiered.groupBy("segment", "action", "priority").agg(F.count(F.lit(1)).alias("rows"))
