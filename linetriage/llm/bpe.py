@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 EMPTY = b""
+NEVER = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,6 +55,7 @@ class Transducer:
         self.ranks, self.limit = ranks, limit
         self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
         self.fits_memory: dict[tuple[bytes, bytes], bool] = {}
+        self.spines: tuple[dict, dict] = {}, {}
         self.halves_memory: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.states: dict[tuple, dict] = {}
         self.start = self.state((EMPTY, ((EMPTY, ()),)))
@@ -74,19 +76,24 @@ class Transducer:
             self.halves_memory[token] = tuple(parts) if len(parts) == 2 else None
         return self.halves_memory[token]
 
-    def spine(self, token: bytes, side: int) -> list[bytes]:
-        """The parts of a token at its left (0) or right (1) edge, in the order in which merging makes them."""
-        parts = [token]
-        while len(parts[-1]) > 1:
-            parts.append(self.halves(parts[-1])[side])
-        return parts[::-1]
+    def spine(self, token: bytes, side: int) -> tuple[list[bytes], list[int]]:
+        """The parts of a token at its left (0) or right (1) edge, in the order in which merging makes them,
+        and for each the rank at which it grows (``NEVER`` for the whole token)."""
+        known = self.spines[side].get(token)
+        if known is None:
+            parts = [token]
+            while len(parts[-1]) > 1:
+                parts.append(self.halves(parts[-1])[side])
+            parts.reverse()
+            known = self.spines[side][token] = parts, [*(self.ranks[p] for p in parts[1:]), NEVER]
+        return known
 
     def fits(self, left: bytes, right: bytes) -> bool:
         """Whether the bytes of both tokens are encoded as these two; ``left`` may be empty."""
         key = (left, right)
         known = self.fits_memory.get(key)
         if known is None:
-            if len(self.fits_memory) > 2 * self.limit:
+            if len(self.fits_memory) > 4 * self.limit:
                 self.fits_memory.clear()
             known = self.fits_memory[key] = self._fits(left, right)
         return known
@@ -97,17 +104,14 @@ class Transducer:
         if left == EMPTY:
             return True
         # Both edges grow in order of rank; the tokens stay apart if no merge across comes first.
-        a, b = self.spine(left, 1), self.spine(right, 0)
-        never, i, j = 1 << 60, 0, 0
+        (a, grow_a), (b, grow_b), i, j, rank = self.spine(left, 1), self.spine(right, 0), 0, 0, self.ranks.get
         while True:
-            across = self.ranks.get(a[i] + b[j], never)
-            grow_a = self.ranks[a[i + 1]] if i + 1 < len(a) else never
-            grow_b = self.ranks[b[j + 1]] if j + 1 < len(b) else never
-            if across < grow_a and across <= grow_b:
+            across, next_a, next_b = rank(a[i] + b[j], NEVER), grow_a[i], grow_b[j]
+            if across < next_a and across <= next_b:
                 return False
-            if grow_a == grow_b == never:
-                return True
-            if grow_a <= grow_b:
+            if next_a <= next_b:
+                if next_a == NEVER:
+                    return True
                 i += 1
             else:
                 j += 1
