@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +31,30 @@ def bucket_count(spark: SparkSession) -> int:
     return max(4, min(wanted, 4096))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a folder of our own only on a local master."""
-    spark = df.sparkSession
+LOCAL_SCRATCH = "/tmp"  # below it, a single-process session without spark.checkpoint.dir keeps its tables until it ends
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Only a master that runs in one process may go without: it gets a new folder in ``LOCAL_SCRATCH``,
+    which is removed at exit.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir=LOCAL_SCRATCH)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    root = shared_root(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return df.checkpoint(eager=True)

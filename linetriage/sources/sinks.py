@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from linetriage.session import shared_root
+
 FORMATS = ("parquet", "csv", "json")
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach: under spark.checkpoint.dir, or local when the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder every executor can reach, below the shared one."""
+    return f"{shared_root(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, path: str, kind: str = "parquet", overwrite: bool = False, **options: str) -> None:

@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from linetriage import session
 from linetriage.sources import inventory, profile, readers, sinks
 
 
@@ -86,3 +87,10 @@ def test_profile_counts_whole_table(spark):
     r = profile.profile(rows).first()
     assert (r["rows"], r["nulls"], r["distinct_values"]) == (100, 25, 5)
     assert profile.profile(rows, exact=False).first()["nulls"] == 25
+
+
+def test_the_shared_folder_is_the_configured_one(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert sinks.scratch_folder(spark).startswith(root) and session.shared_root(spark) == root
+    assert session.cut_lineage(spark.range(3)).count() == 3
+    assert root in spark.sparkContext.getCheckpointDir()
