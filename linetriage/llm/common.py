@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from linetriage.session import cut_lineage  # noqa: F401  (used by the operators)
+from linetriage.session import shared_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a local master may go without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/llm-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``."""
+    return f"{shared_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
