@@ -232,8 +232,10 @@ def oof_scores(
 ) -> DataFrame:
     """Fit on fold != k and score fold = k for every candidate; long table, each row once per candidate.
 
-    The training frame should be materialised (cached or checkpointed) by the caller.
+    The training frame should be materialised (cached or checkpointed) by the caller. A group that lies
+    in several folds, or a row whose fold is not among ``folds``, is an error.
     """
+    _check_folds(df, fold, folds)
     identity = [c for c in ("segment", "row_id", "group_id", "label", fold, *keep) if c in df.columns]
 
     def one(task: tuple[str, int]) -> DataFrame:
@@ -248,6 +250,17 @@ def oof_scores(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _check_folds(df: DataFrame, fold: str, folds: Sequence[int]) -> None:
+    outside = F.count(F.when(~F.coalesce(F.col(fold).isin(list(folds)), F.lit(False)), 1))
+    if "group_id" in df.columns:
+        per = df.groupBy("group_id").agg(outside.alias("o"), (F.min(fold) < F.max(fold)).alias("s"))
+        found = per.agg(F.sum("o").alias("outside"), F.count(F.when(F.col("s"), 1)).alias("shared")).first()
+    else:
+        found = df.agg(outside.alias("outside"), F.lit(0).alias("shared")).first()
+    if found["outside"] or found["shared"]:
+        raise ValueError(f"{found['outside']} rows without a known fold, {found['shared']} groups in several folds")
+
+
 def prior_oof(df: DataFrame) -> DataFrame:
     """Prior baseline out of fold, without a fit per fold: totals minus the row's own fold."""
     per = df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
@@ -333,7 +346,8 @@ def nested_selection(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Choose a candidate per (outer fold, segment, route) on inner folds and score the outer fold with it.
 
-    Returns the chosen scores with decisions, the choices, and the inner metrics.
+    Returns the chosen scores with decisions, the choices, and the inner metrics. The route ``union`` has
+    no winner: it decides by the best margin over the high-recall thresholds of all candidates.
     """
     tables = {}
     for k in outer:
@@ -356,7 +370,10 @@ def nested_selection(
         "f1_decision": F.col("score") >= F.col("f1_threshold"),
         "high_recall_decision": F.col("score") >= F.col("high_recall_threshold"),
     }).drop("f1_threshold", "high_recall_threshold")
-    return decided, chosen, metrics
+    united = union_route(outer_scores, limits.drop("f1_threshold"), ["outer", "segment"]).select(
+        "outer", "segment", "row_id", "label", "score", F.lit("union").alias("route"), F.lit("union").alias("candidate"),
+        F.col("decision").alias("f1_decision"), F.col("decision").alias("high_recall_decision"))
+    return decided.unionByName(united, allowMissingColumns=True), chosen, metrics
 
 
 def union_route(outer_scores: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:

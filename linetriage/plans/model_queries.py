@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linetriage.functions.columns import finite
 from linetriage.operators import anomaly, budget, derive, drift, groups, models, quality, splits
+from linetriage.operators.choose import ROUTES
 from linetriage.plans import views
 from linetriage.plans.registry import query
 from linetriage.sources.sinks import scratch_folder
@@ -202,15 +203,18 @@ def platt(spark: SparkSession, sf: str) -> DataFrame:
     return facts.withColumn("ordered_alike", F.lit(alike.first()["ordered_alike"]))
 
 
-@query("M9 M10 A29 T4")
+@query("M9 M10 A29 T4", f"""SELECT route, CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS segment, count(*) AS rows,
+  count(DISTINCT vec_id) AS distinct_rows, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::BIGINT AS positives, count(*) AS decided, count(*) AS scored
+FROM embeddings CROSS JOIN (SELECT unnest({[*ROUTES, 'union']}) AS route) GROUP BY ALL""")
 def nested_select(spark: SparkSession, sf: str) -> DataFrame:
-    rows, table = training_rows(spark, sf, SOME)
-    outer = (0, 1)
-    inner = cut_lineage(splits.inner_folds(table, outer, 42, most=2))
+    rows, table = training_rows(spark, sf)
+    outer = range(5)
+    inner = cut_lineage(splits.inner_folds(table, outer, 42, most=3))
     candidates = {"reference": models.logistic(0.1), "loose": models.logistic(1.0), "prior": models.prior()}
-    decided, _, _ = models.nested_selection(rows, SOME, candidates, inner, outer, "reference", 42)
-    chosen = decided.withColumn("decision", F.col("f1_decision"))
-    return _rounded(quality.confusion(chosen, ["route", "segment"]))
+    decided, _, _ = models.nested_selection(rows, VECTOR, candidates, inner, outer, "reference", 42)
+    return decided.groupBy("route", "segment").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("row_id").alias("distinct_rows"), F.sum("label").cast("long").alias("positives"),
+        F.count("f1_decision").alias("decided"), F.count(F.when(F.col("score").between(0, 1), 1)).alias("scored"))
 
 
 @query("M12 W3 J6", """SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS segment, count(*) AS rows,

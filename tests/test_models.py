@@ -102,3 +102,19 @@ def test_tree_samples_are_bounded(spark):
     samples = anomaly.tree_samples(rows, 10, 1)
     per = [r["count"] for r in samples.groupBy("tree").count().collect()]
     assert len(per) == 10 and set(per) == {anomaly.SAMPLE}
+
+
+def test_leaking_and_unknown_folds_are_refused(spark):
+    schema = "segment string, row_id long, group_id string, label int, fold int, x double"
+    for rows in ([("a", 1, "g", 0, 0, 0.1), ("a", 2, "g", 1, 1, 0.2)], [("a", 1, "g", 0, 7, 0.1)], [("a", 1, "g", 0, None, 0.1)]):
+        with pytest.raises(ValueError, match="fold"):
+            models.oof_scores(spark.createDataFrame(rows, schema), ["x"], {"prior": models.prior()}, range(2), 1)
+
+
+def test_the_best_margin_decides_in_the_union_route(spark):
+    scores = spark.createDataFrame(
+        [(0, "a", 1, 1, "p", 0.5), (0, "a", 1, 1, "q", 0.9), (0, "a", 2, 0, "p", 0.1), (0, "a", 2, 0, "q", 0.2)],
+        "outer int, segment string, row_id long, label int, candidate string, score double")
+    limits = spark.createDataFrame([(0, "a", "p", 0.6), (0, "a", "q", 0.7)], "outer int, segment string, candidate string, high_recall_threshold double")
+    got = {r.row_id: (round(r.score, 6), r.decision) for r in models.union_route(scores, limits, ["outer", "segment"]).collect()}
+    assert got == {1: (0.6, True), 2: (0.25, False)}
