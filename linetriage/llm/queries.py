@@ -1,4 +1,4 @@
-"""The queries of this subpackage over the given tables, and their SQL where SQL can say it."""
+"""The queries of this subpackage over the given tables; their SQL, where SQL can say it, is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linetriage.llm import bpe, html, jaccard, linededup, neardup, packing, parsing, quality, tokenfiles, toxicity
 from linetriage.llm.common import table
+from linetriage.llm.oracles import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,4 +71,3 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_embedding_neardup, op2_quality, op3_token_files, op4_html_extraction, op5_toxicity, op6_ngram_jaccard, op7_packing,
     op8_line_dedup, op9_byte_bpe, op10_fingerprints,
 )}
-ORACLE_SQL: dict[str, str] = {}
