@@ -100,8 +100,10 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
         out = [(t, 0) if t is None or s is None else without(t, s) for t, s in zip(text, spans)]
         return pd.DataFrame(out, columns=["text", "removed"])
 
+    # Marked so that a later filter on its result is not a second evaluation below it.
+    once = cleaned.asNondeterministic()
     joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_llm_id"), "left")
-    done = joined.withColumn("_llm_done", cleaned(F.col("text").cast("string"), "_llm_spans"))
+    done = joined.withColumn("_llm_done", once(F.col("text").cast("string"), "_llm_spans"))
     columns = []
     for c in docs.columns:
         if c == "text":
