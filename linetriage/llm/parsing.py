@@ -133,7 +133,8 @@ def dealt_by_range(docs: DataFrame, ranges: int | None = None, copies: bool = Tr
     """Deal (doc_id, text) into sorted ranges of doc_id, each followed by a copy of the next range's first row.
 
     Adds ``range`` and ``copy``; rows are sorted by both and doc_id (ties by text) within their task. The
-    last range is followed by the first row of all. Without ``copies``, ranges hold their own rows only.
+    last range is followed by the first row of all. Without ``copies``, ranges hold their own rows only, and each
+    is a task of its own.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -152,12 +153,13 @@ def dealt_by_range(docs: DataFrame, ranges: int | None = None, copies: bool = Tr
     before = F.struct(((F.col("_r") + F.lit(len(starts) - 1)) % F.lit(len(starts))).cast("int").alias("range"),
                       F.lit(True).alias("copy"))
     places = F.when(F.col("doc_id").isin(starts), F.array(own, before)).otherwise(F.array(own)) if copies else F.array(own)
-    return (
-        docs.withColumn("_r", range_of("doc_id")).withColumn("_to", F.explode(places))
-        .select("doc_id", "text", "_to.range", "_to.copy")
-        .repartition(max(1, min(count, 4 * len(starts)) // 4), "range")
-        .sortWithinPartitions("range", "copy", "doc_id", "text")
-    )
+    rows = docs.withColumn("_r", range_of("doc_id")).withColumn("_to", F.explode(places)).select(
+        "doc_id", "text", "_to.range", "_to.copy")
+    if copies:
+        dealt = rows.repartition(max(1, min(count, 4 * len(starts)) // 4), "range")
+    else:
+        dealt = rows.repartitionByRange(len(starts), "range")
+    return dealt.sortWithinPartitions("range", "copy", "doc_id", "text")
 
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
