@@ -245,7 +245,7 @@ def _head(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, in
     _, total, documents, index, distinct, count = _HEAD.unpack_from(data, at)
     middle = at + _HEAD.size + index
     end = middle + 2 * distinct
-    if zlib.crc32(data[at:end]) != struct.unpack_from("<I", data, end)[0]:
+    if end + 4 > len(data) or zlib.crc32(data[at:end]) != struct.unpack_from("<I", data, end)[0]:
         raise ValueError("the head of a token file is damaged")
     raw = zlib.decompress(data[middle - index : middle]) if index else b""
     doc_ids, lengths = np.frombuffer(raw, "<i8", documents), np.frombuffer(raw, "<u4", documents, 8 * documents)
@@ -266,6 +266,8 @@ def _blocks(data: bytes, wanted: slice | None) -> Iterator[np.ndarray]:
     total, count, _, _, id_of, at = _head(data)
     found = []
     for _ in range(count):
+        if at + _BLOCK.size > len(data):
+            raise ValueError("blocks of a token file are missing")
         n, size, plain_crc, coded_crc = _BLOCK.unpack_from(data, at)
         found.append((n, data[at + _BLOCK.size : at + _BLOCK.size + size], plain_crc, coded_crc))
         at += _BLOCK.size + size
