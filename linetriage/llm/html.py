@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3  # lines whose text lengths are summed
-LEAST = 120  # characters in a window at which an unmarked page's text surges
-SHARE = 0.2  # of the page's largest window that a stretch must reach
+LEAST = 120  # characters in a window at which text outside of a main part surges
+SHARE = 0.2  # of the largest window outside of main parts that a stretch must reach
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -48,18 +48,18 @@ def _set_aside(tag: str, more: str, in_main: bool) -> bool:
     return any(_WORDS.search(next(filter(None, m.groups()), "")) for m in _NAMED.finditer(more))
 
 
-def lines(page: str) -> tuple[list[str], np.ndarray, bool]:
-    """The page's lines of text (one per block), the length each counts with, and whether it marks a main part.
+def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The page's lines of text (one per block), the length each counts with, and the number of its main part.
 
-    Text counts unless its element is set aside by markup or, where the page has a main part, lies
-    outside of it; link text counts only inside a main part.
+    Text counts unless its element is set aside by markup; link text counts only inside a main part.
+    Main parts (outermost article or main elements) are numbered from 1; other lines have 0.
     """
     out: list[str] = []
     aside_of: list[bool] = []
-    main_of: list[bool] = []
+    part_of: list[int] = []
     linked: list[int] = []
     parts: list[str] = []
-    main = links = in_link = 0
+    main = main_parts = links = in_link = 0
     skip, depth = "", 0
 
     def close() -> None:
@@ -68,7 +68,7 @@ def lines(page: str) -> tuple[list[str], np.ndarray, bool]:
         if text:
             out.append(text)
             aside_of.append(bool(skip))
-            main_of.append(main > 0)
+            part_of.append(main_parts if main else 0)
             linked.append(links)
         parts, links = [], 0
 
@@ -102,23 +102,19 @@ def lines(page: str) -> tuple[list[str], np.ndarray, bool]:
             close()
             skip, depth = tag, 1
         if tag in _MAIN and not skip:
+            main_parts += not main and not ending
             main = max(0, main + (-1 if ending else 1))
     parts.append(page[at:])
     close()
-    marked = any(m and not a for m, a in zip(main_of, aside_of))
-    counted = [
-        0 if a or (marked and not m) else len(t) if marked else max(0, len(t) - k)
-        for t, a, m, k in zip(out, aside_of, main_of, linked)
-    ]
-    return out, np.array(counted, np.int64), marked
+    counted = [0 if a else len(t) if p else max(0, len(t) - k) for t, a, p, k in zip(out, aside_of, part_of, linked)]
+    return out, np.array(counted, np.int64), np.array(part_of, np.int64)
 
 
-def stretches(counted: np.ndarray, least: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Line ranges from a surge to the next dive.
+def stretches(counted: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """Line ranges from where text may surge to the next dive, each with its largest block.
 
-    The block at a line is the sum over ``window`` lines from it. Text surges at a counting line whose
-    block, or that of a later line before the dive, reaches ``least``, and dives before the first run of
-    ``window`` lines that count nothing.
+    The block at a line is the sum over ``window`` lines from it. A range starts at a counting line and
+    dives before the first run of ``window`` lines that count nothing.
     """
     padded = np.concatenate([counted, np.zeros(window, np.int64)])
     blocks = np.convolve(padded, np.ones(window, np.int64))[window - 1 :][: len(counted)]
@@ -130,30 +126,40 @@ def stretches(counted: np.ndarray, least: int, window: int = WINDOW) -> list[tup
         end = at
         while end < len(counted) and blocks[end]:
             end += 1
-        if blocks[at:end].max() >= least:
-            found.append((at, end))
+        found.append((at, end, int(blocks[at:end].max())))
         at = end
     return found
 
 
 def main_text(page: str, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> str:
-    """The article of a page, one block a line; empty if there is none."""
-    text, counted, marked = lines(page)
-    if not len(counted) or not counted.any():
-        return ""
-    if not marked:
-        blocks = np.convolve(counted, np.ones(window, np.int64))
-        least = max(least, int(share * blocks.max()))
-    return "\n".join(text[i] for a, b in stretches(counted, 1 if marked else least, window) for i in range(a, b) if counted[i])
+    """The article of a page, one block a line; empty if there is none.
+
+    Main parts bound stretches, and what is set aside inside of one makes no dive. Text outside surges at
+    ``least`` characters in a window, ``share`` of the largest window outside and no less than the largest
+    window of a main part. Main parts surge at any length or, beside such text, at ``share`` of its largest
+    window.
+    """
+    text, counted, part = lines(page)
+    at = np.flatnonzero((counted > 0) | (part == 0))
+    found = [
+        (piece[a:b], peak, part[piece[0]] > 0)
+        for piece in np.split(at, np.flatnonzero(np.diff(part[at])) + 1) if len(piece)
+        for a, b, peak in stretches(counted[piece], window)
+    ]
+    outside = max((peak for _, peak, marked in found if not marked), default=0)
+    inside = max((peak for _, peak, marked in found if marked), default=0)
+    surge = max(least, int(share * outside), inside)
+    beside = share * outside if outside >= surge else 1
+    return "\n".join(
+        text[i] for piece, peak, marked in found if peak >= (beside if marked else surge) for i in piece if counted[i])
 
 
 def extract(pages: DataFrame, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
-    A page that marks its main part (article, main) is surged from there: every line in it counts, and
-    everything outside counts nothing. Other pages need ``least`` characters in a window. Null and empty
-    pages, and pages without article text, have an empty text. Every row gives one row, whatever its id
-    or url; other columns are ignored; an empty table gives no rows.
+    Text lengths over windows of lines decide on every page, see ``main_text``. Null and empty pages, and
+    pages without article text, have an empty text. Every row gives one row, whatever its id or url; other
+    columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,6 +94,22 @@ def test_main_text_of_small_pages():
         assert html.main_text(page) == want, name
 
 
+def test_windows_decide_on_pages_with_articles():
+    story = [f"{'dense story words ' * 12}number {i}" for i in range(6)]
+    plain = "<div>" + "".join(f"<p>{p}</p>" for p in story) + "</div>"
+    card = "<article><h3>Teaser</h3><p>Some thirty characters of text</p></article>"
+    # The story stands in plain elements; article or main hold teaser cards or a short box.
+    assert html.main_text(f"<body>{plain}{card * 3}</body>") == "\n".join(story)
+    assert html.main_text(f"<body>{card}{plain}{card}</body>") == "\n".join(story)
+    assert html.main_text(f"<body><main><p>Short box</p></main>{plain}</body>") == "\n".join(story)
+    # Thinner text than that of the article does not surge beside it, nor does text under the least length.
+    assert html.main_text(f"<body><div>{'imprint words ' * 20}</div><article>{plain}</article></body>") == "\n".join(story)
+    assert html.main_text("<body><article><p>Short</p></article><div>Some plain words outside</div></body>") == "Short"
+    # What is set aside in an article makes no dive, and short articles beside a long one stay.
+    gap = "<aside>" + "<p>aside</p>" * 5 + "</aside>"
+    assert html.main_text(f"<article>{plain}{gap}<p>End</p></article><article>More</article>") == "\n".join([*story, "End", "More"])
+
+
 def test_pages_table_edges(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<article>x</article>"), (3, "v", "<article>" + "<p>word</p>" * 20_000 + "</article>")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")).collect()
