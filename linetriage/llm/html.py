@@ -28,24 +28,43 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _ASIDE = frozenset("head nav header footer aside form menu dialog button fieldset".split())
 _MAIN = frozenset(("article", "main"))
 _CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
-_NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_NAMED = re.compile(r"(?<![\w-])(?P<name>class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsbygoogle|banner|promo|promotion|sponsor(?:ed)?|nav|navbar|navigation|menu|"
     r"sidebar|side|footer|header|masthead|comments?|comment-list|respond|replies|reply|disqus|cookies?|notice|consent|gdpr|"
     r"alert|popup|modal|overlay|share|sharing|social|related|recommended|breadcrumbs?|newsletter|subscribe|subscription|login|"
     r"signup|search|widget|pagination|pager|toolbar|contentinfo|complementary|dialog|hidden)(?:$|[\s_-])", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden|aria-hidden\s*=\s*[\"']?true)(?:[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
+#: Names that say the same wherever they stand; "related", "search", "side" or "header" alone do not.
+_CLEAR = re.compile(
+    r"(?:ads?|adverts?|advertisements?|adsbygoogle)(?:[-_]?(?:slot|unit|box|container|wrapper|banner|block|area|\d+))*"
+    r"|comments|comments?[-_]?(?:list|area|section|container|wrapper|thread|form)|disqus(?:[-_]thread)?"
+    r"|share|sharing|sharedaddy|(?:social[-_]?)?(?:share|sharing)[-_]?(?:bar|buttons?|links?|icons?|tools?)?|social[-_]share",
+    re.IGNORECASE)
+_ROLES = frozenset("navigation complementary contentinfo dialog alertdialog".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.IGNORECASE)
+_UNSEEN = re.compile(r"(?:^|\s)(?:aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none)", re.IGNORECASE)
 
 
 def _set_aside(tag: str, more: str, in_main: bool) -> bool:
-    """Whether markup says that an element is not article text."""
+    """Whether markup says that an element is not article text; inside a main part only names that are clear count."""
     if tag in _ASIDE and not (tag == "header" and in_main):
         return True
     if not more or tag in ("body", "html", "article", "main"):
         return False
-    if _HIDDEN.search(more):
+    if _UNSEEN.search(more) or _HIDDEN.search(_VALUE.sub("=", more)):
         return True
-    return any(_WORDS.search(next(filter(None, m.groups()), "")) for m in _NAMED.finditer(more))
+    named = [(m["name"].lower(), next(filter(None, m.groups()[1:]), "")) for m in _NAMED.finditer(more)]
+    if not in_main:
+        return tag not in _HEADINGS and any(_WORDS.search(value) for _, value in named)
+    for name, value in named:
+        if name == "role" and value.lower() in _ROLES:
+            return True
+        if name == "class" or name == "id" and tag != "section" and tag not in _HEADINGS:
+            if any(_CLEAR.fullmatch(word) for word in value.split()):
+                return True
+    return False
 
 
 def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:

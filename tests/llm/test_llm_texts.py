@@ -110,6 +110,28 @@ def test_windows_decide_on_pages_with_articles():
     assert html.main_text(f"<article>{plain}{gap}<p>End</p></article><article>More</article>") == "\n".join([*story, "End", "More"])
 
 
+def test_names_inside_an_article_set_aside_only_what_is_clear():
+    kept = (
+        "<div class='entry-header'><h1>Head</h1></div>", "<div class='post-header'><h1>Head</h1></div>", "<h2 id='related-work'>Work</h2>",
+        "<h2 id=search>Search</h2>", "<section id='notice'><p>Notice</p></section>", "<div class='side by side'><p>Pair</p></div>",
+        "<section aria-label='Search'><p>Find</p></section>", "<section id='comments'><p>On comments</p></section>",
+        "<h2 id='ads'>Ads</h2>", "<p title='the hidden truth'>Truth</p>", "<p data-id='share'>Part</p>", "<code class='hljs-comment'># x</code>")
+    gone = (
+        "<nav>Gone</nav>", "<aside>Gone</aside>", "<form>Gone</form>", "<footer>Gone</footer>", "<div class='ad'>Gone</div>",
+        "<div id='ad-slot-3'>Gone</div>", "<ins class='adsbygoogle'>Gone</ins>", "<div id='comments' class='comments-area'>Gone</div>",
+        "<ol class='comment-list'><li>Gone</li></ol>", "<div class='social-share-buttons'>Gone</div>", "<div class='share'>Gone</div>",
+        "<div role='navigation'>Gone</div>", "<p hidden>Gone</p>", "<p style='display: none'>Gone</p>", "<p aria-hidden='true'>Gone</p>")
+    for tag in ("article", "main"):
+        for piece in kept:
+            inner = re.sub("<[^>]*>", "", piece)
+            assert html.main_text(f"<{tag}><p>First</p>{piece}<p>Last</p></{tag}>") == f"First\n{inner}\nLast" or (
+                piece.startswith("<code") and inner in html.main_text(f"<{tag}>{piece}</{tag}>")), piece
+        for piece in gone:
+            assert html.main_text(f"<{tag}><p>First</p>{piece}<p>Last</p></{tag}>") == "First\nLast", piece
+    long = "plain words " * 20
+    assert "Related" in html.main_text(f"<div><p>{long}</p><h2 id='related-work'>Related</h2><p>{long}</p></div>")
+
+
 def test_pages_table_edges(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<article>x</article>"), (3, "v", "<article>" + "<p>word</p>" * 20_000 + "</article>")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")).collect()
