@@ -61,7 +61,6 @@ class Model:
     weights: np.ndarray
     slope: float
     offset: float
-    rejected: float  # share of the fitted rows whose score is below one half
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * (x @ self.weights) + self.offset)
@@ -86,15 +85,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, pairs: int = PAI
     y = seen.label.to_numpy().astype(int)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros(WIDTH), 0.0, float(np.log(share / (1 - share))), 0.0)
+        return Model(np.zeros(WIDTH), 0.0, float(np.log(share / (1 - share))))
     x = np.frombuffer(b"".join(seen.x), np.float32).reshape(len(y), WIDTH).astype(float)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     draw = np.random.default_rng(2)
     left, right = draw.choice(good, pairs), draw.choice(bad, pairs)
     weights = logistic(x[left] - x[right], np.ones(pairs), np.full(WIDTH, penalty))
     slope, offset = calibration(x @ weights, y)
-    fitted = sigmoid(slope * (x @ weights) + offset)
-    return Model(weights, slope, offset, float((fitted < 0.5).mean()))
+    return Model(weights, slope, offset)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -117,18 +115,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         run, "doc_id long, score double, predicted int")
 
 
-def quantile_of(scores: DataFrame, share: float, grades: int = GRADES) -> float:
-    """The largest of ``grades`` score steps that at most ``share`` of all rows lie below.
-
-    Counts per step combine before the shuffle; their number is fixed, so they may go to the driver.
-    """
+def _steps(scores: DataFrame, grades: int) -> list[tuple[int, int]]:
+    """Rows per score step, in order. Counts combine before the shuffle; their number is fixed, so they may go to the driver."""
     counts = scores.groupBy(F.least(F.floor(F.col("score") * grades), F.lit(grades - 1)).alias("step")).count().collect()
-    total, below, cut = sum(r["count"] for r in counts), 0, 0
-    for r in sorted(counts, key=lambda r: r["step"]):
+    return sorted((r["step"], r["count"]) for r in counts)
+
+
+def quantile_of(scores: DataFrame, share: float, grades: int = GRADES) -> float:
+    """The largest of ``grades`` score steps that at most ``share`` of all rows lie below."""
+    counts = _steps(scores, grades)
+    total, below, cut = sum(n for _, n in counts), 0, 0
+    for step, n in counts:
         if below > share * total:
             break
-        cut = r["step"]
-        below += r["count"]
+        cut = step
+        below += n
     return cut / grades
 
 
@@ -137,8 +138,18 @@ def held_out() -> Column:
 
 
 def cut_at(docs: DataFrame, model: Model) -> float:
-    """The score below which documents go: the quantile at the share that the fit rejects, but one half at most."""
-    return min(quantile_of(score(docs, model), model.rejected), 0.5)
+    """The score below which documents go: the quantile at the share of all ``docs`` that score below one half.
+
+    That share is counted on ``docs``, not taken from the fit, so it cannot fall among rejected documents:
+    those that ``score`` predicts 0 go and all others stay, whatever their share. With none left to stay, one half.
+    """
+    counts = _steps(score(docs, model), GRADES)
+    rejected, below = sum(n for step, n in counts if step < GRADES // 2), 0
+    for step, n in counts:
+        if below >= rejected:
+            return min(step / GRADES, 0.5)
+        below += n
+    return 0.5
 
 
 def passing(docs: DataFrame, model: Model, cut: float) -> DataFrame:

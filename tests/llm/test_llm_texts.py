@@ -73,6 +73,21 @@ def test_quantile_counts_every_row(spark):
     assert quality.quantile_of(scores.limit(0), 0.3) == 0.0
 
 
+def test_rejected_documents_go_whatever_their_share(spark, documents, tmp_path):
+    good = [(i, f"Plain words make sentence {i}, and more of them follow. So it goes on for {i * 7} lines.") for i in range(180)]
+    bad = [(1000 + i, f"%%% ### {i} $$$ &&& *** " * (1 + i % 9)) for i in range(420)]  # 20 of them have labels
+    documents(good + bad).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad[:20]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    predicted = {r.doc_id: r.predicted for r in queries.op2_quality(spark, str(tmp_path)).collect()}
+    assert sum(p == 0 for p in predicted.values()) > 300
+    for share in (600, 420):  # all documents, and none that stays
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where(f"doc_id >= {0 if share == 600 else 1000}")
+        model = quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+        kept = {r.doc_id for r in quality.passing(docs, model, quality.cut_at(docs, model)).collect()}
+        assert kept == {r.doc_id for r in docs.collect() if predicted[r.doc_id]}
+
+
 PAGES = {
     "marked": ("<html><head><title>T</title></head><body><nav><ul><li><a href='/a'>Menu</a></li></ul></nav><div class='ad'>Buy</div>"
                "<article><h1>Head &amp; line</h1><p>One  two\n three<p><b>Bold</b> text.<br></p><aside>Side</aside><p>A &lt; B</p>"
