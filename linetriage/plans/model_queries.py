@@ -15,7 +15,6 @@ from linetriage.sources.sinks import scratch_folder
 from linetriage.session import cut_lineage
 
 VECTOR = tuple(f"f{i:02d}" for i in range(64))
-SOME = VECTOR[:12]
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -278,11 +277,11 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Final fit on all rows, weights saved and read back, and both scorings compared."""
     rows = cut_lineage(views.vectors(spark, sf))
     weights = models.weights_table(spark, {
-        s: models.fit_logistic(rows.where(F.col("segment") == s), SOME) for s in ("even", "odd")})
+        s: models.fit_logistic(rows.where(F.col("segment") == s), VECTOR) for s in ("even", "odd")})
     path = f"{scratch_folder(spark)}/weights"
     weights.write.mode("errorifexists").parquet(path)
-    first = derive.linear_score(rows, weights, SOME)
-    second = derive.linear_score(rows, spark.read.parquet(path), SOME)
+    first = derive.linear_score(rows, weights, VECTOR)
+    second = derive.linear_score(rows, spark.read.parquet(path), VECTOR)
     return _rounded(drift.parity(first, second, ["row_id"], "score"), 12)
 
 
@@ -292,12 +291,12 @@ def model_queue(spark: SparkSession, sf: str) -> DataFrame:
     from linetriage.operators.quantiles import range_bounds
     from linetriage.operators.queue import build_queue
 
-    rows, _ = training_rows(spark, sf, SOME)
+    rows, _ = training_rows(spark, sf)
     fit, live = rows.where(F.col("fold") < 3), rows.where(F.col("fold") >= 3)
     weights = models.weights_table(spark, {
-        s: models.fit_logistic(fit.where(F.col("segment") == s), SOME) for s in ("even", "odd")})
-    ranged = derive.out_of_range(live, range_bounds(fit, SOME), SOME)
-    return build_queue(derive.linear_score(ranged, weights, SOME), ["odd"])
+        s: models.fit_logistic(fit.where(F.col("segment") == s), VECTOR) for s in ("even", "odd")})
+    ranged = derive.out_of_range(live, range_bounds(fit, VECTOR), VECTOR)
+    return build_queue(derive.linear_score(ranged, weights, VECTOR), ["odd"])
 
 
 @query("A31 A33 W7", f"""WITH {views.OOF}, s AS (SELECT *, row_number() OVER (PARTITION BY model, seed, segment ORDER BY score DESC, row_id)

@@ -118,3 +118,30 @@ def test_the_best_margin_decides_in_the_union_route(spark):
     limits = spark.createDataFrame([(0, "a", "p", 0.6), (0, "a", "q", 0.7)], "outer int, segment string, candidate string, high_recall_threshold double")
     got = {r.row_id: (round(r.score, 6), r.decision) for r in models.union_route(scores, limits, ["outer", "segment"]).collect()}
     assert got == {1: (0.6, True), 2: (0.25, False)}
+
+
+def test_queue_and_round_trip_use_all_embedding_features(spark, tmp_path, monkeypatch):
+    from linetriage.plans import model_queries, views
+
+    fitted, fit = [], models.fit_logistic
+    monkeypatch.setattr(models, "fit_logistic", lambda rows, features, *more: fitted.append(tuple(features)) or fit(rows, features, *more))
+    sf = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{sf}/embeddings.parquet")
+    before = {r.row_id: r.ood_feature_count for r in model_queries.model_queue(spark, sf).collect()}
+    far = min(before, key=lambda i: (before[i], i))
+    # The row leaves the range in the last three features only.
+    moved = F.when(F.col("vec_id") == far, F.concat(F.slice("embedding", 1, 61), F.array(*[F.lit(1e6).cast("float")] * 3)))
+    source.withColumn("embedding", F.coalesce(moved, "embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = views.vectors(spark, str(tmp_path)).where(F.col("row_id") == far).first()
+    assert rows["f60"] < 1e5 and rows["f61"] == rows["f63"] == 1e6
+    monkeypatch.setattr(model_queries, "training_rows", lambda *a, f=model_queries.training_rows: _with_fold(f(*a), far))
+    after = {r.row_id: r for r in model_queries.model_queue(spark, str(tmp_path)).collect()}
+    assert after[far].ood_feature_count >= 3 and after[far].ood_flag
+    assert model_queries.model_roundtrip(spark, sf).first()["max_abs_error"] <= 1e-12
+    assert len(fitted) == 6 and set(fitted) == {model_queries.VECTOR}
+
+
+def _with_fold(made, row):
+    """The moved row forms another group; it stays among the live rows."""
+    rows, table = made
+    return rows.withColumn("fold", F.when(F.col("row_id") == row, F.lit(4)).otherwise(F.col("fold"))), table
