@@ -170,21 +170,23 @@ def paired_loss_bootstrap(
 
 def paired_policy_bootstrap(
     df: DataFrame, baseline: str, candidate: str, draws: int, seed: int, fraction: float = 0.1,
-    weights: DataFrame | None = None,
+    weights: DataFrame | None = None, dims: Sequence[str] = (),
 ) -> DataFrame:
     """Segment-stratified paired bootstrap: candidate minus baseline in recall and average precision.
 
-    Budgets and ranks are made again in each draw, per segment (P_MACHINE) and pooled (P_GLOBAL).
+    Budgets and ranks are made again in each draw, per segment (P_MACHINE) and pooled (P_GLOBAL). ``dims``
+    (such as seed) keeps tables of scores apart; all of them get the same draws of groups.
     """
+    dims = list(dims)
     pair = df.where(F.col("model").isin(baseline, candidate))
     if weights is None:
         weights = multinomial_weights(pair, draws, seed, ["segment"])
     # The observed table is one more draw, number -1, in which every group counts once.
     once = pair.select("segment", "group_id").distinct().withColumns({"draw": F.lit(-1), "w": F.lit(1).cast("long")})
     both = weights.select("segment", "group_id", "draw", "w").unionByName(once)
-    per_draw = draw_metrics(pair, both, ["model"], [fraction], ["segment"], (ALL, "segment"))
-    keys = ["segment", "policy", "metric"]
-    deltas = _policy_values(per_draw, ["model", "draw"]).groupBy("draw", *keys).agg(
+    per_draw = draw_metrics(pair, both, [*dims, "model"], [fraction], ["segment"], (ALL, "segment"))
+    keys = [*dims, "segment", "policy", "metric"]
+    deltas = _policy_values(per_draw, [*dims, "model", "draw"]).groupBy("draw", *keys).agg(
         (F.max(F.when(F.col("model") == candidate, F.col("v")))
          - F.max(F.when(F.col("model") == baseline, F.col("v")))).alias("delta")
     )

@@ -119,6 +119,21 @@ def test_identical_scores_differ_by_nothing(spark):
     assert any(r.invalid_repeats for r in out)
 
 
+def test_paired_bootstrap_keeps_seeds_apart(spark):
+    rows = [
+        (seed, model, "ab"[i % 2], i, f"g{i // 2}", int(i % 5 == 0), ((i * (7 + 4 * seed + (model == "new"))) % 41) / 41)
+        for seed in (1, 2) for model in ("old", "new") for i in range(40)]
+    both = spark.createDataFrame(rows, "seed int, model string, segment string, row_id long, group_id string, label int, score double")
+    got = resample.paired_policy_bootstrap(both, "old", "new", 6, 7, dims=["seed"]).collect()
+    assert len(got) == 24 and {r.seed for r in got} == {1, 2}
+    for seed in (1, 2):
+        alone = resample.paired_policy_bootstrap(both.where(F.col("seed") == seed), "old", "new", 6, 7).collect()
+        found = {(r.segment, r.policy, r.metric): r for r in got if r.seed == seed}
+        for r in alone:
+            other = found[r.segment, r.policy, r.metric]
+            assert all(other[c] == pytest.approx(r[c], abs=1e-12) for c in ("lower95", "upper95", "difference", "valid_repeats"))
+
+
 def test_poisson_weights_average_one(spark):
     groups = spark.range(2000).select(F.col("id").cast("string").alias("group_id"))
     total = resample.poisson_weights(groups, 5, 3).agg(F.sum("w")).first()[0]
