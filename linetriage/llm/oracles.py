@@ -39,3 +39,54 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM keyed JOIN fi
 kept AS (SELECT l.doc_id, count(*) FILTER (gone.i IS NOT NULL) AS removed_lines,
   coalesce(string_agg(lines[l.i], chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id)
 SELECT doc_id, text, length(text) AS n_chars, removed_lines FROM kept"""
+
+
+def _merkle_sql(heights: int = 6, upper: int = 4) -> str:
+    """Every level of the source trees and of the tree over their roots as a query of its own."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    # CRC-32, reflected, bit by bit.
+    byte = "list_reduce([xor(c, ascii(x)), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, (a & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda y: ascii(y)::BIGINT)), lambda c, x: {byte.replace('ascii(x)', 'x')}), 4294967295)"
+    levels = [
+        f"d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({head} || {field.format('text')}) AS leaf, "
+        f"CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {field.format(lowered)}) END AS tampered FROM documents)",
+        "l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS slot, count(*) OVER (PARTITION BY tree) AS total FROM d)",
+        "a0 AS (SELECT tree, slot, total, leaf AS digest FROM l)",
+    ]
+
+    def climb(name: str, count: int) -> None:
+        for i in range(count):
+            levels.append(
+                f"{name}{i + 1} AS MATERIALIZED (SELECT tree, slot // 16 AS slot, (any_value(total) + 15) // 16 AS total, "
+                f"CASE WHEN any_value(total) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY slot)) END AS digest "
+                f"FROM {name}{i} GROUP BY tree, slot // 16)")
+            levels.append(
+                f"{name}s{i} AS MATERIALIZED (SELECT x.tree, x.slot, coalesce(string_agg(y.digest, '' ORDER BY y.slot) FILTER (y.slot < x.slot), '') AS l, "
+                f"coalesce(string_agg(y.digest, '' ORDER BY y.slot) FILTER (y.slot > x.slot), '') AS r, any_value(x.total) > 1 AS real "
+                f"FROM {name}{i} x JOIN {name}{i} y ON x.tree = y.tree AND x.slot // 16 = y.slot // 16 GROUP BY x.tree, x.slot)")
+
+    climb("a", heights)
+    levels.append(
+        f"b0 AS MATERIALIZED (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY encode(tree)) - 1 AS slot, count(*) OVER () AS total, digest FROM a{heights})")
+    climb("b", upper)
+    digest, steps, joins, proof = "coalesce(tampered, leaf)", "", "", []
+    for i in range(heights):
+        joins += f" JOIN as{i} ON as{i}.tree = l.tree AND as{i}.slot = l.slot // {16 ** i}"
+    joins += " JOIN b0 ON b0.name = l.tree"
+    for i in range(upper):
+        joins += f" JOIN bs{i} ON bs{i}.slot = b0.slot // {16 ** i}"
+    names = [f"as{i}" for i in range(heights)] + [f"bs{i}" for i in range(upper)]
+    for n, s in enumerate(names):
+        last = f"f{n - 1}" if n else digest
+        steps += f", CASE WHEN {s}.real THEN sha256({s}.l || {last} || {s}.r) ELSE {last} END AS f{n}"
+        proof.append(f"CASE WHEN {s}.real THEN {s}.l || {s}.r ELSE '' END")
+    levels.append(
+        f"p AS (SELECT doc_id, leaf, b0.digest AS subroot, (SELECT digest FROM b{upper}) AS root, sha256({' || '.join(proof)}) AS proof_sha256{steps} FROM l{joins})")
+    last = f"f{len(names) - 1}"
+    return "WITH " + ",\n".join(levels) + (
+        f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, {last} AS folded_root, {last} = root AS verified FROM p")
+
+
+ORACLE_SQL["op12_merkle_manifest"] = _merkle_sql()

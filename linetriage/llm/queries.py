@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from linetriage.llm import bpe, html, jaccard, linededup, neardup, packing, parsing, quality, tokenfiles, toxicity
+from linetriage.llm import (
+    alignment, bpe, html, jaccard, linededup, merkle, neardup, packing, parsing, quality, secretscan, tokenfiles, toxicity,
+)
 from linetriage.llm.common import table
 from linetriage.llm.oracles import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -67,7 +72,40 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.fingerprint_beside_next(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find(table(spark, sf_dir, "documents"))
+
+    def joined(only: tuple[str, ...]) -> Column:
+        wanted = F.filter("spans", lambda s: s["kind"].isin(*only))
+        return F.array_join(F.transform(wanted, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secretscan.BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(secretscan.BASE_KINDS), 256).alias("base_sha256"),
+        joined(secretscan.KINDS).alias("spans"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    lowered = F.translate(text, ascii_uppercase, ascii_lowercase)
+    fields = [lowered if f == "text" else F.col(f) for f in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest(fields))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), {"tampered": tampered})
+    folded = rows.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(
+        table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER, public_tokenizers.PATTERN)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_embedding_neardup, op2_quality, op3_token_files, op4_html_extraction, op5_toxicity, op6_ngram_jaccard, op7_packing,
-    op8_line_dedup, op9_byte_bpe, op10_fingerprints,
+    op8_line_dedup, op9_byte_bpe, op10_fingerprints, op11_secret_scan, op12_merkle_manifest,
+    op13_tokenizer_alignment,
 )}
