@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,7 @@ END_ID = 2
 # Latin letters that are one letter before and after lower-casing and composition.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-į"
 _PLAIN = re.compile(f"[!-&(-~{_LETTERS}]+")
+_SAMPLES = ("a", "Word", "end.", "(ÀÉî,", "x2y34", "foo_bar/-baz;", "Straße", "100%", "e.g.", "#!")
 _PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
@@ -18,8 +20,10 @@ class WordEncoder:
     """``Tokenizer.encode(text, add_special_tokens=False)`` for many texts that share words.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so the ids of a
-    text are those of its space-separated words in turn. New words of a batch go to the library
-    together; at most ``limit`` words are remembered per Python worker.
+    text are those of its space-separated words in turn. New words of plain letters, digits and signs are
+    cut into pieces here, which words with and without a comma share; samples show whether the file follows
+    the rules known here, and all other words go through the whole library. At most ``limit`` words and
+    pieces are remembered per Python worker, besides those of one batch.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -31,33 +35,34 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids of this tokenizer need more than 16 bits")
-        self.ends = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.by_end = self.ends.sum() > size // 4
+        self.model = self.tokenizer.model
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.direct = all(self.pieced(w) == self.one(w) for w in _SAMPLES)
 
     def one(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, "<u2").tobytes()
 
+    def piece(self, lower: str) -> bytes:
+        """Ids of one piece straight from the merges."""
+        known = self.memory.get(lower)
+        if known is None:
+            tokens = self.model.tokenize(lower.encode().decode("latin-1").translate(self.letters))
+            known = self.memory[lower] = struct.pack(f"<{len(tokens)}H", *[t.id for t in tokens])
+        return known
+
+    def pieced(self, word: str) -> bytes:
+        """Ids of a word of plain characters: lower-cased, cut into pieces as the tokenizer's pattern does."""
+        lower = word.lower()
+        return self.piece(lower) if lower.isalpha() else b"".join(map(self.piece, _PIECE.findall(lower)))
+
     def learn(self, words: set[str]) -> None:
-        plain = [w for w in words if self.by_end and _PLAIN.fullmatch(w) and "<|" not in w]
-        for w in words.difference(plain):
-            self.memory[w] = self.one(w)
-        if not plain:
-            return
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u2")
-        counts = np.array([1 if w.isalpha() else len(_PIECE.findall(w)) for w in plain])
-        ends = np.flatnonzero(self.ends[ids])
-        if len(ends) != counts.sum():  # the file has other rules than expected: word by word
-            for w in plain:
-                self.memory[w] = self.one(w)
-            return
-        stops = 2 * (ends[np.cumsum(counts) - 1] + 1)
-        raw, start = ids.tobytes(), 0
-        for w, stop in zip(plain, stops.tolist()):
-            self.memory[w] = raw[start:stop]
-            start = stop
+        for w in words:
+            letters = w.isascii() and w.isalpha()
+            plain = self.direct and (letters or _PLAIN.fullmatch(w) and "<|" not in w)
+            self.memory[w] = self.pieced(w) if plain else self.one(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
