@@ -79,10 +79,11 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         wanted = F.filter("spans", lambda s: s["kind"].isin(*only))
         return F.array_join(F.transform(wanted, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secretscan.BASE_KINDS]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(joined(secretscan.BASE_KINDS), 256).alias("base_sha256"),
+        "doc_id", *map(count, secretscan.BASE_KINDS), F.sha2(joined(secretscan.BASE_KINDS), 256).alias("base_sha256"),
         joined(secretscan.KINDS).alias("spans"))
 
 
