@@ -22,9 +22,11 @@ def leaf_digest(values: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*[framed(v) for v in values]), 256)
 
 
-def sibling(at: Column, shift: Column, fanout: int) -> Column:
-    """Place of a sibling inside a run of ``fanout`` nodes, for shifts 1 to ``fanout - 1``."""
-    return at.bitwiseXOR(F.lit(1)) if fanout == 2 else (at + shift) % F.lit(fanout)
+def is_sibling(at: Column, other: Column, fanout: int) -> Column:
+    """Whether ``other`` is a place that ``at`` computes for a sibling: its XOR, or itself shifted within the run."""
+    if fanout == 2:
+        return other == at.bitwiseXOR(F.lit(1))
+    return F.pmod(other - at, F.lit(fanout)).between(1, fanout - 1)
 
 
 def slotted(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -45,60 +47,63 @@ def slotted(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return ranked.withColumn("slot", F.col("before") + F.col("nth")).drop("dealt", "before", "nth")
 
 
-def joined_level(nodes: DataFrame, fanout: int) -> DataFrame:
-    """Give each node (tree, slot, total, digest) the digests of its run: ``left`` and ``right`` of it, concatenated.
+def with_siblings(nodes: DataFrame, fanout: int, only_first: bool = False) -> DataFrame:
+    """Give each node (tree, slot, total, digest, ...) the digests of its run: ``left`` and ``right`` of it, concatenated.
 
-    Every node asks for its siblings by computed index; the requests meet the nodes in an equijoin whose
-    two sides come from one shuffle by (tree, run), so a large tree is spread by its runs.
+    A self-join on the run in which every node meets the nodes at its computed sibling places. Both sides and
+    the sums of the answers need one shuffle, by (tree, run), so a large tree is spread by its runs.
     """
-    size = F.least(F.lit(fanout), F.col("total") - F.col("run") * fanout)
     placed = nodes.withColumns({
         "run": F.expr(f"slot div {fanout}"), "at": F.expr(f"cast(slot % {fanout} as int)")}).repartition("tree", "run")
-    shifts = F.explode(F.sequence(F.lit(1), F.lit(fanout - 1))).alias("shift")
-    asked = placed.select("tree", "run", "at", size.alias("size"), shifts).select(
-        "tree", "run", "at", "size", sibling(F.col("at"), F.col("shift"), fanout).alias("want")).where("want < size")
-    given = placed.select("tree", "run", F.col("at").alias("want"), F.col("digest").alias("other"))
-    found = asked.join(given, ["tree", "run", "want"]).groupBy("tree", "run", "at").agg(
-        F.sort_array(F.collect_list(F.struct("want", "other"))).alias("others"))
+    given = placed.select(
+        F.col("tree").alias("o_tree"), F.col("run").alias("o_run"), F.col("at").alias("o_at"), F.col("digest").alias("other"))
+    asking = placed.where("at = 0") if only_first else placed
+    met = asking.join(
+        given, (F.col("tree") == F.col("o_tree")) & (F.col("run") == F.col("o_run"))
+        & is_sibling(F.col("at"), F.col("o_at"), fanout), "left")
+    answer = F.when(F.col("other").isNotNull(), F.struct("o_at", "other"))
+    kept = [F.first(c).alias(c) for c in nodes.columns if c != "tree"]
+    found = met.groupBy("tree", "run", "at").agg(F.sort_array(F.collect_list(answer)).alias("others"), *kept)
 
     def side(keep: str) -> Column:
-        return F.coalesce(
-            F.expr(f"array_join(transform(filter(others, o -> o.want {keep} at), o -> o.other), '')"), F.lit(""))
+        return F.expr(f"array_join(transform(filter(others, o -> o.o_at {keep} at), o -> o.other), '')")
 
-    return placed.join(found, ["tree", "run", "at"], "left").withColumns({"left": side("<"), "right": side(">")}).drop("others")
+    return found.withColumns({"left": side("<"), "right": side(">")}).drop("others")
 
 
 def climb(nodes: DataFrame, fanout: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """All levels of all trees, and by height the nodes that are alone in their tree: its root."""
+    """The nodes of all levels of all trees, and by height those that are alone in their tree: its root."""
     levels: list[DataFrame] = []
     tops: list[DataFrame] = []
     left = nodes.agg(F.max("total")).first()[0] or 0
     while left > 1:
         tops.append(nodes.where("total = 1"))
-        level = stored(joined_level(nodes.where("total > 1"), fanout))
-        levels.append(level)
-        nodes = level.where("at = 0").select(
+        levels.append(nodes.where("total > 1"))
+        first = with_siblings(levels[-1].select("tree", "slot", "total", "digest"), fanout, only_first=True)
+        nodes = stored(first.select(
             "tree", F.col("run").alias("slot"), F.ceil(F.col("total") / fanout).alias("total"),
-            F.sha2(F.concat("digest", "right"), 256).alias("digest"))
+            F.sha2(F.concat("digest", "right"), 256).alias("digest")))
         left = -(-left // fanout)
     return levels, [*tops, nodes]
 
 
-def descend(levels: list[DataFrame], roots: list[DataFrame]) -> DataFrame:
+def descend(levels: list[DataFrame], roots: list[DataFrame], fanout: int) -> DataFrame:
     """The lowest level with ``path``: what to put left and right of the digest, from the node up to the last root.
 
     ``roots`` are the tops by height with their own ``path`` above and the columns that all nodes of the tree get.
     """
     extra = [c for c in roots[-1].columns if c not in ("tree", "path")]
-    above = roots[-1].withColumn("slot", F.lit(0).cast("long"))
+    slot = F.lit(0).cast("long").alias("slot")
+    above = roots[-1].select("tree", slot, "path", *extra)
     for height in range(len(levels) - 1, -1, -1):
-        up = above.select(F.col("tree"), F.col("slot").alias("run"), F.col("path").alias("upper"), *extra)
+        up = above.select("tree", F.col("slot").alias("run"), F.col("path").alias("upper"), *extra)
         step = F.array(F.struct("left", "right")).cast(PATH)
-        level = levels[height].join(up, ["tree", "run"]).withColumn("path", F.concat(step, "upper")).drop("upper")
+        level = with_siblings(levels[height], fanout).join(up, ["tree", "run"]).withColumn(
+            "path", F.concat(step, "upper")).drop("upper", "left", "right")
         if height == 0:
             return level
         above = level.select("tree", "slot", "path", *extra).unionByName(
-            roots[height].withColumn("slot", F.lit(0).cast("long")).select("tree", "slot", "path", *extra))
+            roots[height].select("tree", slot, "path", *extra))
     return above
 
 
@@ -138,7 +143,7 @@ def manifest(
     empty = F.array().cast(PATH)
     if top_levels:
         ends = [t.select("tree", empty.alias("path")) for t in top_roots]
-        named = descend(top_levels, ends)
+        named = descend(top_levels, ends, fanout)
     else:
         named = upper.withColumn("path", empty)
     named = stored(named.select(F.col("name").alias("tree"), "height", F.col("digest").alias("subroot"), "path"))
@@ -146,7 +151,7 @@ def manifest(
 
     own = ["key", "digest", "tree", *[f"carried_{n}" for n in carried], "subroot", "path"]
     alone = tops[0].where("total = 1").join(by_height[0], "tree").select(*own)
-    rows = descend(levels, by_height).select(*own).unionByName(alone) if levels else alone
+    rows = descend(levels, by_height, fanout).select(*own).unionByName(alone) if levels else alone
     return rows.select(
         F.col("key").alias(order), F.when(F.col("tree") != "", F.expr("substring(tree, 2)")).alias(group),
         F.col("digest").alias("leaf"), "subroot", F.lit(root).cast("string").alias("root"), "path",

@@ -265,9 +265,11 @@ def test_manifest_query_finds_the_tampered_rows(spark, tmp_path):
 
 def test_a_large_tree_is_dealt_by_its_runs(spark):
     nodes = spark.range(4096).selectExpr("concat('t', id div 5000) tree", "id slot", "4096L total", "sha2(string(id), 256) digest")
-    plan = merkle.joined_level(nodes, 16)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = merkle.with_siblings(nodes, 16)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(tree" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert len(re.findall(r"hashpartitioning\(tree[^,]*, run[^,]*, \d+\)", plan)) >= 1
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(re.findall(r"hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", plan))) == {"tree, run, 8"}
 
 
 # Tokenizer alignment
@@ -398,3 +400,16 @@ def test_fragments_join_in_any_order(text, size, rng):
     nothing = alignment.Fragment(alignment.Run(pairs[:0], pairs[:0]), None, 0, pairs[:0], b"")
     for f in (aligner.join(nothing, got), aligner.join(pieces[0], nothing)):
         assert aligner.whole(f).text == written
+
+
+def test_secret_query_columns(spark, documents, tmp_path):
+    texts = ["", None, "token = abcdef AKIA" + "Z" * 16, "secret: " + FOUND["curve"][1], "é " + "0a" * 14]
+    documents(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in QUERIES["op11_secret_scan"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        base = plain_base(text or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [
+            sum(s[0] == k for s in base) for k in secretscan.BASE_KINDS]
+        assert rows[i].base_sha256 == digest(joined)
+        assert rows[i].spans == joined + (f",der_key:8:{len(text)}" if i == 3 else "")
