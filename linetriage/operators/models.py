@@ -24,8 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linetriage.functions.columns import add_up, sigmoid
 from linetriage.functions.sizing import small_table
-from linetriage.operators import budget, choose, quality
+from linetriage.operators import batched, budget, choose, quality
 from linetriage.operators.derive import checked_sigmoid
+from linetriage.operators.joins import candidate_pairs
+from linetriage.operators.windows import average_rank
 from linetriage.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -235,7 +237,7 @@ def oof_scores(
     The training frame should be materialised (cached or checkpointed) by the caller. A group that lies
     in several folds, or a row whose fold is not among ``folds``, is an error.
     """
-    _check_folds(df, fold, folds)
+    check_folds(df, fold, folds)
     identity = [c for c in ("segment", "row_id", "group_id", "label", fold, *keep) if c in df.columns]
 
     def one(task: tuple[str, int]) -> DataFrame:
@@ -250,7 +252,7 @@ def oof_scores(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _check_folds(df: DataFrame, fold: str, folds: Sequence[int]) -> None:
+def check_folds(df: DataFrame, fold: str, folds: Sequence[int]) -> None:
     outside = F.count(F.when(~F.coalesce(F.col(fold).isin(list(folds)), F.lit(False)), 1))
     if "group_id" in df.columns:
         per = df.groupBy("group_id").agg(outside.alias("o"), (F.min(fold) < F.max(fold)).alias("s"))
@@ -300,30 +302,51 @@ def apply_map(score: Column, slope: float, intercept: float) -> Column:
 def calibrated_oof(
     df: DataFrame, features: Sequence[str], inner: DataFrame, folds: Sequence[int], c: float = 0.1
 ) -> DataFrame:
-    """Raw and sigmoid-calibrated logistic score out of fold.
+    """Raw and sigmoid-calibrated logistic score out of fold, with the map of each outer fold.
 
     ``inner`` has (outer, group_id, inner_fold). The map of an outer fold is fitted on the inner
-    out-of-fold margins of its training rows only.
+    out-of-fold margins of its training rows only. The fits of all inner folds of an outer fold are made
+    together, as are those of all outer folds and all maps.
     """
-    def one(k: int) -> DataFrame:
-        training = df.where(F.col("fold") != k)
-        placed = training.join(inner.where(F.col("outer") == k).select("group_id", "inner_fold"), "group_id")
-        inner_count = placed.agg(F.max("inner_fold")).first()[0] + 1
-        margins = []
-        for i in range(inner_count):
-            fit = fit_logistic(placed.where(F.col("inner_fold") != i), features, c)
-            held = placed.where(F.col("inner_fold") == i)
-            margins.append(held.select("label", margin(fit).alias("score")))
-        slope, intercept = fit_sigmoid(reduce(DataFrame.unionByName, margins))
-        fit = fit_logistic(training, features, c)
-        scored = df.where(F.col("fold") == k).withColumn("z", margin(fit))
-        return scored.select(
-            "segment", "row_id", "group_id", "label", "fold", sigmoid(F.col("z")).alias("raw"),
-            apply_map(F.col("z"), slope, intercept).alias("sigmoid"),
-        )
-
-    with ThreadPoolExecutor(3) as pool:
-        return reduce(DataFrame.unionByName, list(pool.map(one, folds)))
+    view = {"rows": batched.View(F.lit(1), F.col("label"))}
+    parts = []
+    for k in folds:
+        placed = cut_lineage(df.where(F.col("fold") != k).drop("fold").join(
+            inner.where(F.col("outer") == k).select("group_id", F.col("inner_fold").alias("fold")), "group_id"))
+        count = placed.agg(F.max("fold")).first()[0] + 1
+        jobs = [batched.Job((i,), "rows", c, fold=i) for i in range(count)]
+        fits = batched.fit_all(placed, features, view, jobs)
+        z = batched.margins(placed, features, fits, ("fold",), ("fold",))
+        parts.append(z.select(F.lit(k).alias("outer"), "label", F.col("z").alias("score")))
+    maps = small_table(batched.sigmoid_maps(reduce(DataFrame.unionByName, parts), ["outer"]).withColumnRenamed("outer", "fold"))
+    fits = batched.fit_all(df, features, view, [batched.Job((int(k),), "rows", c, fold=int(k)) for k in folds])
+    scored = batched.margins(df, features, fits, ("fold",), ("fold",)).join(maps, "fold")
+    return scored.select(
+        "segment", "row_id", "group_id", "label", "fold", "z", "slope", "intercept", "steepest",
+        sigmoid(F.col("z")).alias("raw"), sigmoid(F.col("z") * F.col("slope") + F.col("intercept")).alias("sigmoid"))
+
+
+def calibrated_pair(scores: DataFrame, pair: Sequence[str], c: float = 10.0) -> DataFrame:
+    """Two candidates as one calibrated, decided score per row.
+
+    ``scores`` (segment, row_id, group_id, label, fold, candidate, score) holds both candidates for every row.
+    Their shares of rank within (segment, fold) are averaged; a logistic map and the threshold of the best F1
+    come from the other folds of the segment. Adds blend, slope, intercept, steepest, score, threshold, decision.
+    """
+    keys = ["segment", "row_id", "group_id", "fold", "label"]
+    wide = cut_lineage(candidate_pairs(scores, keys, list(pair)))
+    for name in pair:
+        wide = average_rank(wide, ["segment", "fold"], f"score_{name}", f"share_{name}")
+    ranked = cut_lineage(wide.select(*keys, ((F.col(f"share_{pair[0]}") + F.col(f"share_{pair[1]}")) / 2).alias("blend")))
+    maps = small_table(batched.sigmoid_maps(ranked, ["segment"], "blend", c, smooth=False, fold="fold"))
+    mapped = sigmoid(F.col("blend") * F.col("slope") + F.col("intercept"))
+    held = ranked.join(maps, ["segment", "fold"]).withColumn("score", mapped)
+    folds = [r[0] for r in ranked.select("fold").distinct().collect()]
+    others = F.filter(F.array(*[F.lit(k) for k in folds]), lambda k: k != F.col("fold"))
+    training = ranked.withColumn("k", F.explode(others)).drop("fold").withColumnRenamed("k", "fold")
+    limits = quality.best_thresholds(training.join(maps, ["segment", "fold"]).withColumn("score", mapped), ["segment", "fold"])
+    limits = small_table(limits.select("segment", "fold", F.col("f1_threshold").alias("threshold")))
+    return held.join(limits, ["segment", "fold"]).withColumn("decision", F.col("score") >= F.col("threshold"))
 
 
 # -- nested selection ---------------------------------------------------------------------------

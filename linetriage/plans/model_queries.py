@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linetriage.functions.columns import finite
-from linetriage.operators import anomaly, budget, derive, drift, groups, models, quality, splits
+from linetriage.functions.sizing import join_same
+from linetriage.operators import anomaly, budget, derive, drift, groups, models, quality, specs, splits
 from linetriage.operators.choose import ROUTES
 from linetriage.plans import views
 from linetriage.plans.registry import query
@@ -159,14 +160,115 @@ def oof_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(models.oof_scores(rows, VECTOR, candidates, range(5), 42))
 
 
-@query("M2 M8 P12", _facts_sql("pooled", "unweighted", "separate"))
-def oof_logistic(spark: SparkSession, sf: str) -> DataFrame:
+# The fold of every group of equal embeddings, as ``training_rows`` deals them.
+VECTOR_FOLDS = """v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS segment, vec_id, (label = 0)::INTEGER AS label, embedding FROM embeddings),
+vg AS (SELECT segment, embedding, segment || ':' || min(vec_id) AS group_id, min(vec_id) AS first_row, count(*) AS n, sum(label)::BIGINT AS p,
+  segment || ':' || CASE WHEN sum(label) > 0 THEN '1' ELSE '0' END AS stratum FROM v GROUP BY segment, embedding),
+vs AS (SELECT stratum, coalesce(sum(count(*)) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM vg GROUP BY stratum),
+vf AS (SELECT vg.*, CAST((row_number() OVER (PARTITION BY vg.stratum ORDER BY md5('42|' || group_id), first_row) - 1 + start) % 5 AS INTEGER) AS fold
+  FROM vg JOIN vs ON vg.stratum = vs.stratum)"""
+
+#: Candidate specifications; in the SQL: whether groups count once, how often positives count, and whether segments are fitted together.
+SPECS = {
+    "pooled": specs.Spec("logistic", 0.1, pooled=True), "unweighted": specs.Spec("logistic", 1.0, None, pooled=True),
+    "separate": specs.Spec("logistic", 0.1), "event": specs.Spec("logistic", 0.1, event=True),
+    "oversampled": specs.Spec("logistic", 0.1, None, oversample=5), "event_sqrt": specs.Spec("logistic", 1.0, "sqrt", event=True, oversample=2),
+    "shared": specs.Spec("logistic", 0.1, group_weight=True), "engineered": specs.Spec("logistic", 0.1, engineered=True),
+}
+SPEC_VALUES = ", ".join(f"('{n}', {s.event}, {s.oversample}, {s.pooled})" for n, s in SPECS.items())
+ENGINEERING = {
+    "ratios": {"r1": ("f00", "f01"), "r2": ("f02", "f03")}, "spread": ("family", ("f04", "f05", "f06", "f07")),
+    "differences": {"d1": ("f08", "f09")}}
+LEDGER_SQL = f"""WITH {VECTOR_FOLDS}, spec AS (SELECT * FROM (VALUES {SPEC_VALUES}) t(candidate, event, times, pooled)),
+fit AS (SELECT candidate, k.fold, CASE WHEN NOT pooled THEN segment END AS segment, sum(n)::BIGINT AS training_rows, sum(p)::BIGINT AS training_positives,
+  sum(CASE WHEN event THEN CASE WHEN p > 0 THEN times ELSE 1 END ELSE n + p * (times - 1) END)::BIGINT AS fit_rows,
+  sum(CASE WHEN event THEN CASE WHEN p > 0 THEN times ELSE 0 END ELSE p * times END)::BIGINT AS fit_positives
+  FROM vf CROSS JOIN spec JOIN (SELECT DISTINCT fold FROM vf) k ON k.fold <> vf.fold GROUP BY ALL)"""
+
+
+def _slopes(rows: DataFrame, fits: dict, names: list[str]) -> DataFrame:
+    """Largest slope left of each fit's loss, by plain sums over its rows: no code shared with the fit."""
+    table = []
+    for (name, fold, segment), f in fits.items():
+        n, p, spec = f.rows, f.positives, SPECS[name]
+        low, high = {"balanced": (n / (2 * (n - p)), n / (2 * p)), None: (1.0, 1.0)}[spec.weights]
+        table.append((name, fold, segment, spec.c, low, high, f.mean.tolist(), f.scale.tolist(), f.coef.tolist(), f.intercept))
+    weights = F.broadcast(rows.sparkSession.createDataFrame(
+        table, "candidate string, left_out int, part string, c double, low double, high double, "
+               "mean array<double>, scale array<double>, coef array<double>, intercept double"))
+    inside = (F.col("fold") != F.col("left_out")) & (F.col("part").isNull() | (F.col("part") == F.col("segment")))
+    x = F.array(*[F.col(c) for c in names])
+    seen = rows.select("segment", "fold", "label", x.alias("x")).join(weights, inside).withColumn(
+        "x", F.zip_with(F.zip_with("x", "mean", lambda a, m: a - m), "scale", lambda a, d: a / d))
+    z = F.aggregate(F.zip_with("x", "coef", lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v) + F.col("intercept")
+    weight = F.when(F.col("label") == 1, F.col("high")).otherwise(F.col("low"))
+    keys = ["candidate", "left_out", "part"]
+    terms = seen.withColumn("w", weight).withColumn("off", F.col("w") * (1 / (1 + F.exp(-z)) - F.col("label"))).select(
+        *keys, "c", "w", "off", F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("at", "v"),
+        F.concat("coef", F.array(F.lit(0.0))).alias("all"))
+    sums = terms.groupBy(*keys, "at").agg(
+        F.abs(F.first("c") * F.sum(F.col("off") * F.col("v")) + F.first(F.element_at("all", F.col("at") + 1))).alias("slope"),
+        (F.first("c") * F.sum("w")).alias("size"))
+    return sums.groupBy("candidate", F.col("left_out").alias("fold"), F.col("part").alias("segment")).agg(
+        F.max(F.col("slope") / F.col("size")).alias("slope"))
+
+
+def _spec_run(spark: SparkSession, sf: str, names: list[str]):
     rows, _ = training_rows(spark, sf)
-    candidates = {
-        "pooled": models.logistic(0.1), "unweighted": models.logistic(1.0, None),
-        "separate": models.per_segment(models.logistic(0.1), ("even", "odd")),
-    }
-    return _facts(models.oof_scores(rows, VECTOR, candidates, range(5), 42))
+    return rows, specs.spec_scores(rows, VECTOR, {n: SPECS[n] for n in names}, range(5), 42, ENGINEERING)
+
+
+@query("M2 M8 P3 P13 P14 G9 U5 Q18", LEDGER_SQL + " SELECT *, TRUE AS same_counts FROM fit")
+def spec_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger that the fits of all specs wrote; ``same_counts``: the views as rows have as many rows and positives."""
+    rows, (_, ledger, _) = _spec_run(spark, sf, list(SPECS))
+    counted = []
+    for name, spec in SPECS.items():
+        folds = F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("left_out")
+        view = specs.training_view(rows, spec, VECTOR)
+        if "fold" not in view.columns:
+            view = view.join(rows.select("group_id", "fold").distinct(), "group_id")
+        seg = F.lit(None).cast("string") if spec.pooled else F.col("segment")
+        seen = view.select("fold", "label", seg.alias("segment"), folds).where("fold <> left_out")
+        counted.append(seen.groupBy(F.col("left_out").alias("fold"), "segment").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("p")).withColumn("candidate", F.lit(name)))
+    again = reduce(DataFrame.unionByName, counted)
+    joined = join_same(ledger, again, ["candidate", "fold", "segment"], "full_outer")
+    return joined.select(
+        "candidate", "fold", "segment", "training_rows", "training_positives", "fit_rows", "fit_positives",
+        (F.col("fit_rows").eqNullSafe(F.col("n")) & F.col("fit_positives").eqNullSafe(F.col("p"))).alias("same_counts"))
+
+
+@query("Q18 Q20", LEDGER_SQL + """, told AS (SELECT *, fit_rows + CASE WHEN fold = 2 THEN 1 ELSE 0 END AS stored_rows,
+  fit_positives - CASE WHEN candidate = 'event' THEN 1 ELSE 0 END AS stored_positives FROM fit WHERE NOT (candidate = 'shared' AND fold = 4))
+SELECT count(*) FILTER (stored_rows IS NULL) AS missing, count(*) FILTER (stored_rows <> fit.fit_rows) AS wrong_rows,
+  count(*) FILTER (stored_positives <> fit.fit_positives) AS wrong_positives
+FROM fit LEFT JOIN told ON fit.candidate = told.candidate AND fit.fold = told.fold AND fit.segment IS NOT DISTINCT FROM told.segment""")
+def spec_ledger_tampered(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults found in a stored ledger from which entries were taken and in which counts were changed."""
+    _, (_, ledger, _) = _spec_run(spark, sf, list(SPECS))
+    true = cut_lineage(ledger)
+    told = true.where(~((F.col("candidate") == "shared") & (F.col("fold") == 4))).select(
+        "candidate", "fold", "segment", (F.col("fit_rows") + F.when(F.col("fold") == 2, 1).otherwise(0)).alias("stored_rows"),
+        (F.col("fit_positives") - F.when(F.col("candidate") == "event", 1).otherwise(0)).alias("stored_positives"))
+    both = join_same(true, told, ["candidate", "fold", "segment"], "left")
+    return both.agg(
+        F.count_if(F.col("stored_rows").isNull()).alias("missing"),
+        F.count_if(F.col("stored_rows") != F.col("fit_rows")).alias("wrong_rows"),
+        F.count_if(F.col("stored_positives") != F.col("fit_positives")).alias("wrong_positives"))
+
+
+@query("M2 M8 P12", _facts_sql("pooled", "unweighted", "separate").replace(
+    "count(DISTINCT embedding) AS inputs_scored_alike", "count(DISTINCT embedding) AS inputs_scored_alike, 5::BIGINT AS stationary_fits"))
+def oof_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of the scores, and for how many fits the loss is level at the weights, by column expressions over their rows."""
+    names = ["pooled", "unweighted", "separate"]
+    rows, (scores, _, fits) = _spec_run(spark, sf, names)
+    level = _slopes(rows, fits, list(VECTOR)).where("slope < 1e-8")
+    segments = F.when(F.col("segment").isNull(), F.array(F.lit("even"), F.lit("odd"))).otherwise(F.array("segment"))
+    found = level.select("candidate", F.explode(segments).alias("segment")).groupBy("candidate", "segment").agg(
+        F.count(F.lit(1)).alias("stationary_fits"))
+    return _facts(scores).join(found, ["candidate", "segment"], "left")
 
 
 @query("M5", _facts_sql("rbf"))
@@ -182,24 +284,18 @@ def iforest(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(scored.withColumn("candidate", F.lit("isolation")))
 
 
-@query("M7", """SELECT candidate, count(*) AS rows, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::BIGINT AS positives, count(*) AS scored, TRUE AS ordered_alike
-FROM embeddings CROSS JOIN (SELECT unnest(['raw', 'sigmoid']) AS candidate) GROUP BY ALL""")
+@query("M7", f"""WITH {VECTOR_FOLDS} SELECT fold, sum(n)::BIGINT AS rows, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS scored, sum(n)::BIGINT AS mapped_alike,
+  TRUE AS level FROM vf GROUP BY fold""")
 def platt(spark: SparkSession, sf: str) -> DataFrame:
+    """Per outer fold: rows whose calibrated score is the fold's map of the margin, and whether the map's loss is level."""
     rows, table = training_rows(spark, sf)
     inner = splits.inner_folds(table, range(5), 42, most=3)
     out = cut_lineage(models.calibrated_oof(rows, VECTOR, cut_lineage(inner), range(5)))
-    # One sigmoid per fold is monotone, so inside a fold it orders rows as the raw score does, or the other way round.
-    inside = Window.partitionBy("fold").orderBy("raw", "row_id")
-    steps = out.withColumns({"_up": F.col("sigmoid") - F.lag("sigmoid").over(inside)}).groupBy("fold").agg(
-        ((F.coalesce(F.min("_up"), F.lit(0.0)) >= -1e-12) | (F.coalesce(F.max("_up"), F.lit(0.0)) <= 1e-12)).alias("one_way"))
-    alike = steps.agg(F.bool_and("one_way").alias("ordered_alike"))
-    long = out.select("label", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("candidate"), F.col(c).alias("score")) for c in ("raw", "sigmoid")
-    ])).alias("s")).select("label", "s.*")
-    facts = long.groupBy("candidate").agg(
+    again = 1 / (1 + F.exp(-(F.log(F.col("raw") / (1 - F.col("raw"))) * F.col("slope") + F.col("intercept"))))
+    return out.groupBy("fold").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"),
-        F.count(F.when(F.col("score").between(0, 1), 1)).alias("scored"))
-    return facts.withColumn("ordered_alike", F.lit(alike.first()["ordered_alike"]))
+        F.count_if(F.col("raw").between(0, 1) & F.col("sigmoid").between(0, 1)).alias("scored"),
+        F.count_if(F.abs(again - F.col("sigmoid")) < 1e-9).alias("mapped_alike"), (F.max("steepest") < 1e-9).alias("level"))
 
 
 @query("M9 M10 A29 T4", f"""SELECT route, CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS segment, count(*) AS rows,
@@ -216,32 +312,30 @@ def nested_select(spark: SparkSession, sf: str) -> DataFrame:
         F.count("f1_decision").alias("decided"), F.count(F.when(F.col("score").between(0, 1), 1)).alias("scored"))
 
 
-@query("M12 W3 J6", """SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS segment, count(*) AS rows,
-  sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::BIGINT AS positives, count(*) AS decided FROM embeddings GROUP BY ALL""")
+@query("M12 W3 J6", f"""WITH {VECTOR_FOLDS} SELECT segment, fold, sum(n)::BIGINT AS rows, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS decided,
+  TRUE AS level, TRUE AS best_f1 FROM vf GROUP BY segment, fold""")
 def calibrated_pair(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank blend of two candidates, one scalar sigmoid per segment and a threshold, all fitted on other folds."""
-    from linetriage.operators.joins import candidate_pairs
-    from linetriage.operators.windows import average_rank
-
-    rows, _ = training_rows(spark, sf)
-    pair = {"a": models.logistic(0.1), "b": models.logistic(1.0, None)}
-    scores = models.oof_scores(rows, VECTOR, pair, range(5), 42)
-    wide = cut_lineage(candidate_pairs(scores, ["segment", "row_id", "group_id", "fold", "label"], list(pair)))
-    for name in pair:
-        wide = average_rank(wide, ["segment", "fold"], f"score_{name}", f"share_{name}")
-    ranked = cut_lineage(wide.withColumn("score", (F.col("share_a") + F.col("share_b")) / 2))
-    parts = []
-    for segment, fold in [(s, k) for s in ("even", "odd") for k in range(5)]:
-        fit = ranked.where((F.col("segment") == segment) & (F.col("fold") != fold))
-        slope, intercept = models.fit_scalar_map(fit)
-        mapped = fit.withColumn("score", models.apply_map(F.col("score"), slope, intercept))
-        limit = quality.best_thresholds(mapped, ["segment"]).first()
-        held = ranked.where((F.col("segment") == segment) & (F.col("fold") == fold))
-        parts.append(held.withColumn("score", models.apply_map(F.col("score"), slope, intercept)).withColumn(
-            "decision", F.col("score") >= F.lit(limit["f1_threshold"])))
-    decided = reduce(DataFrame.unionByName, parts)
-    return decided.groupBy("segment").agg(
+    """Per segment and fold: rows decided, whether the map is level on the other folds' rows (slopes by plain sums),
+    and whether no score of theirs gives a better F1 than the threshold."""
+    _, (scores, _, _) = _spec_run(spark, sf, ["pooled", "unweighted"])
+    out = cut_lineage(models.calibrated_pair(scores, ["pooled", "unweighted"]))
+    maps = out.select("segment", F.col("fold").alias("held"), "slope", "intercept", "threshold").distinct()
+    others = out.select("segment", "fold", "label", "blend").join(maps, "segment").where("fold <> held")
+    p = 1 / (1 + F.exp(-(F.col("blend") * F.col("slope") + F.col("intercept"))))
+    rates = others.withColumn("p", p)
+    level = rates.groupBy("segment", "held").agg(
+        (F.abs(10 * F.sum((F.col("p") - F.col("label")) * F.col("blend")) + F.first("slope")) / F.count(F.lit(1)) < 1e-7).alias("g1"),
+        (F.abs(10 * F.sum(F.col("p") - F.col("label"))) / F.count(F.lit(1)) < 1e-7).alias("g0"))
+    steps = rates.groupBy("segment", "held", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y"), F.first("threshold").alias("t"))
+    upto = Window.partitionBy("segment", "held").orderBy(F.desc("p"))
+    f1 = steps.withColumns({"tp": F.sum("y").over(upto), "k": F.sum("n").over(upto), "all": F.sum("y").over(Window.partitionBy("segment", "held"))}).withColumn(
+        "f1", 2 * F.col("tp") / (F.col("k") + F.col("all")))
+    best = f1.groupBy("segment", "held").agg(
+        (F.max("f1") - F.max(F.when(F.abs(F.col("p") - F.col("t")) < 1e-12, F.col("f1"))) < 1e-12).alias("best_f1"))
+    checks = level.join(best, ["segment", "held"]).select("segment", F.col("held").alias("fold"), (F.col("g0") & F.col("g1")).alias("level"), "best_f1")
+    facts = out.groupBy("segment", "fold").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"), F.count("decision").alias("decided"))
+    return facts.join(checks, ["segment", "fold"])
 
 
 @query("M13 A36 G7", f"""WITH {views.TIMED}, o AS (SELECT *, row_number() OVER (ORDER BY ts, row_id) AS r, count(*) OVER () AS n FROM timed),
@@ -287,16 +381,13 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M14 M15")
 def model_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on development folds, score everything else, queue it."""
+    """All rows, each scored by the fit of its segment on the other folds, with bounds of all rows, as a queue."""
     from linetriage.operators.quantiles import range_bounds
     from linetriage.operators.queue import build_queue
 
-    rows, _ = training_rows(spark, sf)
-    fit, live = rows.where(F.col("fold") < 3), rows.where(F.col("fold") >= 3)
-    weights = models.weights_table(spark, {
-        s: models.fit_logistic(fit.where(F.col("segment") == s), VECTOR) for s in ("even", "odd")})
-    ranged = derive.out_of_range(live, range_bounds(fit, VECTOR), VECTOR)
-    return build_queue(derive.linear_score(ranged, weights, VECTOR), ["odd"])
+    rows, (scores, _, _) = _spec_run(spark, sf, ["separate"])
+    ranged = derive.out_of_range(rows, range_bounds(rows, VECTOR), VECTOR)
+    return build_queue(ranged.join(scores.select("row_id", "score"), "row_id"), ["odd"])
 
 
 @query("A31 A33 W7", f"""WITH {views.OOF}, s AS (SELECT *, row_number() OVER (PARTITION BY model, seed, segment ORDER BY score DESC, row_id)
