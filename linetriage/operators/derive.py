@@ -138,7 +138,9 @@ def score_distinct(df: DataFrame, features: Sequence[str], score) -> DataFrame:
 
 
 def balanced_weights(df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Class weight n / (2 * n_class), so both classes weigh the same in a fit."""
+    """Class weight n / (2 * n_class), so both classes weigh the same in a fit; a null label is an error."""
+    fault = F.raise_error(F.lit("a class weight needs a label")).cast(dict(df.dtypes)["label"])
+    df = df.withColumn("label", F.coalesce(F.col("label"), fault))
     counts = df.groupBy(*scope, "label").agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.groupBy(*scope).agg(F.sum("_c").alias("_n")) if scope else None
     if totals is not None:

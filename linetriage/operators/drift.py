@@ -44,13 +44,14 @@ def standardisation_drift(df: DataFrame, features: Sequence[str], source: str =
 
 
 def parity(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Coverage and largest absolute difference of two tables that should agree."""
+    """Coverage and largest absolute difference of two tables that should agree; a null beside a value is a lost row."""
     left = a.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_in_a"))
     right = b.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
     gap = F.abs(F.col("_a") - F.col("_b"))
     return left.join(right, list(keys), "full_outer").agg(
-        F.count(F.lit(1)).alias("keys"), count_if(F.col("_in_b").isNull()).alias("only_in_first"),
-        count_if(F.col("_in_a").isNull()).alias("only_in_second"), F.max(gap).alias("max_abs_error"),
+        F.count(F.lit(1)).alias("keys"), count_if(F.col("_in_b").isNull() | (F.col("_a").isNotNull() & F.col("_b").isNull())).alias("only_in_first"),
+        count_if(F.col("_in_a").isNull() | (F.col("_b").isNotNull() & F.col("_a").isNull())).alias("only_in_second"),
+        F.max(gap).alias("max_abs_error"),
     )
 
 

@@ -34,12 +34,12 @@ def left_complete(left: DataFrame, right: DataFrame, keys: Sequence[str], probe:
 def left_report(
     left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, tolerance: float = 0.0
 ) -> DataFrame:
-    """Unmatched rows and value differences of a left join, as one row of counts."""
+    """Unmatched rows and value differences of a left join, as one row of counts; a null beside a value differs."""
     joined = left.join(right.withColumn("_hit", F.lit(True)), list(keys), "left")
     gap = F.abs(F.col(a) - F.col(b))
     return joined.agg(
         F.count(F.lit(1)).alias("rows"), count_if(F.col("_hit").isNull()).alias("unmatched"),
-        count_if(gap > tolerance).alias("differing"),
+        count_if((gap > tolerance) | (F.col("_hit") & (F.col(a).isNull() != F.col(b).isNull()))).alias("differing"),
     )
 
 
@@ -80,16 +80,20 @@ def against_baseline(
 
 
 def group_bijection(a: DataFrame, b: DataFrame, keys: Sequence[str], group: str = "group_id") -> DataFrame:
-    """Faults of renaming groups of ``a`` to those of ``b``: rows without partner, changed labels, split or merged groups."""
+    """Faults of renaming groups of ``a`` to those of ``b``: rows without partner, changed labels, split or merged groups.
+
+    A null beside a label is a changed label, a null beside a group a split or merged one.
+    """
     left = a.select(*keys, F.col(group).alias("_ga"), F.col("label").alias("_ya"), F.lit(True).alias("_l"))
     right = b.select(*keys, F.col(group).alias("_gb"), F.col("label").alias("_yb"), F.lit(True).alias("_r"))
     paired = left.join(right, list(keys), "full_outer")
     rows = paired.agg(
         count_if(F.col("_l").isNull() | F.col("_r").isNull()).alias("unmatched_rows"),
-        count_if(F.col("_ya") != F.col("_yb")).alias("changed_labels"),
+        count_if(F.col("_l") & F.col("_r") & ~F.col("_ya").eqNullSafe(F.col("_yb"))).alias("changed_labels"),
     )
     def several(own: str, other: str, name: str) -> DataFrame:
-        per = paired.where(F.col(own).isNotNull()).groupBy(own).agg((F.min(other) < F.max(other)).alias("m"))
+        per = paired.where(F.col("_l") & F.col("_r") & F.col(own).isNotNull()).groupBy(own).agg(
+            ((F.min(other) < F.max(other)) | (F.count(other) < F.count(F.lit(1)))).alias("m"))
         return per.agg(count_if(F.col("m")).alias(name))
 
     out = None

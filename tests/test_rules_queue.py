@@ -226,3 +226,18 @@ def test_collapse_needs_equal_measurements(spark):
     rows = spark.createDataFrame([("s", "g", 1, 0, None), ("s", "g", 2, 1, 3.0)], "segment string, group_id string, row_id int, label int, x double")
     with pytest.raises(Exception, match="different x"):
         groups.collapse_events(rows, ["x"]).collect()
+
+
+def test_a_null_beside_a_value_is_a_fault(spark):
+    from linetriage.operators import derive, drift, joins
+
+    a = spark.createDataFrame([(1, 0.5, 1, "g"), (2, 0.5, 0, "g"), (3, None, None, "h")], "row_id int, x double, label int, group_id string")
+    b = spark.createDataFrame([(1, 0.5, 1, "k"), (2, None, None, None), (3, None, None, "m")], "row_id int, x double, label int, group_id string")
+    found = drift.parity(a, b, ["row_id"], "x").first()
+    assert (found.keys, found.only_in_first, found.only_in_second, found.max_abs_error) == (3, 1, 0, 0.0)
+    report = joins.left_report(a, b.withColumnRenamed("x", "y"), ["row_id"], "x", "y").first()
+    assert (report.rows, report.unmatched, report.differing) == (3, 0, 1)
+    faults = {r.rule: r.failed_rows for r in joins.group_bijection(a, b, ["row_id"]).collect()}
+    assert faults["changed_labels"] == 1 and faults["split_groups"] == 1 and faults["unmatched_rows"] == 0
+    with pytest.raises(Exception, match="needs a label"):
+        derive.balanced_weights(a.withColumn("segment", derive.F.lit("s")), ["segment"]).collect()
