@@ -132,10 +132,10 @@ def small_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("row_id", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
 
 
-@query("U1 S1", f"""WITH {views.OBS} SELECT segment, row_id, label FROM obs WHERE fold < 2
+@query("U1 S1", f"""WITH {views.OBS} SELECT segment, row_id, label FROM obs
 UNION ALL SELECT o_orderstatus, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END FROM orders""")
 def concatenated(spark: SparkSession, sf: str) -> DataFrame:
-    first = views.observations(spark, sf).where("fold < 2").select("segment", "row_id", "label")
+    first = views.observations(spark, sf).select("segment", "row_id", "label")
     return first.unionByName(views.timed(spark, sf).select("segment", "row_id", "label"))
 
 

@@ -58,29 +58,28 @@ def boot_loss(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(resample.paired_loss_bootstrap(rows, "baseline", "candidate", DRAWS, SEED))
 
 
-PAIRED = """{ap}, rec AS (SELECT model, draw, scope, sum(label * least(w, greatest(0, ceil(0.1::DOUBLE * n) - before))) AS found,
-  max(p) AS p, any_value(ap) AS ap FROM copies JOIN ap USING (model, draw, scope) GROUP BY model, draw, scope),
-tot AS (SELECT model, draw, sum(found) AS f FROM rec WHERE scope <> 'all' GROUP BY model, draw),
+PAIRED = """{ap}, rec AS (SELECT seed, model, draw, scope, sum(label * least(w, greatest(0, ceil(0.1::DOUBLE * n) - before))) AS found,
+  max(p) AS p, any_value(ap) AS ap FROM copies JOIN ap USING (seed, model, draw, scope) GROUP BY seed, model, draw, scope),
+tot AS (SELECT seed, model, draw, sum(found) AS f FROM rec WHERE scope <> 'all' GROUP BY seed, model, draw),
 vals AS (
-  SELECT model, draw, scope, 'P_GLOBAL' AS policy, 'recall' AS metric, found / nullif(p, 0)::DOUBLE AS v FROM rec UNION ALL
-  SELECT model, draw, scope, 'P_MACHINE', 'recall', CASE WHEN scope = 'all' THEN f ELSE found END / nullif(p, 0)::DOUBLE FROM rec JOIN tot USING (model, draw) UNION ALL
-  SELECT model, draw, scope, unnest(['P_GLOBAL', 'P_MACHINE']), 'average_precision', ap FROM rec),
-delta AS (SELECT draw, scope, policy, metric, max(v) FILTER (model = 'mixed') - max(v) FILTER (model = 'ratio') AS d FROM vals GROUP BY ALL)"""
+  SELECT seed, model, draw, scope, 'P_GLOBAL' AS policy, 'recall' AS metric, found / nullif(p, 0)::DOUBLE AS v FROM rec UNION ALL
+  SELECT seed, model, draw, scope, 'P_MACHINE', 'recall', CASE WHEN scope = 'all' THEN f ELSE found END / nullif(p, 0)::DOUBLE FROM rec JOIN tot USING (seed, model, draw) UNION ALL
+  SELECT seed, model, draw, scope, unnest(['P_GLOBAL', 'P_MACHINE']), 'average_precision', ap FROM rec),
+delta AS (SELECT seed, draw, scope, policy, metric, max(v) FILTER (model = 'mixed') - max(v) FILTER (model = 'ratio') AS d FROM vals GROUP BY ALL)"""
 
 
-@query("A27 X1 A8", f"""WITH {views.OOF}, pair AS (SELECT * FROM oof WHERE seed = 1), {_weights_sql('pair', 'segment')},
+@query("A27 X1 A8", f"""WITH {views.OOF}, pair AS (SELECT * FROM oof), {_weights_sql('pair', 'segment')},
 all_weights AS (SELECT segment, group_id, draw, w FROM weights UNION ALL
   SELECT DISTINCT segment, group_id, -1, 1 FROM pair),
 drawn AS (SELECT o.*, draw, w, unnest(['all', o.segment]) AS scope FROM pair o JOIN all_weights a ON a.segment = o.segment AND a.group_id = o.group_id),
-{PAIRED.format(ap=AP_OF_DRAWS.format(keys='model, draw, scope'))}
-SELECT scope AS segment, policy, metric, round(quantile_cont(d, 0.025) FILTER (draw >= 0), 6) AS lower95,
+{PAIRED.format(ap=AP_OF_DRAWS.format(keys='seed, model, draw, scope'))}
+SELECT seed, scope AS segment, policy, metric, round(quantile_cont(d, 0.025) FILTER (draw >= 0), 6) AS lower95,
   round(quantile_cont(d, 0.975) FILTER (draw >= 0), 6) AS upper95, count(d) FILTER (draw >= 0) AS valid_repeats,
   {DRAWS} - count(d) FILTER (draw >= 0) AS invalid_repeats, {DRAWS}::BIGINT AS requested_repeats,
   round(max(d) FILTER (draw = -1), 6) AS difference
-FROM delta GROUP BY scope, policy, metric""")
+FROM delta GROUP BY seed, scope, policy, metric""")
 def boot_paired(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.oof(spark, sf).where(F.col("seed") == 1)
-    return _rounded(resample.paired_policy_bootstrap(rows, "ratio", "mixed", DRAWS, SEED))
+    return _rounded(resample.paired_policy_bootstrap(views.oof(spark, sf), "ratio", "mixed", DRAWS, SEED, dims=["seed"]))
 
 
 @query("A28", f"""WITH {views.OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, row_id) AS i,
