@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 WORDS = 50  # words that a run of lines must hold
+PRIME = (1 << 127) - 1  # modulus of the rolling hash over lines,
+BASE = 0x9E3779B97F4A7C15F39CC0605CEDC835 % PRIME  # and its base
 
 
 def windows(text: str, words: int = WORDS) -> Iterator[tuple[int, int]]:
@@ -28,19 +30,43 @@ def windows(text: str, words: int = WORDS) -> Iterator[tuple[int, int]]:
                 yield run
 
 
+def smallest(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Minimum of ``values`` in each range: from minima over all ranges of 1, 2, 4, ... values."""
+    steps = [values]
+    while 2 ** len(steps) <= len(values):
+        half = 2 ** (len(steps) - 1)
+        steps.append(np.minimum(steps[-1][:-half], steps[-1][half:]))
+    level = np.frexp(last - first + 1.0)[1] - 1
+    out = np.empty(len(first), values.dtype)
+    for k in np.unique(level).tolist():
+        at = level == k
+        out[at] = np.minimum(steps[k][first[at]], steps[k][last[at] + 1 - 2**k])
+    return out
+
+
 def fingerprints(text: str, words: int = WORDS) -> Iterator[tuple[int, bytes, int, int]]:
     """(fingerprint, digest, first, last) of every window: the smallest line hash in it, and its content.
 
     Two copies of a window select the same line, so any run of lines with ``words`` words in common has
-    a fingerprint in common.
+    a fingerprint in common. Digests are differences of one rolling hash over the lines, so the time is
+    linear in the lines, also where windows hold very many empty ones.
     """
     if text.count(" ") + text.count("\n") + 1 < words and len(text.split()) < words:
         return
     raw = text.encode().split(b"\n")
-    hashes = np.array([xxhash.xxh3_64_intdigest(line) for line in raw], np.uint64).astype(np.int64)
-    for first, last in windows(text, words):
-        digest = xxhash.xxh3_128_digest(b"\n".join(raw[first : last + 1]))
-        yield int(hashes[first : last + 1].min()), digest, first, last
+    hashes = [xxhash.xxh3_64_intdigest(line) for line in raw]
+    spans = list(windows(text, words))
+    if not spans:
+        return
+    upto, power = [0], [1]
+    for h in hashes:
+        upto.append((upto[-1] * BASE + h + 1) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
+    first, last = np.array(spans, np.int64).T
+    minima = smallest(np.array(hashes, np.uint64).astype(np.int64), first, last)
+    for (a, b), least in zip(spans, minima.tolist()):
+        digest = (upto[b + 1] - upto[a] * power[b + 1 - a]) % PRIME
+        yield least, digest.to_bytes(16, "big"), a, b
 
 
 def repeated(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -87,8 +113,8 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) with later copies of line runs deleted from the text.
 
     A run of whole consecutive lines with at least ``words`` words is deleted wherever it also occurs at
-    an earlier (doc_id, line); of equal runs in a document the first stays. Adds ``removed_lines``; where
-    there is an ``n_chars`` column, it follows the text. Null texts and texts without such runs come back
+    an earlier (doc_id, line); of equal runs in a document the first stays. Adds ``removed_lines`` (one of the
+    input is replaced); where there is an ``n_chars`` column, it follows the text. Null texts and texts without such runs come back
     as they are; a text all of whose lines go becomes empty. Rows with a null doc_id are left alone. Rows
     with the same doc_id count as one place: what one of them holds is not a copy of the other. An empty
     table gives no rows.
