@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 EMPTY = b""
 NEVER = 1 << 60
+STRIDE = 32  # bytes after which agreed tokens are written where no states are kept
+LONGEST = 256  # characters of a piece that is remembered
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,9 +48,9 @@ class Transducer:
     left neighbour does not merge with it. A state holds the last written token and, for each position
     from which a longer token may still start, the bytes since then and the tokens since the last
     written one. States are made when they are first reached and shared by content; what all positions
-    agree on is written. Lookahead is bounded by the longest token. Once there are ``limit`` states, no
-    more are kept, and the rest of a piece that leaves them is stepped through without. As in any trained
-    file, a token must have a higher rank than its two halves.
+    agree on is written. Lookahead is bounded by the longest token. Once ``limit`` states are kept, the rest
+    of a piece that leaves them is stepped through without, and what is agreed on is written every
+    ``STRIDE`` bytes. As in any trained file, a token must have a higher rank than its two halves.
     """
 
     def __init__(self, ranks: dict[bytes, int], limit: int = 60_000):
@@ -65,7 +67,7 @@ class Transducer:
         known = self.states.get(key)
         if known is None:
             final = next(chain for since, chain in key[1] if since == EMPTY)
-            known = self.states[key] = {-1: key, -2: tuple(self.ranks[t] for t in final)}
+            known = self.states[key] = {-1: key, -2: tuple([self.ranks[t] for t in final])}
         return known
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -129,23 +131,27 @@ class Transducer:
             if longer in prefixes:
                 after.append((longer, chain))
         after.append((EMPTY, ended))
+        sure, written, after = self.agreed(written, after)
+        made = state[byte] = tuple([ranks[t] for t in sure]), self.state((written, tuple(after)))
+        return made
+
+    def agreed(self, written: bytes, live: list) -> tuple[tuple[bytes, ...], bytes, list]:
+        """The tokens that all positions agree on, the last token written after them, and the positions without them."""
+        ended = live[-1][1]
         sure = len(ended)
-        for _, chain in after[:-1]:
+        for _, chain in live[:-1]:
             sure = min(sure, len(chain))
             while chain[:sure] != ended[:sure]:
                 sure -= 1
-        ids = ()
-        if sure:
-            written = ended[sure - 1]
-            after = [(since, chain[sure:]) for since, chain in after]
-            ids = tuple([ranks[t] for t in ended[:sure]])
-        made = state[byte] = ids, self.state((written, tuple(after)))
-        return made
+        if not sure:
+            return (), written, live
+        return ended[:sure], ended[sure - 1], [(since, chain[sure:]) for since, chain in live]
 
     def unkept(self, key: tuple, rest: bytes) -> list[int]:
         """Ids from a state on to the end of ``rest``, without making states: what the steps above would write."""
         (written, live), ranks, prefixes, known = key, self.ranks, self.prefixes, self.fits_memory
-        for byte in rest:
+        out: list[int] = []
+        for at, byte in enumerate(rest, 1):
             one, after, ended = bytes((byte,)), [], None
             for since, chain in live:
                 longer = since + one
@@ -158,15 +164,18 @@ class Transducer:
                     after.append((longer, chain))
             after.append((EMPTY, ended))
             live = after
-        return [ranks[t] for t in live[-1][1]]
+            if not at % STRIDE:
+                sure, written, live = self.agreed(written, live)
+                out += [ranks[t] for t in sure]
+        return out + [ranks[t] for t in live[-1][1]]
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        state, full = self.start, len(self.states) >= self.limit
+        state = self.start
         for at, byte in enumerate(piece):
             known = state.get(byte)
             if known is None:
-                if full:
+                if len(self.states) >= self.limit:
                     return out + self.unkept(state[-1], piece[at:])
                 known = self.step(state, byte)
             ids, state = known
@@ -179,7 +188,8 @@ class Transducer:
 class Pieces(dict):
     """Ids of whole pieces seen lately, as bytes; others go through the transducer.
 
-    With ``limit`` pieces they become the older half, from which those still in use come back.
+    With ``limit`` pieces they become the older half, from which those still in use come back. Pieces of
+    more than ``LONGEST`` characters are not kept, so memory is bounded however long they are.
     """
 
     def __init__(self, transducer: Transducer, limit: int):
@@ -190,6 +200,8 @@ class Pieces(dict):
         raw = self.older.get(piece)
         if raw is None:
             raw = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        if len(piece) > LONGEST:
+            return raw
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -200,7 +212,7 @@ class Pieces(dict):
 class Encoder:
     """Ids of texts: each match of ``pattern`` separately; at most twice ``limit`` pieces remembered per worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 200_000):
         import regex
 
         self.find = regex.compile(pattern).findall

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -168,6 +169,21 @@ def test_transducer_without_room_for_states_writes_the_same():
     assert len(narrow.states) <= 4
 
 
+def test_transducer_on_one_long_piece():
+    library = byte_encoding()
+    random.seed(8)
+    letters = "".join(random.choice("etaoinshrdlu") for _ in range(2_000)) * 1_000
+    narrow = bpe.Transducer(bpe.read_ranks(BYTE_RANKS), limit=2_000)
+    for piece in (letters[:200_000], "x" * 2_000_000):
+        started = time.time()
+        ids = narrow.encode(piece.encode())
+        assert time.time() - started < 90
+        assert b"".join(map(library.decode_single_token_bytes, ids)) == piece.encode()
+        # The library is slow on long pieces; a prefix differs from the whole only behind the longest token.
+        assert ids[:500] == library.encode_ordinary(piece[:6_000])[:500]
+    assert len(narrow.states) <= 2_000
+
+
 def test_utf8_stream_cuts_and_errors():
     text = "aé€𝄞z" * 3
     raw = text.encode()
