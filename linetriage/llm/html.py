@@ -14,13 +14,91 @@ WINDOW = 3  # lines whose text lengths are summed
 LEAST = 120  # characters in a window at which text outside of a main part surges
 SHARE = 0.2  # of the largest window outside of main parts that a stretch must reach
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
+_RAW = frozenset("script style noscript template textarea iframe svg title select object canvas".split())
+_OPEN = re.compile(r"<(?:(?P<end>/?)(?P<tag>[a-z][^\s/>]*)|!--|[!?])", re.IGNORECASE)
+# What may stand before the end of a tag: quotes enclose a value only behind an equals sign.
+_MORE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+")
+_QUOTED = re.compile(r"=\s*([\"'])")
+
+
+class _Tokens:
+    """Tags of a page (start, end, tag or None, whether it ends an element, attributes), in one movement forward.
+
+    What looks like a tag but does not end is text. Whether an end still follows is asked once: an end mark
+    that is not found from one place on is not looked for again, so broken pages take linear time.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.lower = page, page.lower()
+        self.plain = len(self.lower) == len(page)
+        self.next_at: dict[str, int] = {}
+        self.quotes = True
+
+    def find(self, mark: str, at: int) -> int:
+        """Place of the next ``mark`` from ``at`` on, or -1; remembered until it is passed."""
+        known = self.next_at.get(mark, 0)
+        if known >= 0 and known < at or mark not in self.next_at:
+            known = self.next_at[mark] = (self.lower if self.plain else self.page).find(mark, at)
+        return known
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """Where the element that starts before ``at`` and holds no markup ends."""
+        mark = f"</{tag}"
+        while (found := self.find(mark, at)) >= 0:
+            stop = found + len(mark)
+            closed = self.find(">", stop)
+            if closed < 0:
+                break
+            if not self.page[stop:closed].strip():
+                return closed + 1
+            at = stop
+        return len(self.page)
+
+    def tag_end(self, at: int) -> int:
+        """Where the attributes that start at ``at`` end: at the first > outside of quoted values.
+
+        Where a quoted value or the tag behind it has no end, tags of the rest of the page end at their first >.
+        """
+        first = self.find(">", at)
+        stop = at
+        while first >= 0 and self.quotes:
+            stop = _MORE.match(self.page, stop, first).end()
+            if stop == first:
+                break
+            opened = _QUOTED.match(self.page, stop)
+            close = self.find(opened[1], opened.end()) if opened else -1
+            stop = close + 1
+            first = self.find(">", stop) if close >= 0 else -1
+            if first < 0:
+                self.quotes = False
+                self.next_at.pop(">")
+                return self.find(">", at)
+        return first
+
+    def __iter__(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        page, at = self.page, 0
+        while (opened := _OPEN.search(page, at)) is not None:
+            start, tag = opened.start(), opened["tag"]
+            if tag is None:
+                mark = "-->" if opened[0] == "<!--" else ">"
+                end = self.find(mark, opened.end())
+                if end < 0 and mark == ">":
+                    at = opened.end()
+                    continue
+                at = len(page) if end < 0 else end + len(mark)
+                yield start, at, None, False, ""
+                continue
+            end = self.tag_end(opened.end())
+            if end < 0:
+                return  # no > is left, so no tag either: the rest is text
+            at, tag = end + 1, tag.lower()
+            if tag in _RAW and not opened["end"]:
+                at = self.after_raw(tag, at)
+                yield start, at, None, False, ""
+            else:
+                yield start, at, tag, bool(opened["end"]), page[opened.end() : end]
+
+
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img".split())
@@ -34,11 +112,17 @@ _WORDS = re.compile(
     r"sidebar|side|footer|header|masthead|comments?|comment-list|respond|replies|reply|disqus|cookies?|notice|consent|gdpr|"
     r"alert|popup|modal|overlay|share|sharing|social|related|recommended|breadcrumbs?|newsletter|subscribe|subscription|login|"
     r"signup|search|widget|pagination|pager|toolbar|contentinfo|complementary|dialog|hidden)(?:$|[\s_-])", re.IGNORECASE)
-#: Names that say the same wherever they stand; "related", "search", "side" or "header" alone do not.
+#: Class words that say the same wherever they stand; "related", "search", "side" or "header" alone do not.
 _CLEAR = re.compile(
-    r"(?:ads?|adverts?|advertisements?|adsbygoogle)(?:[-_]?(?:slot|unit|box|container|wrapper|banner|block|area|\d+))*"
-    r"|comments|comments?[-_]?(?:list|area|section|container|wrapper|thread|form)|disqus(?:[-_]thread)?"
-    r"|share|sharing|sharedaddy|(?:social[-_]?)?(?:share|sharing)[-_]?(?:bar|buttons?|links?|icons?|tools?)?|social[-_]share",
+    r"(?:ads?|adverts?|advertisements?|adsbygoogle)(?:[-_]?(?:slot|unit|box|container|wrapper|banner|block|area|label|\d+))*"
+    r"|(?:(?:reader|user|page|post|article)[-_]?)?comments?(?:[-_]?(?:list|area|section|container|wrapper|thread|form|body|text|item))?"
+    r"|disqus(?:[-_]thread)?"
+    r"|share|sharing|sharedaddy|(?:social[-_]?)?(?:share|sharing)[-_]?(?:bar|buttons?|links?|icons?|tools?)?|social[-_]share"
+    r"|(?:(?:left|right|page|site|main)[-_]?)?side[-_]?bar(?:[-_]?(?:left|right|\d+))?"
+    r"|(?:cookies?|consent|gdpr)(?:[-_]?(?:banner|notice|bar|box|message|popup|consent|law|policy))*"
+    r"|notices?|notice[-_]?(?:bar|box)|site[-_]notice"
+    r"|newsletter(?:[-_]?(?:signup|sign-up|form|box|subscribe))?"
+    r"|breadcrumbs?|(?:(?:main|top|site|page|nav)[-_]?)?menu|related[-_]?(?:posts?|articles?|stories|links?|content)",
     re.IGNORECASE)
 _ROLES = frozenset("navigation complementary contentinfo dialog alertdialog".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -61,7 +145,7 @@ def _set_aside(tag: str, more: str, in_main: bool) -> bool:
     for name, value in named:
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name == "class" or name == "id" and tag != "section" and tag not in _HEADINGS:
+        if tag not in _HEADINGS and (name == "class" or name == "id" and tag != "section"):
             if any(_CLEAR.fullmatch(word) for word in value.split()):
                 return True
     return False
@@ -92,17 +176,15 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         parts, links = [], 0
 
     at = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            piece = page[at : token.start()]
+    for start, after, tag, ending, more in _Tokens(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if in_link:
                 links += len(piece)
-        at = token.end()
-        tag = token["tag"]
+        at = after
         if tag is None:
             continue
-        tag, ending, more = tag.lower(), bool(token["end"]), token["more"]
         if tag == "a":
             in_link = 0 if ending else 1
         if tag not in _INLINE:

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import time
+
 import pytest
 
 import corpus_pipeline
@@ -229,3 +231,48 @@ def test_pipeline_on_empty_and_odd_tables(spark, documents, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         got = corpus_pipeline.run(spark, folder).collect()
         assert {r.doc_id for r in got} == ({0, 1, 2, 4, None} if name == "odd" else set())
+
+
+@pytest.mark.parametrize("unit", [
+    "<a ", "<div class='a", '<div class="a', "<!-- ", "<script>", "<script", "</script ", "<p title='>", '<a href="x>', "<!", "</",
+    "<title>x</title", "<textarea></textarea x", "<a t=\"x>\" ", "<p title=don't>it's ", "<b><i>"])
+def test_broken_markup_takes_linear_time(unit):
+    started = time.time()
+    html.main_text(unit * (5_000_000 // len(unit)) + "'")
+    assert time.time() - started < 15
+
+
+def test_tags_end_outside_of_quoted_values():
+    page = "<article><p title='a > b' data-x=\"1>2\">One don't.</p><p title=don't>Two it's.</p><p a='>Three.</p></article>"
+    assert html.main_text(page) == "One don't.\nTwo it's.\nThree."
+
+
+CLEAR = ("sidebar", "left-sidebar", "cookie-banner", "notice", "newsletter-signup", "breadcrumbs", "related-posts", "menu", "reader-comments",
+         "user-comment", "advertisement-label", "comment-list", "share-buttons")
+
+
+def test_what_is_set_aside_inside_a_main_part():
+    story = "".join(f"<p>{i} " + "words of the story " * 9 + "</p>" for i in range(6))
+    kept = html.main_text(f"<main><article>{story}</article></main>")
+    assert kept.count("\n") == 5
+    for name in CLEAR:
+        extra = f"<div class='{name}'><p>" + "outside of the story " * 12 + "</p></div>"
+        for page in (f"<article>{story}{extra}</article>", f"<main>{extra}{story}</main>", f"<article>{extra.replace('class', 'id')}{story}</article>"):
+            assert html.main_text(page) == kept, name
+    for tag, attribute in (("h2", "id='related-work'"), ("h2", "id='search'"), ("section", "id='notice'"), ("div", "class='entry-header'"),
+                           ("div", "class='side by side'"), ("section", "aria-label='Search'"), ("h2", "class='menu'")):
+        assert html.main_text(f"<article>{story}<{tag} {attribute}>Its own part</{tag}></article>") == f"{kept}\nIts own part"
+
+
+def test_windows_over_many_empty_lines_take_linear_time():
+    text = "\n" * 40_000 + " ".join(map(str, range(60))) + "\n" * 40_000 + "some words\n" * 10_000
+    started = time.time()
+    found = list(linededup.fingerprints(text))
+    assert time.time() - started < 15 and len(found) > 80_000
+    values = np.array([5, 3, 9, 1, 7, 7, 2])
+    ranges = np.array([(i, j) for i in range(7) for j in range(i, 7)])
+    got = linededup.smallest(values, ranges[:, 0], ranges[:, 1])
+    assert got.tolist() == [values[i : j + 1].min() for i, j in ranges]
+    same = "\n".join(["x", "y z"] * 50)
+    digests = {(b - a, d) for _, d, a, b in linededup.fingerprints(same)}
+    assert len(digests) == 3  # x to z, y to z, y to x
