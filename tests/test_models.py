@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from linetriage.operators import anomaly, drift, models
+from linetriage.operators import anomaly, batched, drift, models
 from linetriage.operators.derive import linear_score
 
 
@@ -125,6 +125,8 @@ def test_queue_and_round_trip_use_all_embedding_features(spark, tmp_path, monkey
 
     fitted, fit = [], models.fit_logistic
     monkeypatch.setattr(models, "fit_logistic", lambda rows, features, *more: fitted.append(tuple(features)) or fit(rows, features, *more))
+    together, fit_all = [], batched.fit_all
+    monkeypatch.setattr(batched, "fit_all", lambda rows, features, *more: together.append(tuple(features)) or fit_all(rows, features, *more))
     sf = "/root/testdata/sf0.001"
     source = spark.read.parquet(f"{sf}/embeddings.parquet")
     before = {r.row_id: r.ood_feature_count for r in model_queries.model_queue(spark, sf).collect()}
@@ -138,7 +140,9 @@ def test_queue_and_round_trip_use_all_embedding_features(spark, tmp_path, monkey
     after = {r.row_id: r for r in model_queries.model_queue(spark, str(tmp_path)).collect()}
     assert after[far].ood_feature_count >= 3 and after[far].ood_flag
     assert model_queries.model_roundtrip(spark, sf).first()["max_abs_error"] <= 1e-12
-    assert len(fitted) == 6 and set(fitted) == {model_queries.VECTOR}
+    # The queue's fits of all folds and segments are made together, the round trip's one by one.
+    assert len(together) == 2 and len(fitted) == 2 and {*together, *fitted} == {model_queries.VECTOR}
+    assert len(before) == len(after) == source.count()
 
 
 def _with_fold(made, row):
