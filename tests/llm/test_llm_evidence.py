@@ -376,7 +376,7 @@ def test_both_byte_level_libraries_agree():
 
 
 def test_long_texts_are_tokenized_in_parts_alike(monkeypatch):
-    text = "Some words, and others. Then more " * 300 + "é ▁x  y " * 50
+    text = "Some words, and others. Then more " * 300 + "x  y. Z " * 50
     whole = KINDS.encode([text])[0]
     monkeypatch.setattr(alignment, "PART", 500)
     parts = KINDS.encode([text])[0]
