@@ -16,9 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -407,39 +406,3 @@ def union_route(outer_scores: DataFrame, thresholds: DataFrame, keys: Sequence[s
     return rows.select(
         *keys, "row_id", "label", ((F.col("_m") + 1.0) / 2.0).alias("score"), (F.col("_m") >= 0).alias("decision")
     )
-
-
-# -- generic tabular baseline ---------------------------------------------------------------------
-
-
-def tabular_baseline(
-    training: DataFrame, rows: DataFrame, numeric: Sequence[str], text: Sequence[str], target: str,
-    regression: bool = False, alpha: float = 1.0,
-) -> DataFrame:
-    """Impute, scale, one-hot and fit a logistic or ridge model; adds prediction (and probability) to ``rows``."""
-    modes = training.agg(*[F.mode(c, True).alias(c) for c in text]).first() if text else None
-    def filled(df: DataFrame) -> DataFrame:
-        return df.fillna({c: modes[c] for c in text}) if text else df
-
-    stages = [Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}_i" for c in numeric]),
-              VectorAssembler(inputCols=[f"{c}_i" for c in numeric], outputCol="n_raw"),
-              StandardScaler(inputCol="n_raw", outputCol="n_scaled", withMean=True, withStd=True)]
-    parts = ["n_scaled"]
-    if text:
-        stages += [
-            StringIndexer(inputCols=list(text), outputCols=[f"{c}_x" for c in text], handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"{c}_x" for c in text], outputCols=[f"{c}_h" for c in text]),
-        ]
-        parts += [f"{c}_h" for c in text]
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    if regression:
-        count = training.count()
-        stages.append(LinearRegression(labelCol=target, regParam=alpha / count, elasticNetParam=0.0, solver="normal"))
-    else:
-        stages.append(LogisticRegression(labelCol=target, maxIter=200))
-    model = Pipeline(stages=stages).fit(filled(training))
-    out = model.transform(filled(rows))
-    if not regression:
-        out = out.withColumn("score", vector_to_array("probability")[1])
-    drop = [f"{c}_i" for c in numeric] + [f"{c}_{s}" for c in text for s in "xh"]
-    return out.drop("n_raw", "n_scaled", "features", "rawPrediction", "probability", *drop)

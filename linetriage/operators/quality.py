@@ -279,6 +279,18 @@ def class_metrics(df: DataFrame, scope: Sequence[str], truth: str, guess: str) -
     )
 
 
+def class_log_loss(df: DataFrame, scope: Sequence[str], truth: str, classes: Sequence, probabilities: str = "probabilities") -> DataFrame:
+    """Mean log-loss over any number of classes; ``probabilities`` is in the order of ``classes``.
+
+    A row whose class is not among them is an error, as its loss is not defined.
+    """
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(truth))
+    unknown = F.raise_error(F.concat(F.lit("unknown class "), F.coalesce(F.col(truth).cast("string"), F.lit("null")))).cast("double")
+    p = F.when(place > 0, F.get(F.col(probabilities), (place - 1).cast("int"))).otherwise(unknown)
+    safe = F.greatest(F.lit(PROBABILITY_CLIP), F.least(F.lit(1.0 - PROBABILITY_CLIP), p))
+    return df.groupBy(*scope).agg(F.avg(-F.log(safe)).alias("log_loss"))
+
+
 def regression_metrics(df: DataFrame, scope: Sequence[str], truth: str, guess: str) -> DataFrame:
     t, e = F.col(truth), F.col(truth) - F.col(guess)
     sums = df.groupBy(*scope).agg(

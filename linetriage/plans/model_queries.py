@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from linetriage.functions.columns import finite
 from linetriage.functions.sizing import join_same
-from linetriage.operators import anomaly, budget, derive, drift, groups, models, quality, specs, splits
+from linetriage.operators import anomaly, budget, derive, drift, groups, models, quality, specs, splits, tabular
 from linetriage.operators.choose import ROUTES
 from linetriage.plans import views
 from linetriage.plans.registry import query
@@ -338,32 +338,134 @@ def calibrated_pair(spark: SparkSession, sf: str) -> DataFrame:
     return facts.join(checks, ["segment", "fold"])
 
 
+CLASSES = ("F", "O", "P")
+
+
+def _level(model: tabular.Tabular, training: DataFrame, target: str) -> dict:
+    """Whether the loss is level at the weights, per class, by plain sums over the rows: no code shared with the fit."""
+    scored = model.predict(training)
+    numbers = [(F.lit(c), F.lit(None).cast("string"), F.coalesce(F.col(c).cast("double"), F.lit(model.medians[c])) / model.scales[c]) for c in model.numeric]
+    words = [(F.lit(c), F.col(c).cast("string"), F.lit(1.0)) for c in model.text]
+    every = F.array(*[F.struct(t.alias("term"), v.alias("value"), x.alias("x")) for t, v, x in
+                      [(F.lit("1"), F.lit(None).cast("string"), F.lit(1.0)), *numbers, *words]])
+    sides = F.array(*[F.struct(F.lit(i).alias("class"), (F.col("probabilities")[i] - F.when(F.col(target) == c, 1).otherwise(0)).alias("off"))
+                      for i, c in enumerate(model.classes) if i or len(model.classes) > 2])
+    long = scored.select(F.explode(sides).alias("s"), every.alias("e")).select("s.*", F.explode("e").alias("e")).select("class", "off", "e.*")
+    slopes = long.groupBy("class", "term", "value").agg(F.sum(F.col("off") * F.col("x")).alias("slope"), F.sum(F.abs("x")).alias("size"))
+    known = model.weights.select("term", "value", F.posexplode("coef").alias("class", "w"))
+    joined = join_same(slopes, known, ["class", "term", "value"], "left").collect()
+    worst: dict = {}
+    for r in joined:
+        own = model.slopes[r["term"]][r["class"]] if r["term"] in model.slopes else r["w"] or 0.0
+        off = abs(r["slope"] + own) / max(r["size"], 1.0)
+        worst[model.classes[r["class"]]] = max(off, worst.get(model.classes[r["class"]], 0.0))
+    return {c: v < 1e-5 for c, v in worst.items()}
+
+
 @query("M13 A36 G7", f"""WITH {views.TIMED}, o AS (SELECT *, row_number() OVER (ORDER BY ts, row_id) AS r, count(*) OVER () AS n FROM timed),
 cut AS (SELECT ts AS t FROM o WHERE r = floor(n * (1 - 0.2::DOUBLE)) + 1)
-SELECT count(*) AS rows, sum(label)::BIGINT AS positives, count(*) AS predicted, count(*) AS scored FROM timed CROSS JOIN cut WHERE ts >= t""")
+SELECT count(*) AS rows, sum(label)::BIGINT AS positives, count(*) AS predicted, count(*) AS scored, TRUE AS level FROM timed CROSS JOIN cut WHERE ts >= t""")
 def tabular_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits.time_split(views.timed(spark, sf), 0.2).withColumn("label", F.col("label").cast("double"))
+    """Later rows scored by a fit on earlier ones; ``level``: no weight can change without a greater loss."""
+    rows = cut_lineage(splits.time_split(views.timed(spark, sf), 0.2))
     training, test = rows.where(~F.col("test")), rows.where("test")
-    out = models.tabular_baseline(training, test, ["x", "o_custkey"], ["segment"], "label")
-    return out.agg(
+    model = tabular.fit(training, ["x", "o_custkey"], ["segment"], "label")
+    level = all(_level(model, training, "label").values())
+    return model.predict(test).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"),
-        F.count(F.when(F.col("prediction").isin(0.0, 1.0), 1)).alias("predicted"),
-        F.count(F.when(F.col("score").between(0, 1), 1)).alias("scored"))
-
-
-@query("M13 A36", """WITH h AS (SELECT l_linestatus AS segment, l_extendedprice AS y, row_number() OVER (
+        F.count(F.when(F.col("prediction").isin(0, 1), 1)).alias("predicted"),
+        F.count(F.when(F.col("score").between(0, 1), 1)).alias("scored"), F.lit(level).alias("level"))
+
+
+@query("M13 A36", f"""SELECT o_orderstatus AS truth, count(*) AS rows, count(*) AS predicted, count(*) AS scored, TRUE AS level, TRUE AS below_shares
+FROM orders GROUP BY o_orderstatus""")
+def tabular_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Three classes: per class rows with probabilities that add up to one, whether its loss is level at the weights,
+    and whether the log-loss of all rows is below that of the class shares."""
+    rows = cut_lineage(views.table(spark, sf, "orders").select("o_orderstatus", "o_totalprice", "o_orderpriority",
+                                                               F.unix_date(F.to_date("o_orderdate")).cast("double").alias("day")))
+    model = tabular.fit(rows, ["o_totalprice", "day"], ["o_orderpriority"], "o_orderstatus")
+    level = _level(model, rows, "o_orderstatus")
+    out = cut_lineage(model.predict(rows))
+    loss = quality.class_log_loss(out, [], "o_orderstatus", model.classes).first()[0]
+    sizes = [r["count"] for r in rows.groupBy("o_orderstatus").count().collect()]
+    plain = -sum(k / sum(sizes) * math.log(k / sum(sizes)) for k in sizes)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
+    marks = F.create_map(*[F.lit(v) for pair in level.items() for v in pair])
+    return out.groupBy(F.col("o_orderstatus").alias("truth")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction").isin(model.classes)).alias("predicted"),
+        F.count_if(F.abs(total - 1) < 1e-12).alias("scored")).withColumns({
+            "level": marks[F.col("truth")], "below_shares": F.lit(loss < plain)})
+
+
+def _determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(
+        f"{'-' if j % 2 else '+'} {m[0][j]} * {_determinant([[*r[:j], *r[j + 1:]] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+
+def ridge_sql(rows: str, terms: dict[str, bool], target: str, scope: str = "") -> str:
+    """CTEs that solve a ridge (penalty 1, free intercept) by Cramer's rule: ``solved`` has w1.. and b, ``scales`` s1.. .
+
+    ``terms``: SQL of each column and whether it is divided by its deviation.
+    """
+    names = range(1, len(terms) + 1)
+    lead, by, join = (f"{scope}, ", f" GROUP BY {scope}", f" USING ({scope})") if scope else ("", "", " ON TRUE")
+    scales = ", ".join(f"{f'stddev_pop({t})' if scaled else '1.0::DOUBLE'} AS s{i}" for i, (t, scaled) in zip(names, terms.items()))
+    scaled = ", ".join(f"({t}) / s{i} AS x{i}" for i, t in zip(names, terms))
+    means = ", ".join(f"avg(x{i}) AS m{i}" for i in names)
+    gram = [[f"g{min(i, j)}_{max(i, j)}" for j in names] for i in names]
+    sums = ", ".join(f"sum((x{i} - m{i}) * (x{j} - m{j})){' + 1' if i == j else ''} AS g{i}_{j}" for i in names for j in names if i <= j)
+    sides = ", ".join(f"sum((x{i} - m{i}) * (y - my)) AS r{i}" for i in names)
+    replaced = [[[f"r{i}" if k == j else gram[i - 1][k - 1] for k in names] for i in names] for j in names]
+    weights = ", ".join(f"{_determinant(m)} / {_determinant(gram)} AS w{j}" for j, m in zip(names, replaced))
+    bias = " - ".join(["my", *[f"w{i} * m{i}" for i in names]])
+    kept = f"{scope}, " if scope else ""
+    return f"""scales AS (SELECT {lead}{scales} FROM {rows}{by}),
+scaled AS (SELECT {kept}({target})::DOUBLE AS y, {scaled} FROM {rows} JOIN scales{join}),
+means AS (SELECT {lead}avg(y) AS my, {means} FROM scaled{by}),
+grams AS (SELECT {lead}{sums}, {sides} FROM scaled JOIN means{join}{by}),
+weighed AS (SELECT {lead}{weights} FROM grams),
+solved AS (SELECT weighed.*, {bias} AS b FROM weighed JOIN means{join})"""
+
+
+RIDGE = {"q": True, "d": True, "(segment = 'F')::INT": False, "(segment = 'O')::INT": False}
+
+
+@query("M13 A36", f"""WITH h AS (SELECT l_linestatus AS segment, l_extendedprice AS price, l_quantity AS q, l_discount AS d, row_number() OVER (
     ORDER BY CAST('0x' || substr(md5('7|' || ((l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 7919 + l_suppkey * 104729
       + CAST(round(l_extendedprice * 100) AS BIGINT)) % 1048576)), 1, 15) AS BIGINT),
       (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 7919 + l_suppkey * 104729 + CAST(round(l_extendedprice * 100) AS BIGINT)) % 1048576)
-    <= ceil(0.2::DOUBLE * count(*) OVER ()) AS test FROM lineitem)
-SELECT segment, count(*) AS rows, round(avg(y), 3) AS mean_target, count(*) AS predicted FROM h WHERE test GROUP BY segment""")
+    <= ceil(0.2::DOUBLE * count(*) OVER ()) AS test FROM lineitem),
+train AS (SELECT * FROM h WHERE NOT test), {ridge_sql('train', RIDGE, 'price')},
+p AS (SELECT segment, price AS t, b + q / s1 * w1 + d / s2 * w2 + CASE segment WHEN 'F' THEN w3 WHEN 'O' THEN w4 ELSE 0 END AS g
+  FROM h CROSS JOIN solved CROSS JOIN scales WHERE test)
+SELECT segment, count(*) AS rows, round(avg(t), 3) AS mean_target, round(avg(g), 3) AS mean_prediction, round(sqrt(avg((t - g) * (t - g))), 3) AS rmse,
+  round(avg(abs(t - g)), 3) AS mae, round(1 - avg((t - g) * (t - g)) / var_pop(t), 6) AS r2 FROM p GROUP BY segment""")
 def tabular_regression(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits.random_split(views.readings(spark, sf), 0.2, 7)
-    out = models.tabular_baseline(
-        rows.where(~F.col("test")), rows.where("test"), ["l_quantity", "l_discount"], ["segment"], "l_extendedprice", True)
-    return out.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.avg("l_extendedprice"), 3).alias("mean_target"),
-        F.count(F.when(finite(F.col("prediction")), 1)).alias("predicted"))
+    """A ridge fit on four fifths of the rows, measured per segment on the rest."""
+    rows = cut_lineage(splits.random_split(views.readings(spark, sf).select(
+        "row_id", "segment", "l_quantity", "l_discount", "l_extendedprice"), 0.2, 7))
+    model = tabular.fit(rows.where(~F.col("test")), ["l_quantity", "l_discount"], ["segment"], "l_extendedprice", True)
+    out = model.predict(rows.where("test"))
+    facts = out.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("l_extendedprice").alias("mean_target"), F.avg("prediction").alias("mean_prediction"))
+    joined = facts.join(quality.regression_metrics(out, ["segment"], "l_extendedprice", "prediction"), "segment")
+    return joined.withColumns({c: F.round(c, 3) for c in ("mean_target", "mean_prediction", "rmse", "mae")} | {"r2": F.round("r2", 6)})
+
+
+FITTED = {"l_quantity": True, "l_discount": True, "l_tax": True, "(segment = 'F')::INT": False, "(segment = 'O')::INT": False}
+
+
+@query("A34 T3 M13", f"""WITH {views.READINGS}, {ridge_sql('readings', FITTED, 'l_extendedprice')},
+c AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'segment', 'segment']) AS term, unnest([NULL, NULL, NULL, 'F', 'O']) AS value,
+  unnest([w1, w2, w3, w4, w5]) AS coef FROM solved)
+SELECT term, value, round(coef, 4) AS coef FROM c ORDER BY abs(coef) DESC, term, value LIMIT 4""")
+def strongest_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """The greatest weights of a ridge fit on all rows."""
+    model = tabular.fit(views.readings(spark, sf), list(views.FEATURES), ["segment"], "l_extendedprice", True)
+    return _rounded(tabular.strongest(model, 4), 4)
 
 
 @query("S13 M15 A37", """SELECT count(*) AS keys, 0::BIGINT AS only_in_first, 0::BIGINT AS only_in_second, 0.0::DOUBLE AS max_abs_error FROM embeddings""")
