@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -36,6 +37,44 @@ TOLERANCE = 1e-7  # relative change of the loss at which a logistic fit ends
 ITERATIONS = 2000
 
 
+@dataclass(frozen=True)
+class Stored:
+    """What a scorer needs to be built again: plain parameters and, for trees and kernels, a Spark model."""
+
+    kind: str
+    parameters: dict
+    model: PipelineModel | None = None
+
+
+def restored(stored: Stored, features: Sequence[str]) -> Scorer:
+    """The scorer of stored parameters, with them as its attribute ``stored``."""
+    if stored.kind == "linear":
+        found = margin([tuple(r) for r in stored.parameters["rows"]])
+
+        def score(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("_z", found).withColumn("score", checked_sigmoid(F.col("_z"))).drop("_z")
+
+    elif stored.kind == "constant":
+
+        def score(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("score", F.lit(float(stored.parameters["rate"])))
+
+    elif stored.kind == "pipeline":
+
+        def score(rows: DataFrame) -> DataFrame:
+            out = stored.model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+            return out.drop("x", "rawPrediction", "probability", "prediction")
+
+    else:
+
+        def score(rows: DataFrame) -> DataFrame:
+            out = stored.model.transform(_fourier(rows, features, stored.parameters))
+            return out.withColumn("score", sigmoid(vector_to_array("rawPrediction")[1])).drop("x", "rawPrediction", "prediction")
+
+    score.stored = stored
+    return score
+
+
 # -- linear models as a weights table -------------------------------------------------------
 
 
@@ -108,8 +147,7 @@ def margin(fit: Sequence[tuple]) -> Column:
 def logistic(c: float = 0.1, weights: str | None = "balanced", row_weight: str | None = None) -> Candidate:
 
     def fit(df: DataFrame, features: Sequence[str], seed: int) -> Scorer:
-        found = margin(fit_logistic(df, features, c, weights, row_weight))
-        return lambda rows: rows.withColumn("_z", found).withColumn("score", checked_sigmoid(F.col("_z"))).drop("_z")
+        return restored(Stored("linear", {"rows": fit_logistic(df, features, c, weights, row_weight)}), features)
 
     return fit
 
@@ -118,8 +156,7 @@ def prior() -> Candidate:
     """Training prevalence for every row."""
 
     def fit(df: DataFrame, features: Sequence[str], seed: int) -> Scorer:
-        rate = df.agg(F.avg("label")).first()[0]
-        return lambda rows: rows.withColumn("score", F.lit(float(rate)))
+        return restored(Stored("constant", {"rate": df.agg(F.avg("label")).first()[0]}), features)
 
     return fit
 
@@ -133,14 +170,6 @@ def _vector_fit(estimator, df: DataFrame, features: Sequence[str], weight: Colum
     return Pipeline(stages=[assemble, estimator]).fit(ready)
 
 
-def _probability_scorer(model: PipelineModel) -> Scorer:
-    def score(df: DataFrame) -> DataFrame:
-        out = model.transform(df).withColumn("score", vector_to_array("probability")[1])
-        return out.drop("x", "rawPrediction", "probability", "prediction")
-
-    return score
-
-
 def forest(trees: int = 300, depth: int = 6, least: int = 4, weights: str | None = "balanced") -> Candidate:
     def fit(df: DataFrame, features: Sequence[str], seed: int) -> Scorer:
         weight = class_weight(class_facts(df, features[:1]), weights)
@@ -148,7 +177,7 @@ def forest(trees: int = 300, depth: int = 6, least: int = 4, weights: str | None
             featuresCol="x", labelCol="label", weightCol="w", numTrees=trees, maxDepth=depth,
             minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed,
         )
-        return _probability_scorer(_vector_fit(estimator, df, features, weight))
+        return restored(Stored("pipeline", {}, _vector_fit(estimator, df, features, weight)), features)
 
     return fit
 
@@ -165,46 +194,43 @@ def boosted(
             featuresCol="x", labelCol="label", weightCol="w", maxDepth=depth, maxIter=rounds, stepSize=step,
             subsamplingRate=subsample, featureSubsetStrategy=columns, maxBins=bins, seed=seed,
         )
-        return _probability_scorer(_vector_fit(estimator, df, features, weight))
+        return restored(Stored("pipeline", {}, _vector_fit(estimator, df, features, weight)), features)
 
     return fit
 
 
+def _fourier(rows: DataFrame, features: Sequence[str], parameters: Mapping) -> DataFrame:
+    """Random Fourier features of the standardised columns, as the vector x; drawn from the stored seed."""
+    means, scales = np.array(parameters["means"], dtype=float), np.array(parameters["scales"], dtype=float)
+    size, source = parameters["size"], np.random.default_rng(parameters["seed"])
+    frequencies = source.normal(scale=math.sqrt(2 * parameters["gamma"]), size=(len(means), size))
+    phases = source.uniform(0, 2 * math.pi, size=size)
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        scaled = (np.vstack(x.to_numpy()) - means) / scales
+        return pd.Series(list(math.sqrt(2.0 / size) * np.cos(scaled @ frequencies + phases)))
+
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    return rows.withColumn("x", array_to_vector(project(values)))
+
+
 def fourier_svc(c: float = 1.0, size: int = 256) -> Candidate:
     """RBF-kernel classifier: random Fourier features and a linear SVM; score is the logistic of the margin."""
 
     def fit(df: DataFrame, features: Sequence[str], seed: int) -> Scorer:
         facts = class_facts(df, features)
-        means = np.array([facts[f"m_{f}"] for f in features], dtype=float)
-        scales = np.array([facts[f"s_{f}"] or 1.0 for f in features], dtype=float)
         varying = sum(1 for f in features if facts[f"s_{f}"])
-        gamma = 1.0 / max(varying, 1)  # 1 / (features * variance); scaled features have variance 1
-        source = np.random.default_rng(seed)
-        frequencies = source.normal(scale=math.sqrt(2 * gamma), size=(len(features), size))
-        phases = source.uniform(0, 2 * math.pi, size=size)
-
-        @F.pandas_udf("array<double>")
-        def project(x: pd.Series) -> pd.Series:
-            scaled = (np.vstack(x.to_numpy()) - means) / scales
-            return pd.Series(list(math.sqrt(2.0 / size) * np.cos(scaled @ frequencies + phases)))
-
-        def prepared(rows: DataFrame) -> DataFrame:
-            values = F.array(*[F.col(f).cast("double") for f in features])
-            return rows.withColumn("x", array_to_vector(project(values)))
-
-        ready = prepared(df.select(*features, "label")).select(
+        parameters = {
+            "means": [float(facts[f"m_{f}"]) for f in features], "scales": [float(facts[f"s_{f}"]) or 1.0 for f in features],
+            "gamma": 1.0 / max(varying, 1),  # 1 / (features * variance); scaled features have variance 1
+            "size": size, "seed": seed,
+        }
+        ready = _fourier(df.select(*features, "label"), features, parameters).select(
             "x", F.col("label").cast("double").alias("label"), class_weight(facts, "balanced").alias("w")
         )
-        model = LinearSVC(
-            featuresCol="x", labelCol="label", weightCol="w", regParam=1.0 / (c * facts["n"]), maxIter=100
-        ).fit(ready)
-
-        def score(rows: DataFrame) -> DataFrame:
-            out = model.transform(prepared(rows))
-            margin = vector_to_array("rawPrediction")[1]
-            return out.withColumn("score", sigmoid(margin)).drop("x", "rawPrediction", "prediction")
-
-        return score
+        machine = LinearSVC(featuresCol="x", labelCol="label", weightCol="w", regParam=1.0 / (c * facts["n"]), maxIter=100)
+        return restored(Stored("kernel", parameters, Pipeline(stages=[machine]).fit(ready)), features)
 
     return fit
 
