@@ -148,9 +148,10 @@ def order_split(groups: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, rows: int, seed: int, key: str = "row_id") -> DataFrame:
-    """Fixed-seed sample of n rows: the first n in hash order."""
-    text = hash_text(seed, key)
-    return df.withColumn("_text", text).orderBy("_text", key).limit(rows).drop("_text")
+    """Fixed-seed sample of n rows, the first n in hash order: cut at the hash of the last one, so nothing is sorted."""
+    ready = df.withColumn("_hash", hash_number(hash_text(seed, key)))
+    size = F.least(F.lit(rows).cast("long"), F.col("n"))
+    return _below_hash_cut(ready, [], key, size, "_taken").where("_taken").drop("_hash", "_taken")
 
 
 def compare_manifests(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linetriage.functions.sizing import small_table
@@ -224,12 +226,9 @@ def decision_replay(spark: SparkSession, sf: str) -> DataFrame:
     return rules.decision_faults(stored, thresholds, [*DIMS, "fold"])
 
 
-@query("Q20", f"""WITH {views.OOF}, c AS (SELECT count(DISTINCT model || seed || segment) AS cells FROM oof)
-SELECT unnest(['rows', 'k', 'found', 'recall', 'precision']) AS metric, cells, 0::BIGINT AS failed_cells FROM c""")
-def metric_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Budget metrics from boundary rows against the same metrics from full ranks: no cell may differ."""
+def _both_metrics(spark: SparkSession, sf: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Budget metrics from boundary rows, and the same from full ranks."""
     rows = views.oof(spark, sf).select(*DIMS, "segment", "row_id", "label", "score")
-    keys = [*DIMS, "segment"]
     saved = budget.policy_table(
         rows, DIMS, (0.1,), (budget.PER_SEGMENT,), folds=False, group=None, quality=False
     ).where(F.col("segment") != budget.ALL).select(*keys, "rows", "k", "found", "recall", "precision")
@@ -238,7 +237,15 @@ def metric_replay(spark: SparkSession, sf: str) -> DataFrame:
     chosen = ranked.join(sizes, keys).withColumn("decision", F.col("rank") <= F.ceil(F.lit(0.1) * F.col("n")))
     again = quality.confusion(chosen, keys).select(
         *keys, "rows", "k", F.col("tp").alias("found"), "recall", "precision")
-    return rules.metric_replay(saved, again, keys)
+    return saved, again
+
+
+@query("Q20", f"""WITH {views.OOF}, c AS (SELECT count(DISTINCT model || seed || segment) AS cells FROM oof)
+SELECT unnest(['rows', 'k', 'found', 'recall', 'precision']) AS metric, cells, 0::BIGINT AS failed_cells FROM c""")
+def metric_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Budget metrics from boundary rows against the same metrics from full ranks: no cell may differ."""
+    keys = [*DIMS, "segment"]
+    return rules.metric_replay(*_both_metrics(spark, sf, keys), keys)
 
 
 WINNER_SQL = views.OOF + """, r AS (SELECT *, row_number() OVER (PARTITION BY model, seed, fold, segment ORDER BY score DESC, row_id) AS i,
@@ -288,3 +295,47 @@ def cohort_equality(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("r").alias("rows"), F.sum("p").alias("positives"), F.count(F.lit(1)).alias("groups"))
     ours, theirs = (facts.where(F.col("model") == m).drop("model") for m in views.MODELS)
     return rules.comparable(ours, theirs, ["seed", "segment"], ["rows", "positives", "groups"])
+
+
+@query("Q20", f"""WITH {views.OOF}, c AS (SELECT model, seed, segment, sum(label) > 0 AS hits, model = 'ratio' AND seed = 1 AS told,
+  model = 'mixed' AND seed = 2 AND segment = (SELECT min(segment) FROM oof) AS lost FROM oof GROUP BY ALL)
+SELECT metric, count(*) AS cells, count(*) FILTER (CASE metric WHEN 'found' THEN told OR lost WHEN 'recall' THEN lost AND hits ELSE lost END) AS failed_cells
+FROM c CROSS JOIN (SELECT unnest(['rows', 'k', 'found', 'recall', 'precision']) AS metric) GROUP BY metric""")
+def metric_tampered(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults found in stored metrics of which one cell was taken and one model's hits were raised by one."""
+    keys = [*DIMS, "segment"]
+    saved, again = _both_metrics(spark, sf, keys)
+    first = views.observations(spark, sf).agg(F.min("segment")).first()[0]
+    lost = (F.col("model") == "mixed") & (F.col("seed") == 2) & (F.col("segment") == F.lit(first))
+    told = saved.where(~lost).withColumn("found", F.col("found") + F.when((F.col("model") == "ratio") & (F.col("seed") == 1), 1).otherwise(0))
+    return rules.metric_replay(told, again, keys)
+
+
+@query("Q1", """SELECT t AS variant, t = 'orders' AS loads, count(CASE WHEN t = 'orders' THEN o_totalprice END) AS checked_rows, 0::BIGINT AS not_finite
+FROM orders CROSS JOIN (SELECT unnest(['orders', 'fewer', 'more', 'twice', 'reordered', 'text']) AS t) GROUP BY t""")
+def schema_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Which variants of a table the column rules let load, with the rows then checked: as it is, a column less, one more, one twice, another order, numbers as text."""
+    base = views.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    names = base.columns
+    variants = {
+        "orders": base, "fewer": base.drop("o_custkey"), "more": base.withColumn("extra", F.lit(1)),
+        "twice": base.select(*names, "o_custkey"), "reordered": base.select(*names[::-1]),
+        "text": base.withColumn("o_totalprice", F.col("o_totalprice").cast("string"))}
+
+    def loads(df: DataFrame) -> bool:
+        try:
+            rules.require_columns(df, names, exact=True)
+            rules.require_same_features(base, df)
+            rules.require_numeric(df, names)
+        except ValueError:
+            return False
+        return True
+
+    parts = []
+    for name, df in variants.items():
+        if loads(df):
+            counts = F.count("o_totalprice").alias("checked_rows"), F.count_if(rules.not_finite(*names)).alias("not_finite")
+            parts.append(df.agg(*counts).select(F.lit(name).alias("variant"), F.lit(True).alias("loads"), "checked_rows", "not_finite"))
+        else:
+            parts.append(spark.createDataFrame([(name, False, 0, 0)], "variant string, loads boolean, checked_rows long, not_finite long"))
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linetriage.operators import rules
@@ -192,3 +193,35 @@ def stream_arrival(spark: SparkSession, sf: str) -> DataFrame:
         scoring.check_arrival(rows, ["row_id", "unit"]).select("row_id", "in_time"),
         f"{folder}/checked", f"{folder}/progress")
     return spark.read.parquet(f"{folder}/checked")
+
+
+@query("S7", """WITH t AS (SELECT unnest(string_split('region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations', ' ')) || '.parquet' AS name
+  UNION ALL SELECT 'lost.parquet')
+SELECT name, CASE name WHEN 'orders.parquet' THEN 'changed' WHEN 'nation.parquet' THEN 'unexpected' WHEN 'lost.parquet' THEN 'missing' ELSE 'same' END AS state FROM t""")
+def manifest_tampered_files(spark: SparkSession, sf: str) -> DataFrame:
+    """States of the given files against a manifest with another digest, an entry less and an entry for no file."""
+    folder = sinks.scratch_folder(spark) + "/manifest"
+    found = files.file_digests(spark, f"{sf}/*.parquet")
+    told = found.where("name <> 'nation.parquet'").withColumn(
+        "sha256", F.when(F.col("name") == "orders.parquet", F.reverse("sha256")).otherwise(F.col("sha256"))).unionByName(
+        spark.createDataFrame([("lost.parquet", 1, "00")], found.schema))
+    sinks.save(told, folder, "json")
+    return files.against_manifest(found, spark.read.schema(found.schema).json(folder)).select("name", "state")
+
+
+@query("S10 S9", f"""WITH {views.OBS} SELECT segment, count(*) AS rows, sum(label)::BIGINT AS positives, max(round(value * 100))::BIGINT AS top_cents,
+  TRUE AS second_write_refused FROM obs GROUP BY segment""")
+def report_written(spark: SparkSession, sf: str) -> DataFrame:
+    """A nested report per segment, written once, read back; a second write to its place is refused and changes nothing."""
+    path = sinks.scratch_folder(spark) + "/report"
+    report = views.observations(spark, sf).groupBy("segment").agg(F.struct(
+        F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"),
+        F.struct(F.max(F.round(F.col("value") * 100)).cast("long").alias("top_cents")).alias("value")).alias("summary"))
+    sinks.save_report(report, path)
+    try:
+        sinks.save_report(report.limit(0), path)
+        refused = False
+    except AnalysisException as fault:
+        refused = "PATH_ALREADY_EXISTS" in str(fault)
+    back = spark.read.schema(report.schema).json(path)
+    return back.select("segment", "summary.rows", "summary.positives", "summary.value.top_cents", F.lit(refused).alias("second_write_refused"))

@@ -211,3 +211,14 @@ def manifest_match(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.readings(spark, sf)
     again = splits.split_manifest(rows.repartition(16, "l_partkey"), FEATURES, 0.2, 5, SEED)
     return splits.compare_manifests(splits.split_manifest(rows, FEATURES, 0.2, 5, SEED), again)
+
+
+@query("G10 U2", f"""WITH {views.READINGS} SELECT 'only_in_first' AS side, count(*) FILTER (row_id % 50 IN (7, 11)) AS rows FROM readings
+UNION ALL SELECT 'only_in_second', count(*) FILTER (row_id % 50 = 11) FROM readings""")
+def manifest_tampered(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences found in a stored split manifest from which rows were taken and in which rows changed sides."""
+    true = cut_lineage(splits.split_manifest(views.readings(spark, sf), FEATURES, 0.2, 5, SEED))
+    other = F.when(F.col("partition") == splits.HOLDOUT, splits.DEVELOPMENT).otherwise(splits.HOLDOUT)
+    told = true.where("row_id % 50 <> 7").withColumn(
+        "partition", F.when(F.col("row_id") % 50 == 11, other).otherwise(F.col("partition")))
+    return splits.compare_manifests(true, told)

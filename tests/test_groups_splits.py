@@ -106,3 +106,12 @@ def test_group_split_keeps_groups_whole(spark):
     assert out.count() == rows.count()
     assert out.groupBy("g").agg(F.count_distinct("test").alias("n")).where("n > 1").count() == 0
     assert out.where("test").select("g").distinct().count() == 10
+
+
+def test_sample_is_cut_at_a_hash_without_a_sort(spark):
+    rows = spark.range(500).withColumnRenamed("id", "row_id")
+    few = splits.sample_rows(rows, 37, 5)
+    assert few.count() == 37 and {r.row_id for r in few.collect()} < {r.row_id for r in splits.sample_rows(rows.repartition(7), 90, 5).collect()}
+    assert splits.sample_rows(rows, 5000, 5).count() == 500 and splits.sample_rows(rows.limit(0), 5, 5).count() == 0
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
