@@ -284,6 +284,30 @@ def iforest(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(scored.withColumn("candidate", F.lit("isolation")))
 
 
+@query("M6 G9 A5 A6", f"""WITH {VECTOR_FOLDS} SELECT segment, count(*) AS events, sum((p > 0)::INT)::BIGINT AS positive_events,
+  count(*) AS scored, round(avg((p > 0)::INT), 6) AS prevalence, TRUE AS same_order_same_quality FROM vf GROUP BY segment""")
+def iforest_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Are positive measurements rare anomalies: one row per distinct measurement, forests of the other folds' negative ones.
+
+    ``same_order_same_quality``: average precision and AUC of the scores follow from counting pairs and steps anew."""
+    rows, table = training_rows(spark, sf)
+    events = groups.collapse_events(rows, VECTOR).join(table.select("group_id", "fold"), "group_id")
+    scored = cut_lineage(anomaly.isolation_oof(cut_lineage(events), VECTOR, range(5), trees=100, seed=42).select(
+        "segment", "row_id", "label", "score"))
+    found = quality.ranking_quality(scored, ["segment"])
+    order = Window.partitionBy("segment").orderBy(F.desc("score"))
+    steps = scored.groupBy("segment", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).withColumns({
+        "k": F.sum("n").over(order), "tp": F.sum("y").over(order)})
+    again = steps.groupBy("segment").agg(
+        (F.sum(F.col("y") * F.col("tp") / F.col("k")) / F.sum("y")).alias("ap"),
+        (F.sum((F.col("n") - F.col("y")) * (F.col("tp") - F.col("y") / 2)) / (F.sum("y") * F.sum(F.col("n") - F.col("y")))).alias("auc"))
+    same = found.join(again, "segment").select("segment", (
+        (F.abs(F.col("ap") - F.col("average_precision")) < 1e-9) & (F.abs(F.col("auc") - F.col("roc_auc")) < 1e-9)).alias("same_order_same_quality"))
+    return scored.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("label").cast("long").alias("positive_events"),
+        F.count_if(F.col("score").between(0, 1)).alias("scored"), F.round(F.avg("label"), 6).alias("prevalence")).join(same, "segment")
+
+
 @query("M7", f"""WITH {VECTOR_FOLDS} SELECT fold, sum(n)::BIGINT AS rows, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS scored, sum(n)::BIGINT AS mapped_alike,
   TRUE AS level FROM vf GROUP BY fold""")
 def platt(spark: SparkSession, sf: str) -> DataFrame:
