@@ -388,14 +388,33 @@ def inner_metrics(inner_scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.join(ranked, keys).join(quality.best_thresholds(inner_scores, keys), keys)
 
 
+@dataclass(frozen=True)
+class NestedRun:
+    """All tables of a nested selection; ``runs`` stores and verifies them."""
+
+    inner_scores: DataFrame
+    outer_scores: DataFrame
+    metrics: DataFrame
+    choices: DataFrame
+    decided: DataFrame
+
+
 def nested_selection(
     df: DataFrame, features: Sequence[str], candidates: Mapping[str, Candidate], inner: DataFrame,
     outer: Sequence[int], reference: str, seed: int, threads: int = 4,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chosen scores with decisions, the choices, and the inner metrics of ``nested_run``."""
+    run = nested_run(df, features, candidates, inner, outer, reference, seed, threads)
+    return run.decided, run.choices, run.metrics
+
+
+def nested_run(
+    df: DataFrame, features: Sequence[str], candidates: Mapping[str, Candidate], inner: DataFrame,
+    outer: Sequence[int], reference: str, seed: int, threads: int = 4,
+) -> NestedRun:
     """Choose a candidate per (outer fold, segment, route) on inner folds and score the outer fold with it.
 
-    Returns the chosen scores with decisions, the choices, and the inner metrics. The route ``union`` has
-    no winner: it decides by the best margin over the high-recall thresholds of all candidates.
+    The route ``union`` has no winner: it decides by the best margin over the high-recall thresholds of all candidates.
     """
     tables = {}
     for k in outer:
@@ -421,7 +440,7 @@ def nested_selection(
     united = union_route(outer_scores, limits.drop("f1_threshold"), ["outer", "segment"]).select(
         "outer", "segment", "row_id", "label", "score", F.lit("union").alias("route"), F.lit("union").alias("candidate"),
         F.col("decision").alias("f1_decision"), F.col("decision").alias("high_recall_decision"))
-    return decided.unionByName(united, allowMissingColumns=True), chosen, metrics
+    return NestedRun(inner_scores, outer_scores, metrics, chosen, decided.unionByName(united, allowMissingColumns=True))
 
 
 def union_route(outer_scores: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
