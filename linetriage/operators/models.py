@@ -397,6 +397,7 @@ class NestedRun:
     metrics: DataFrame
     choices: DataFrame
     decided: DataFrame
+    ledger: DataFrame | None = None
 
 
 def nested_selection(
@@ -425,12 +426,18 @@ def nested_run(
         part = oof_scores(training, features, candidates, range(count), seed, "inner_fold", threads=threads)
         tables[k] = cut_lineage(part.withColumn("outer", F.lit(k)))
         training.unpersist()
-    inner_scores = reduce(DataFrame.unionByName, tables.values())
-    metrics = cut_lineage(inner_metrics(inner_scores, ["outer", "segment"]))
-    chosen = choose.routes(metrics, ["outer", "segment"], reference, list(candidates))
     outer_scores = cut_lineage(
         oof_scores(df, features, candidates, outer, seed, threads=threads).withColumn("outer", F.col("fold"))
     )
+    return routed_run(reduce(DataFrame.unionByName, tables.values()), outer_scores, list(candidates), reference)
+
+
+def routed_run(
+    inner_scores: DataFrame, outer_scores: DataFrame, candidates: Sequence[str], reference: str, ledger: DataFrame | None = None
+) -> NestedRun:
+    """Metrics, choices and decisions from the scores of all candidates on inner and outer folds."""
+    metrics = cut_lineage(inner_metrics(inner_scores, ["outer", "segment"]))
+    chosen = choose.routes(metrics, ["outer", "segment"], reference, candidates)
     routed = choose.apply_routes(outer_scores, chosen, ["outer", "segment"])
     limits = metrics.select("outer", "segment", "candidate", "f1_threshold", "high_recall_threshold")
     decided = routed.join(limits, ["outer", "segment", "candidate"]).withColumns({
@@ -440,7 +447,8 @@ def nested_run(
     united = union_route(outer_scores, limits.drop("f1_threshold"), ["outer", "segment"]).select(
         "outer", "segment", "row_id", "label", "score", F.lit("union").alias("route"), F.lit("union").alias("candidate"),
         F.col("decision").alias("f1_decision"), F.col("decision").alias("high_recall_decision"))
-    return NestedRun(inner_scores, outer_scores, metrics, chosen, decided.unionByName(united, allowMissingColumns=True))
+    decided = decided.unionByName(united, allowMissingColumns=True)
+    return NestedRun(inner_scores, outer_scores, metrics, chosen, decided, ledger)
 
 
 def union_route(outer_scores: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:

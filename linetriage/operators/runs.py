@@ -27,12 +27,13 @@ TOLERANCE = 1e-12
 
 def save_run(run: NestedRun, path: str) -> None:
     """Write the tables of a run below ``path``; an existing table is an error."""
-    for name in TABLES:
+    for name in [*TABLES, *(["ledger"] if run.ledger is not None else [])]:
         save(getattr(run, name), f"{path}/{name}")
 
 
-def load_run(spark: SparkSession, path: str) -> NestedRun:
-    return NestedRun(**{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
+def load_run(spark: SparkSession, path: str, ledger: bool = True) -> NestedRun:
+    """The tables below ``path``; ``ledger``: the run was stored with its ledger of fits."""
+    return NestedRun(**{name: spark.read.parquet(f"{path}/{name}") for name in [*TABLES, *(["ledger"] if ledger else [])]})
 
 
 def _once_each(check: str, wanted: DataFrame, stored: DataFrame, keys: Sequence[str], facts: Sequence[str], good: Column) -> DataFrame:
@@ -138,9 +139,25 @@ def check_decisions(run: NestedRun, rows: DataFrame, inner: DataFrame, candidate
     return _once_each("decisions", routed.unionByName(united), run.decided, keys, facts, _score_is_one())
 
 
+def check_ledger(run: NestedRun, rows: DataFrame, inner: DataFrame, candidates: Sequence[str]) -> DataFrame:
+    """Every (outer fold, fold left out, candidate) was fitted on all other rows: their number and positives agree.
+
+    A candidate may have one fit for all segments or one for each; the counts of its segments add up to the same.
+    """
+    counts = rows.groupBy("fold", "group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y"))
+    placed = counts.join(inner.select("outer", "group_id", "inner_fold"), "group_id").where(F.col("outer") != F.col("fold"))
+    cells = placed.groupBy("outer", F.col("inner_fold").alias("fold")).agg(F.sum("n").alias("n"), F.sum("y").alias("y")).unionByName(
+        counts.groupBy(F.lit(-1).alias("outer"), "fold").agg(F.sum("n").alias("n"), F.sum("y").alias("y")))
+    whole = Window.partitionBy("outer")
+    wanted = small_table(cells).select("outer", "fold", (F.sum("n").over(whole) - F.col("n")).alias("rows"), (F.sum("y").over(whole) - F.col("y")).alias("positives"))
+    stored = run.ledger.groupBy(F.coalesce("outer", F.lit(-1)).alias("outer"), "fold", "candidate").agg(
+        F.sum("training_rows").alias("rows"), F.sum("training_positives").alias("positives"))
+    return _once_each("ledger", _named(wanted, candidates), stored, ["outer", "fold", "candidate"], ["rows", "positives"], F.lit(True))
+
+
 CHECKS: dict[str, Callable[[NestedRun, DataFrame, DataFrame, Sequence[str]], DataFrame]] = {
     "inner_rows": check_inner_rows, "outer_rows": check_outer_rows, "metrics": check_metrics,
-    "choices": check_choices, "decisions": check_decisions,
+    "choices": check_choices, "decisions": check_decisions, "ledger": check_ledger,
 }
 
 
@@ -149,4 +166,5 @@ def verify_run(run: NestedRun, rows: DataFrame, inner: DataFrame, candidates: Se
 
     ``rows`` and ``inner`` are those the run was made with; ``candidates`` in frozen order, the reference first.
     """
-    return reduce(DataFrame.unionByName, [check(run, rows, inner, candidates) for check in CHECKS.values()])
+    checks = [check for name, check in CHECKS.items() if name != "ledger" or run.ledger is not None]
+    return reduce(DataFrame.unionByName, [check(run, rows, inner, candidates) for check in checks])

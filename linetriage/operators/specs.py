@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from linetriage.functions.columns import finite, sigmoid
 from linetriage.operators import batched, derive, groups, models
 from linetriage.operators.models import check_folds
+from linetriage.session import cut_lineage
 
 LEDGER = "candidate string, fold int, segment string, kind string, training_rows long, training_positives long, fit_rows long, fit_positives long, steepest double"
 
@@ -136,3 +137,27 @@ def spec_scores(
             ledger.append(entry)
     out = _once_per_input(reduce(DataFrame.unionByName, scored), rows, identity)
     return out, rows.sparkSession.createDataFrame(ledger, LEDGER), fits
+
+
+def nested_run(
+    rows: DataFrame, features: Sequence[str], specs: Mapping[str, Spec], inner: DataFrame, outer: Sequence[int],
+    reference: str, seed: int, engineering: Mapping | None = None, threads: int = 4,
+) -> models.NestedRun:
+    """``models.nested_run`` over specifications: the logistic fits of an outer fold's inner folds are made together, and
+    the run keeps the ledger of all fits. Their ``outer`` is the outer fold, null for the fits that score the outer folds."""
+    def part(training: DataFrame, folds: Sequence[int], k: int | None) -> tuple[DataFrame, DataFrame]:
+        scores, fits, _ = spec_scores(training, features, specs, folds, seed, engineering, threads)
+        return cut_lineage(scores), fits.withColumn("outer", F.lit(k).cast("int"))
+
+    ledgers, parts = [], []
+    for k in outer:
+        placed = cut_lineage(rows.where(F.col("fold") != k).drop("fold").join(
+            inner.where(F.col("outer") == k).select("group_id", F.col("inner_fold").alias("fold")), "group_id"))
+        count = placed.agg(F.max("fold")).first()[0] + 1
+        scores, ledger = part(placed, range(count), k)
+        parts.append(scores.withColumn("outer", F.lit(k)).withColumnRenamed("fold", "inner_fold"))
+        ledgers.append(ledger)
+    scores, ledger = part(rows, outer, None)
+    return models.routed_run(
+        reduce(DataFrame.unionByName, parts), scores.withColumn("outer", F.col("fold")), list(specs), reference,
+        reduce(DataFrame.unionByName, [*ledgers, ledger]))

@@ -337,19 +337,19 @@ def nested_select(spark: SparkSession, sf: str) -> DataFrame:
         F.count("f1_decision").alias("decided"), F.count(F.when(F.col("score").between(0, 1), 1)).alias("scored"))
 
 
-@query("M9 M10 Q9 Q19 Q20 Q21 T4", f"""WITH n AS (SELECT count(*) AS rows, count(*) FILTER (vec_id % 41 = 5) AS a, count(*) FILTER (vec_id % 43 = 6) AS b,
+@query("M9 M10 Q9 Q18 Q19 Q20 Q21 T4", f"""WITH n AS (SELECT count(*) AS rows, count(*) FILTER (vec_id % 41 = 5) AS a, count(*) FILTER (vec_id % 43 = 6) AS b,
   count(*) FILTER (vec_id % 7 = 2) AS c FROM embeddings), p AS (SELECT count(DISTINCT vec_id % 2) AS segments FROM embeddings)
 SELECT t.* FROM n CROSS JOIN p, LATERAL (VALUES ('inner_rows', rows * 12, 0::BIGINT, a * 4), ('outer_rows', rows * 3, 0, b),
   ('metrics', 15 * segments * {len(runs.CELLS)}, 0, segments), ('choices', 5 * segments * {len(ROUTES)}, 0, segments),
-  ('decisions', rows * {len(ROUTES) + 1}, 0, c * 2)) t("check", compared, failed, failed_tampered)""")
+  ('decisions', rows * {len(ROUTES) + 1}, 0, c * 2), ('ledger', 60, 0, 15)) t("check", compared, failed, failed_tampered)""")
 def run_verified(spark: SparkSession, sf: str) -> DataFrame:
     """A nested selection stored, read back and recomputed; ``failed_tampered`` counts what each check finds in a copy whose
-    table was changed: groups of some inner scores, of some outer scores, one metric of a candidate, winners of a route, decisions."""
+    table was changed: groups of some inner scores, of some outer scores, one metric of a candidate, winners of a route, decisions, counts in the ledger."""
     rows, table = training_rows(spark, sf)
     inner = cut_lineage(splits.inner_folds(table, range(5), 42, most=3))
-    candidates = {"reference": models.logistic(0.1), "loose": models.logistic(1.0), "prior": models.prior()}
+    candidates = {"reference": specs.Spec("logistic", 0.1), "loose": specs.Spec("logistic", 1.0), "event": specs.Spec("logistic", 0.1, event=True)}
     path = f"{scratch_folder(spark)}/run"
-    runs.save_run(models.nested_run(rows, VECTOR, candidates, inner, range(5), "reference", 42), path)
+    runs.save_run(specs.nested_run(rows, VECTOR, candidates, inner, range(5), "reference", 42), path)
     run = runs.load_run(spark, path)
 
     def told(df: DataFrame, column: str, other, where: str) -> DataFrame:
@@ -358,10 +358,11 @@ def run_verified(spark: SparkSession, sf: str) -> DataFrame:
     another = F.concat("group_id", F.lit("!"))
     changed = {
         "inner_rows": replace(run, inner_scores=told(run.inner_scores, "group_id", another, "row_id % 41 = 5 AND candidate = 'loose'")),
-        "outer_rows": replace(run, outer_scores=told(run.outer_scores, "group_id", another, "row_id % 43 = 6 AND candidate = 'prior'")),
+        "outer_rows": replace(run, outer_scores=told(run.outer_scores, "group_id", another, "row_id % 43 = 6 AND candidate = 'event'")),
         "metrics": replace(run, metrics=told(run.metrics, "roc_auc", F.col("roc_auc") + 1e-6, "outer = 2 AND candidate = 'loose'")),
         "choices": replace(run, choices=told(run.choices, "winner", F.concat("winner", F.lit("!")), "outer = 1 AND route = 'nested_f1'")),
         "decisions": replace(run, decided=told(run.decided, "f1_decision", ~F.col("f1_decision"), "row_id % 7 = 2 AND route IN ('baseline', 'union')")),
+        "ledger": replace(run, ledger=told(run.ledger, "training_rows", F.col("training_rows") + 1, "segment = 'odd' AND candidate = 'event' AND outer IS NOT NULL")),
     }
     tampered = reduce(DataFrame.unionByName, [runs.CHECKS[n](r, rows, inner, list(candidates)) for n, r in changed.items()])
     return runs.verify_run(run, rows, inner, list(candidates)).join(
