@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+ROOT = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/+"  # what stands before the first step of a path
+
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name, bytes and SHA-256 of each file under a path or glob; a file is one row of one task."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """Name, bytes and SHA-256 of each file under a path, or of each entry that a glob matches.
+
+    A folder that the glob matches (a table of several files) is one entry: its digest is that of the list of its
+    files, each with its path in the folder, its bytes and its own SHA-256.
+    """
+    files = _each_file(spark, path)
+    if not any(c in path.rsplit("/", 1)[-1] for c in "*?[{"):
+        return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
+    place = _depth(path)
+    below = F.array_join(F.slice("steps", place + 1, F.size("steps")), "/")
+    parts = files.withColumn("steps", F.split(F.regexp_replace("path", ROOT, ""), "/")).select(
+        F.element_at("steps", place).alias("name"), F.struct(below.alias("below"), "bytes", "sha256").alias("part"))
+    entries = parts.groupBy("name").agg(F.sum("part.bytes").alias("bytes"), F.sort_array(F.collect_list("part")).alias("parts"))
+    listed = F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["below"], p["bytes"].cast("string"), p["sha256"])), "\n")
+    is_file = (F.size("parts") == 1) & (F.col("parts")[0]["below"] == "")
+    return entries.select("name", "bytes", F.when(is_file, F.col("parts")[0]["sha256"]).otherwise(F.sha2(listed, 256)).alias("sha256"))
+
+
+def _each_file(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _depth(path: str) -> int:
+    """How many steps below the root of its file system the entries of a path lie."""
+    whole = re.sub(ROOT, "", path if re.match(ROOT, path) else str(Path(path).absolute()))
+    return len([step for step in whole.split("/") if step])
 
 
 def against_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,22 @@ def test_changed_files_are_found(spark, tmp_path):
     assert got == {"a.txt": "changed", "b.txt": "unexpected", "c.txt": "missing"}
 
 
+def test_a_folder_is_one_entry_of_a_glob(spark, tmp_path):
+    (tmp_path / "a.parquet").write_text("1")
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/b.parquet")
+    spark.range(9).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(f"{tmp_path}/c.parquet")
+    found = inventory.file_digests(spark, f"{tmp_path}/*.parquet")
+    first = {r.name: (r.bytes, r.sha256) for r in found.collect()}
+    assert list(sorted(first)) == ["a.parquet", "b.parquet", "c.parquet"]
+    assert first["a.parquet"] == (1, hashlib.sha256(b"1").hexdigest())
+    parts = sorted((tmp_path / "b.parquet").glob("*.parquet"))
+    assert first["b.parquet"][0] == sum(p.stat().st_size for p in parts)
+    parts[0].write_bytes(parts[0].read_bytes()[:-1] + b"?")
+    (tmp_path / "b.parquet" / f".{parts[0].name}.crc").unlink()  # the file was changed past its writer
+    again = {r.name: (r.bytes, r.sha256) for r in inventory.file_digests(spark, f"file://{tmp_path}/*.parquet").collect()}
+    assert {n for n in first if again[n] != first[n]} == {"b.parquet"}
+
+
 def test_checksum_ignores_row_order(spark):
     rows = spark.range(1000).withColumn("v", F.col("id") % 7)
     a = profile.checksum(rows, ["id", "v"]).first()
