@@ -7,7 +7,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from linetriage.sources.digests import escaped, split_digests
+
 ROOT = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/+"  # what stands before the first step of a path
+WHOLE = 128 * 2**20
+PACKED = r"\.(gz|bz2|lz4|snappy|deflate|zst|zstd)$"
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +34,24 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _each_file(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """A file of up to ``WHOLE`` bytes is one row of one task; a larger one is read in splits by many."""
+    def read(paths: str | list[str]) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+
+    def whole(files: DataFrame) -> DataFrame:
+        return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    large = read(path).where(F.col("length") > WHOLE).select("path", "length", F.col("_metadata.file_path").alias("file")).collect()
+    out = whole(read(path).where(F.col("length") <= WHOLE))  # the reader opens no file that its length leaves out
+    packed = [r["path"] for r in large if re.search(PACKED, r["path"])]
+    if packed:  # their lines would come unpacked
+        out = out.unionByName(whole(read([escaped(p) for p in packed])))
+    listed = [r for r in large if r["path"] not in packed]
+    if not listed:
+        return out
+    found = split_digests(spark, [r["path"] for r in listed], {r["file"]: r["length"] for r in listed})
+    rows = [(r["path"], r["length"], found[r["file"]]) for r in listed]
+    return out.unionByName(spark.createDataFrame(rows, out.schema))
 
 
 def _depth(path: str) -> int:

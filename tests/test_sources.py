@@ -1,5 +1,7 @@
 
+import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +94,24 @@ def test_a_folder_is_one_entry_of_a_glob(spark, tmp_path):
     assert {n for n in first if again[n] != first[n]} == {"b.parquet"}
 
 
+def test_files_of_many_splits_keep_their_digest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inventory, "WHOLE", 1000)
+    noise = random.Random(3)
+    contents = {
+        "noise": noise.randbytes(300_000), "feeds": b"\n" * 70_001, "line": b"x" * 90_000, "crlf": b"a\r\nb\r" * 9_000,
+        "ended": noise.randbytes(50_000) + b"\n", "mark": b"\xef\xbb\xbf" + noise.randbytes(40_000), "mark ended": b"\xef\xbb\xbf" + b"y\n" * 5_000,
+        "zeros": bytes(150_000), "edge": (b"z" * 9_999 + b"\n") * 8, "odd [1]*%41+": b"q\n" * 3_000, "few": b"1\n", "a.gz": gzip.compress(noise.randbytes(5_000))}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = {r.name: (r.bytes, r.sha256) for r in inventory.file_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+
+
 def test_checksum_ignores_row_order(spark):
     rows = spark.range(1000).withColumn("v", F.col("id") % 7)
     a = profile.checksum(rows, ["id", "v"]).first()
