@@ -14,9 +14,12 @@ from linetriage.functions.columns import hash_number, hash_text
 from linetriage.functions.sizing import attach, small_table
 from linetriage.operators.groups import group_table
 from linetriage.operators.ordering import rank_by_hash, rows_at_rank
-from linetriage.session import cut_lineage
+from linetriage.session import bucket_count, cut_lineage
+from linetriage.sources.sinks import scratch_folder
 
 DEVELOPMENT, HOLDOUT = "development", "holdout"
+COMPARED = 500_000  # rows of two compared manifests in one task
+SIDES = {"only_in_first": 1, "only_in_second": -1}
 
 
 def _below_hash_cut(df: DataFrame, scope: Sequence[str], tie: str, cut: Column, out: str) -> DataFrame:
@@ -155,10 +158,15 @@ def sample_rows(df: DataFrame, rows: int, seed: int, key: str = "row_id") -> Dat
 
 
 def compare_manifests(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Order-free difference of two manifests: rows only in one of them."""
+    """Order-free difference of two manifests: rows only in one of them, counted as often as they occur.
+
+    Equal rows meet in partitions of about ``COMPARED`` rows, so what a task holds does not grow with the manifests.
+    """
     columns = a.columns
-    left = a.select(*columns).exceptAll(b.select(*columns)).agg(F.count(F.lit(1)).alias("only_in_first"))
-    right = b.select(*columns).exceptAll(a.select(*columns)).agg(F.count(F.lit(1)).alias("only_in_second"))
-    return left.select(F.lit("only_in_first").alias("side"), F.col("only_in_first").alias("rows")).unionByName(
-        right.select(F.lit("only_in_second").alias("side"), F.col("only_in_second").alias("rows"))
-    )
+    folder = f"{scratch_folder(a.sparkSession)}/compared"
+    a.withColumn("_n", F.lit(1)).unionByName(b.select(*columns).withColumn("_n", F.lit(-1))).write.parquet(folder)
+    both = a.sparkSession.read.parquet(folder)
+    parts = max(bucket_count(a.sparkSession), -(-both.count() // COMPARED))
+    more = both.repartition(parts, *columns).groupBy(*columns).agg(F.sum("_n").alias("_n")).agg(
+        *[F.coalesce(F.sum(F.greatest(F.col("_n") * sign, F.lit(0))), F.lit(0)).alias(side) for side, sign in SIDES.items()])
+    return more.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("rows")) for s in SIDES])).alias("r")).select("r.*")

@@ -75,6 +75,16 @@ def test_changed_partitions_are_found(spark, change, rule):
         rules.strict(faults)
 
 
+def test_comparison_counts_repeats_and_nulls_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(splits, "COMPARED", 100)
+    first = spark.createDataFrame([(i % 700, None if i % 3 else "x") for i in range(2100)], "row_id long, side string")
+    second = first.where("row_id <> 5").unionByName(spark.createDataFrame([(5, "y"), (5, None), (5, "x")], first.schema))
+    in_plan = splits.compare_manifests(first, second)
+    assert {r.side: r.rows for r in in_plan.collect()} == {"only_in_first": 1, "only_in_second": 1}
+    assert {r.side: r.rows for r in splits.compare_manifests(first, first.repartition(5)).collect()} == {"only_in_first": 0, "only_in_second": 0}
+    assert "REPARTITION_BY_NUM" in in_plan._jdf.queryExecution().toString()
+
+
 def test_inner_folds_stay_inside_training(spark):
     table = splits.deal_folds(groups.group_table(sensor_rows(spark), ["a", "b"]), 5, 1)
     inner = splits.inner_folds(table, range(5), 9)
