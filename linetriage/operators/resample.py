@@ -13,8 +13,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linetriage.functions.columns import hash_number, hash_text, ratio
@@ -76,9 +74,9 @@ def draw_blocks(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weights with one row per (keys, block of ``BLOCK`` draws): ``picks`` holds the block's multiplicities."""
     block = F.floor(F.col("draw") / F.lit(BLOCK)).cast("int")
     place = F.pmod(F.col("draw"), F.lit(BLOCK)).cast("int")
-    entries = F.collect_list(F.struct(place.alias("i"), F.col("w").cast("double").alias("w")))
-    packed = weights.groupBy(*keys, block.alias("block")).agg(F.map_from_entries(entries).alias("m"))
-    return packed.select(*keys, "block", _dense(F.col("m"), BLOCK).alias("picks"))
+    sums = [F.sum(F.when(place == i, F.col("w").cast("double")).otherwise(0.0)).alias(f"_{i}") for i in range(BLOCK)]
+    packed = weights.groupBy(*keys, block.alias("block")).agg(*sums)
+    return packed.select(*keys, "block", F.array(*[f"_{i}" for i in range(BLOCK)]).alias("picks"))
 
 
 def _dense(entries: Column, length: int) -> Column:
@@ -90,9 +88,10 @@ def _times(n: Column, pos: Column) -> Column:
     return F.concat(F.transform("picks", lambda w: w * n), F.transform("picks", lambda w: w * pos))
 
 
-def _vector_sum(v: Column) -> Column:
-    """Sums of whole numbers by place, combined on the map side. The summarizer keeps means, so sums are rounded back."""
-    return F.transform(vector_to_array(Summarizer.sum(array_to_vector(v))), F.rint)
+def _vector_sums(df: DataFrame, keys: Sequence[str], name: str, length: int) -> DataFrame:
+    """Sums of vectors by place, as plain sums of columns: these are hashed, while aggregates of objects are sorted."""
+    sums = df.groupBy(*keys).agg(*[F.sum(F.col(name)[i]).alias(f"_{i}") for i in range(length)])
+    return sums.select(*keys, F.array(*[f"_{i}" for i in range(length)]).alias(name))
 
 
 def _schema_of(df: DataFrame, names: Sequence[str]) -> str:
@@ -184,13 +183,21 @@ def draw_metrics(
     link = [*strata, "group_id"]
     picks = cut_lineage(draw_blocks(weights, link))  # used for the score counts and again for the tied rows
     scope = [*dims, "scope", "block"]
-    own_scopes = F.array(*[F.lit(ALL) if s == ALL else F.col("segment") for s in scopes])
     base = df.groupBy(*dims, "segment", "group_id", "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")
     )
-    drawn = base.join(picks, link).withColumn("v", _times(F.col("n"), F.col("pos"))).withColumn("scope", F.explode(own_scopes))
-    table = cut_lineage(with_buckets(drawn, cuts, "score").groupBy(*scope, "_bucket", "score").agg(_vector_sum(F.col("v")).alias("v")))
-    totals = table.groupBy(*scope, "_bucket").agg(_vector_sum(F.col("v")).alias("v"))
+    drawn = base.join(picks, link).withColumn("v", _times(F.col("n"), F.col("pos")))
+    drawn = with_buckets(drawn, cuts, "score")
+    per_score = [*dims, "block", "_bucket", "score"]
+    if "segment" in scopes:
+        # Segments make up the whole, whose sums come from theirs.
+        own = cut_lineage(_vector_sums(drawn, [*per_score, "segment"], "v", 2 * BLOCK).withColumnRenamed("segment", "scope"))
+        table = own
+        if ALL in scopes:
+            table = own.unionByName(cut_lineage(_vector_sums(own, per_score, "v", 2 * BLOCK).withColumn("scope", F.lit(ALL))))
+    else:
+        table = cut_lineage(_vector_sums(drawn, per_score, "v", 2 * BLOCK).withColumn("scope", F.lit(ALL)))
+    totals = _vector_sums(table, [*scope, "_bucket"], "v", 2 * BLOCK)
     key_types = _schema_of(table, scope)
     offsets = totals.groupBy(*scope).applyInPandas(
         _before(scope, ["_bucket"], [False]), f"{key_types}, _bucket double, before array<double>, total array<double>")
@@ -212,13 +219,14 @@ def draw_metrics(
     )
     spots = ["segment", "_bucket"]
     ready = with_buckets(tied, Cuts(cuts.tie_splits, (), ()), "row_id")
-    counted = ready.groupBy(*tie, *spots).agg(_vector_sum(_times(F.lit(1), F.col("label"))).alias("v"))
+    counted = _vector_sums(ready.withColumn("v", _times(F.lit(1), F.col("label"))), [*tie, *spots], "v", 2 * BLOCK)
     tie_types = _schema_of(counted, [*tie, *spots])
     buckets = cut_lineage(counted.join(rooms, tie).groupBy(*tie).applyInPandas(
         _tied_buckets(tie, spots), f"{tie_types}, before array<double>, rooms array<double>, whole array<double>, open boolean"))
     cut = ready.join(buckets.where("open").select(*tie, *spots, "before", "rooms"), [*tie, *spots]).groupBy(*tie, *spots).applyInPandas(
         _ordered_ties(tie), f"{_schema_of(counted, tie)}, whole array<double>")
-    taken = buckets.select(*tie, "whole").unionByName(cut).groupBy(*scope).agg(_vector_sum(F.col("whole")).alias("whole"))
+    taken = buckets.select(*tie, "whole").unionByName(cut)
+    taken = _vector_sums(taken, scope, "whole", len(fractions) * BLOCK)
     extra = taken.select(*scope, F.posexplode("whole").alias("i", "_extra")).select(
         *scope, F.pmod("i", F.lit(BLOCK)).alias("place"), F.floor(F.col("i") / BLOCK).cast("int").alias("f"), "_extra")
     fraction = F.element_at(F.array(*[F.lit(float(f)) for f in fractions]), F.col("f") + 1)

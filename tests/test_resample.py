@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from linetriage.operators import resample
 
@@ -46,3 +47,11 @@ def test_draws_equal_sorted_copies(spark, rows, scopes, partitions):
             size, total, k, found, ap = plain(part, own, r.fraction)
             assert (r.rows, r.positives, r.k, r.found) == (size, total, k, found), (r, found)
             assert r.average_precision == pytest.approx(ap, abs=1e-12)
+
+
+def test_vector_sums_are_hashed_and_exact(spark):
+    rows = spark.range(1000).select((F.col("id") % 300).alias("k"), F.array(*[(F.col("id") * i).cast("double") for i in range(128)]).alias("v"))
+    sums = resample._vector_sums(rows, ["k"], "v", 128)
+    assert "ObjectHashAggregate" not in sums._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: list(r.v) for r in sums.collect()}
+    assert len(got) == 300 and all(got[k] == [float(i * sum(range(k, 1000, 300))) for i in range(128)] for k in got)
