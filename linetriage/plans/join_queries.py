@@ -8,6 +8,7 @@ from linetriage.operators import budget, evidence, joins
 from linetriage.operators.windows import average_rank
 from linetriage.plans import views
 from linetriage.plans.registry import query
+from linetriage.sources.sinks import save, scratch_folder
 
 DIMS = ["model", "seed"]
 
@@ -69,9 +70,12 @@ def _share(column: str, table: str) -> str:
 SELECT seed, segment, row_id, round(({_share('x', 'p')} + {_share('y', 'p')}) / 2, 9) AS score FROM p""")
 def rank_blend(spark: SparkSession, sf: str) -> DataFrame:
     scope = ["seed", "segment", "fold"]
-    pairs = _pairs(spark, sf)
+    # Ranks pass over the pairs several times: they are written before each ranking instead of being made for each pass.
+    folder = scratch_folder(spark)
+    pairs = _pairs(spark, sf).drop("label")
     for name in views.MODELS:
-        pairs = average_rank(pairs, scope, f"score_{name}", f"share_{name}")
+        save(pairs, f"{folder}/{name}")
+        pairs = average_rank(spark.read.schema(pairs.schema).parquet(f"{folder}/{name}"), scope, f"score_{name}", f"share_{name}").drop(f"score_{name}")
     blend = (F.col("share_ratio") + F.col("share_mixed")) / 2
     return pairs.select("seed", "segment", "row_id", F.round(blend, 9).alias("score"))
 

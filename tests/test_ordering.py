@@ -110,3 +110,10 @@ def test_a_row_without_a_place_is_an_error_not_a_lost_row(spark, score):
     frame = spark.createDataFrame([("a", 1, 0.5), ("a", 2, score)], "segment string, row_id long, score double")
     with pytest.raises(Exception, match="cannot be ordered"):
         rank_rows(frame, ["segment"]).collect()
+
+
+def test_both_ranks_of_a_blend_read_stored_pairs(spark):
+    from linetriage.plans import join_queries
+
+    files = join_queries.rank_blend(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
