@@ -92,11 +92,12 @@ def queue_faults(queue: DataFrame, source: DataFrame, unvalidated: Sequence[str]
     sides = (
         queue.select("segment", "row_id", F.lit(1).alias("q"), F.lit(0).alias("s"))
         .unionByName(source.select("segment", "row_id", F.lit(0).alias("q"), F.lit(1).alias("s")))
-        .groupBy("segment", "row_id").agg(F.max("q").alias("q"), F.max("s").alias("s"))
-        .agg(count_if(F.col("s") == 0).alias("not_in_source"), count_if(F.col("q") == 0).alias("not_in_queue"))
+        .groupBy("segment", "row_id").agg(F.sum("q").alias("q"), F.max("s").alias("s"))
+        .agg(count_if(F.col("q") > 1).alias("duplicate_key"), count_if(F.col("s") == 0).alias("not_in_source"),
+             count_if(F.col("q") == 0).alias("not_in_queue"))
     )
     parts = [
-        local, repeats(["segment", "row_id"], "duplicate_key"), repeats(["global_rank"], "global_rank_repeated"),
+        local, repeats(["global_rank"], "global_rank_repeated"),
         repeats(["segment", "segment_rank"], "segment_rank_repeated"), _order_faults(queue), sides,
     ]
     return _as_rules(parts)

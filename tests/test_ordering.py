@@ -117,3 +117,16 @@ def test_both_ranks_of_a_blend_read_stored_pairs(spark):
 
     files = join_queries.rank_blend(spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any("events.parquet" in f for f in files)
+
+
+def test_queue_check_groups_its_keys_once(spark):
+    import re
+
+    from linetriage.operators import queue as q
+
+    rows = spark.createDataFrame([("a", 1, 0.5, 0), ("a", 2, 0.4, 0), ("b", 3, 0.3, 3)], "segment string, row_id long, score double, ood_feature_count int")
+    built = q.build_queue(rows, [])
+    faults = q.queue_faults(built.unionByName(built.where("row_id = 3")), rows.where("row_id <> 1"), [])
+    assert len(re.findall(r"Exchange hashpartitioning\(segment#\d+, row_id#", faults._jdf.queryExecution().executedPlan().toString())) == 1
+    got = {r["rule"]: r["failed_rows"] for r in faults.collect()}
+    assert (got["duplicate_key"], got["not_in_source"], got["not_in_queue"]) == (1, 1, 0)
