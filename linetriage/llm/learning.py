@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLE = 12_000  # labelled rows that a fit reads, about; the bound of what reaches the driver
+BLOCK = 512  # rows that a fit holds as double floats at once
 
 
 def remainder(doc_id: str, divisor: int) -> Column:
@@ -34,29 +37,68 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, steps: int = 40) -> np.ndarray:
+@dataclass(frozen=True)
+class Differences:
+    """Rows ``x[left] - x[right]``, made when a slice is asked for."""
+
+    x: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        return self.x[self.left[rows]].astype(float) - self.x[self.right[rows]]
+
+
+@dataclass(frozen=True)
+class Marked:
+    """Rows that hold ``values[c]`` in their columns c, and 1 in a last column; made when a slice is asked for."""
+
+    columns: list[np.ndarray]
+    values: np.ndarray
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        some = self.columns[rows]
+        out = np.zeros((len(some), len(self.values) + 1))
+        out[:, -1] = 1
+        for row, columns in zip(out, some):
+            row[columns] = self.values[columns]
+        return out
+
+
+def products(x: np.ndarray | Differences | Marked, w: np.ndarray, rows: int) -> np.ndarray:
+    """``x @ w`` by blocks of rows."""
+    return np.concatenate([np.empty(0), *(np.asarray(x[at : at + BLOCK], float) @ w for at in range(0, rows, BLOCK))])
+
+
+def logistic(x: np.ndarray | Differences | Marked, y: np.ndarray, penalty: np.ndarray, steps: int = 40) -> np.ndarray:
     """Weights of least logistic loss plus half the penalised squares, by damped Newton steps.
 
-    ``y`` holds targets from 0 to 1. Raises if the gradient has not vanished at the end.
+    ``y`` holds targets from 0 to 1. Sums go over blocks of rows, so besides ``x`` only one block is held.
+    Raises if the gradient has not vanished at the end.
     """
-    w = np.zeros(x.shape[1])
+    w = np.zeros(len(penalty))
 
-    def loss(v):
-        z = x @ v
+    def loss(v, z):
         return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * v * v).sum())
 
-    now = loss(w)
+    z = np.zeros(len(y))
+    now = loss(w, z)
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        slope = x.T @ (p - y) + penalty * w
+        p = sigmoid(z)
+        slope, bend = penalty * w, np.diag(penalty + 1e-9)
+        for at in range(0, len(y), BLOCK):
+            rows = slice(at, at + BLOCK)
+            part = np.asarray(x[rows], float)
+            slope += part.T @ (p[rows] - y[rows])
+            bend += (part * (p[rows] * (1 - p[rows]))[:, None]).T @ part
         if np.abs(slope).max() < 1e-6 * max(1, len(y)):
             return w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(bend, slope)
+        along = products(x, step, len(y))
         size = 1.0
-        while (then := loss(w - size * step)) > now and size > 1e-6:
+        while (then := loss(w - size * step, z - size * along)) > now and size > 1e-6:
             size /= 2
-        w, now = w - size * step, min(now, then)
+        w, z, now = w - size * step, z - size * along, min(now, then)
     raise RuntimeError("the logistic fit has not converged")
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linetriage.llm.learning import SAMPLE, calibration, labelled_sample, logistic, remainder, sigmoid
+from linetriage.llm.learning import SAMPLE, Differences, calibration, labelled_sample, logistic, products, remainder, sigmoid
 
 PAIRS = 16_000  # preference pairs of a fit, at most
 GRADES = 10_000  # score steps of the quantile's histogram
@@ -86,12 +86,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, pairs: int = PAI
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(WIDTH), 0.0, float(np.log(share / (1 - share))))
-    x = np.frombuffer(b"".join(seen.x), np.float32).reshape(len(y), WIDTH).astype(float)
+    x = np.frombuffer(b"".join(seen.x), np.float32).reshape(len(y), WIDTH)
+    del seen
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     draw = np.random.default_rng(2)
     left, right = draw.choice(good, pairs), draw.choice(bad, pairs)
-    weights = logistic(x[left] - x[right], np.ones(pairs), np.full(WIDTH, penalty))
-    slope, offset = calibration(x @ weights, y)
+    weights = logistic(Differences(x, left, right), np.ones(pairs), np.full(WIDTH, penalty))
+    slope, offset = calibration(products(x, weights, len(y)), y)
     return Model(weights, slope, offset)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linetriage.llm.common import summed_vector
-from linetriage.llm.learning import SAMPLE, labelled_sample, logistic, remainder, sigmoid
+from linetriage.llm.learning import SAMPLE, Marked, labelled_sample, logistic, remainder, sigmoid
 
 BITS = 18  # n-grams are hashed to so many bits
 LENGTHS = (3, 4, 5)
@@ -92,11 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, penalty: float =
                 [batch.column(0), pa.array(raw, pa.binary()), batch.column(2)], names=["doc_id", "x", "label"])
 
     seen = sample.mapInArrow(choose, "doc_id long, x binary, label int").toPandas().sort_values(["doc_id", "label", "x"])
-    x = np.zeros((len(seen), len(hashes) + 1), np.float32)
-    x[:, -1] = 1
-    for i, raw in enumerate(seen.x):
-        at = np.searchsorted(hashes, np.frombuffer(raw, "<u4"))
-        x[i, at] = ratio[hashes[at]]
+    x = Marked([np.searchsorted(hashes, np.frombuffer(raw, "<u4")) for raw in seen.x], ratio[hashes])
     weights = logistic(x, seen.label.to_numpy().astype(float), np.append(np.full(len(hashes), penalty), 1e-6))
     return Model(hashes.astype(np.uint32), weights[:-1] * ratio[hashes], float(weights[-1]))
 
