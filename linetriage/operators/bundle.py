@@ -114,7 +114,7 @@ def final_fit(
     winners = {r["segment"]: r["winner"] for r in chosen.collect()}
     if routed is not None:
         winners = {s: w if s in routed else reference for s, w in winners.items()}
-    return {s: candidates[w](rows.where(F.col("segment") == s), features, seed) for s, w in winners.items()}, winners, metrics
+    return models.fit_segments(rows, features, {s: candidates[w] for s, w in winners.items()}, seed), winners, metrics
 
 
 def _segments(rows: DataFrame) -> list[str]:

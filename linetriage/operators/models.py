@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -138,6 +138,15 @@ def strongest_weights(weights: DataFrame, top: int = 10) -> DataFrame:
     return weights.where(F.col("feature").isNotNull()).orderBy(F.abs("coef").desc(), "segment", "feature").limit(top)
 
 
+@dataclass(frozen=True)
+class Linear:
+    """What a logistic candidate is, for fits of many at once; without ``segments`` all rows are fitted together."""
+
+    c: float
+    weights: str | None
+    segments: tuple[str, ...] | None = None
+
+
 def margin(fit: Sequence[tuple]) -> Column:
     """Margin of one fit as a column expression over the feature columns."""
     *parts, (_, _, _, intercept) = fit
@@ -149,6 +158,7 @@ def logistic(c: float = 0.1, weights: str | None = "balanced", row_weight: str |
     def fit(df: DataFrame, features: Sequence[str], seed: int) -> Scorer:
         return restored(Stored("linear", {"rows": fit_logistic(df, features, c, weights, row_weight)}), features)
 
+    fit.linear = None if row_weight else Linear(c, weights)
     return fit
 
 
@@ -247,9 +257,28 @@ def per_segment(candidate: Candidate, segments: Sequence[str]) -> Candidate:
 
         return score
 
+    linear = getattr(candidate, "linear", None)
+    fit.linear = linear and replace(linear, segments=tuple(segments))
     return fit
 
 
+def _as_they_are() -> dict[str, batched.View]:
+    return {"rows": batched.View(F.lit(1), F.col("label"))}
+
+
+def fit_segments(df: DataFrame, features: Sequence[str], chosen: Mapping[str, Candidate], seed: int) -> dict[str, Scorer]:
+    """The fit of each segment's candidate on all its rows; logistic ones are fitted together."""
+    linear = {s: c.linear for s, c in chosen.items() if getattr(c, "linear", None)}
+    scorers = {s: c(df.where(F.col("segment") == s), features, seed) for s, c in chosen.items() if s not in linear}
+    if linear:
+        jobs = [batched.Job((s,), "rows", m.c, m.weights, segment=s) for s, m in linear.items()]
+        placed = df if "fold" in df.columns else df.withColumn("fold", F.lit(0))
+        for (s,), f in batched.fit_all(placed, features, _as_they_are(), jobs).items():
+            parts = zip(features, f.mean.tolist(), f.scale.tolist(), f.coef.tolist())
+            scorers[s] = restored(Stored("linear", {"rows": [*parts, (None, None, None, f.intercept)]}), features)
+    return {s: scorers[s] for s in chosen}
+
+
 # -- out-of-fold scoring ------------------------------------------------------------------------
 
 
@@ -259,6 +288,7 @@ def oof_scores(
 ) -> DataFrame:
     """Fit on fold != k and score fold = k for every candidate; long table, each row once per candidate.
 
+    Logistic candidates are fitted together, for all folds and segments in one pass per step; others one by one.
     The training frame should be materialised (cached or checkpointed) by the caller. A group that lies
     in several folds, or a row whose fold is not among ``folds``, is an error.
     """
@@ -271,12 +301,37 @@ def oof_scores(
         out = score(df.where(F.col(fold) == k))
         return out.select(*identity, F.lit(name).alias("candidate"), F.lit(seed).alias("seed"), "score")
 
-    tasks = [(name, k) for name in candidates for k in folds]
+    linear = {name: c.linear for name, c in candidates.items() if getattr(c, "linear", None)}
+    tasks = [(name, k) for name in candidates if name not in linear for k in folds]
     with ThreadPoolExecutor(threads) as pool:
         parts = list(pool.map(one, tasks))
+    parts += [
+        z.select(*identity, "candidate", F.lit(seed).alias("seed"), checked_sigmoid(F.col("z")).alias("score"))
+        for z in _linear_margins(df, features, linear, folds, fold)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _linear_margins(
+    df: DataFrame, features: Sequence[str], linear: Mapping[str, Linear], folds: Sequence[int], fold: str
+) -> list[DataFrame]:
+    """The rows of ``df`` with (candidate, z) of each logistic candidate's fits on the other folds."""
+    jobs = [
+        batched.Job((name, int(k), *([s] if m.segments else [])), "rows", m.c, m.weights, fold=int(k), segment=s)
+        for name, m in linear.items() for k in folds for s in m.segments or [None]]
+    if not jobs:
+        return []
+    placed = df if "segment" in df.columns else df.withColumn("segment", F.lit("all"))
+    if fold != "fold":
+        placed = placed.withColumn("fold", F.col(fold))
+    fits = batched.fit_all(placed, features, _as_they_are(), jobs)
+    out = []
+    for on in (("fold",), ("fold", "segment")):
+        some = {key: f for key, f in fits.items() if len(key) == 1 + len(on)}
+        if some:
+            out.append(batched.margins(placed, features, some, ("candidate", *on), on))
+    return out
+
+
 def check_folds(df: DataFrame, fold: str, folds: Sequence[int]) -> None:
     outside = F.count(F.when(~F.coalesce(F.col(fold).isin(list(folds)), F.lit(False)), 1))
     if "group_id" in df.columns:
@@ -333,7 +388,7 @@ def calibrated_oof(
     out-of-fold margins of its training rows only. The fits of all inner folds of an outer fold are made
     together, as are those of all outer folds and all maps.
     """
-    view = {"rows": batched.View(F.lit(1), F.col("label"))}
+    view = _as_they_are()
     parts = []
     for k in folds:
         placed = cut_lineage(df.where(F.col("fold") != k).drop("fold").join(

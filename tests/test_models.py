@@ -149,3 +149,26 @@ def _with_fold(made, row):
     """The moved row forms another group; it stays among the live rows."""
     rows, table = made
     return rows.withColumn("fold", F.when(F.col("row_id") == row, F.lit(4)).otherwise(F.col("fold"))), table
+
+
+def test_logistic_candidates_are_fitted_together_with_the_same_scores(spark, monkeypatch):
+    rows = spark.createDataFrame(data()).withColumn("inner_fold", F.col("row_id") % 3).drop("fold", "group_id").cache()
+    features = ["a", "b", "c"]
+    candidates = {"pooled": models.logistic(0.5), "own": models.per_segment(models.logistic(0.1, None), ["s"]), "prior": models.prior()}
+    want = {}
+    for name, c, weights in (("pooled", 0.5, "balanced"), ("own", 0.1, None)):
+        for k in range(3):
+            z = models.margin(models.fit_logistic(rows.where(F.col("inner_fold") != k), features, c, weights))
+            for r in rows.where(F.col("inner_fold") == k).select("row_id", (1 / (1 + F.exp(-z))).alias("p")).collect():
+                want[name, r.row_id] = r.p
+    fits = []
+    whole = models.batched.fit_all
+    monkeypatch.setattr(models.batched, "fit_all", lambda *a: fits.append(len(a[3])) or whole(*a))
+    monkeypatch.setattr(models, "fit_logistic", None)  # no fit by itself
+    got = models.oof_scores(rows, features, candidates, range(3), 1, "inner_fold").collect()
+    assert fits == [6] and len(got) == 3 * rows.count()
+    scored = {(r.candidate, r.row_id): r.score for r in got if r.candidate != "prior"}
+    assert scored.keys() == want.keys() and all(abs(scored[k] - want[k]) < 1e-4 for k in want)
+    assert [c for c in ("inner_fold", "seed") if c in got[0]] == ["inner_fold", "seed"]
+    final = models.fit_segments(rows, features, {"s": models.logistic(0.5)}, 1)["s"]
+    assert fits == [6, 1] and final.stored.kind == "linear" and final(rows).where("score between 0 and 1").count() == rows.count()
