@@ -185,6 +185,9 @@ class Aligner:
         return Fragment(head, tail, *self.closed(run.a[a0:a1], run.b[b0:b1]))
 
     def join(self, left: Fragment, right: Fragment) -> Fragment:
+        for one, other in ((left, right), (right, left)):
+            if one.tail is None and not len(one.head.a) and not len(one.head.b):
+                return other  # a stretch without tokens, also beside a whole document
         middle = self.split((left.head if left.tail is None else left.tail) + right.head)
         head, groups, pairs, text = middle.head, middle.groups, [middle.pairs], middle.text
         if left.tail is not None:

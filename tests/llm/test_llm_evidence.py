@@ -413,3 +413,12 @@ def test_secret_query_columns(spark, documents, tmp_path):
             sum(s[0] == k for s in base) for k in secretscan.BASE_KINDS]
         assert rows[i].base_sha256 == digest(joined)
         assert rows[i].spans == joined + (f",der_key:8:{len(text)}" if i == 3 else "")
+
+
+def test_stretches_without_tokens_join_whole_documents():
+    aligner = alignment.Aligner(KINDS)
+    a, b = KINDS.encode(["a"])[0]
+    got = aligner.whole(aligner.split(alignment.Run(a, b)))
+    nothing = alignment.Fragment(alignment.Run(a[:0], b[:0]), None, 0, a[:0], b"")
+    for f in (aligner.join(nothing, got), aligner.join(got, nothing), aligner.join(aligner.join(nothing, nothing), got)):
+        assert aligner.whole(f).text == got.text and f.groups == got.groups and np.array_equal(f.pairs, got.pairs)
