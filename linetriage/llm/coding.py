@@ -1,4 +1,11 @@
-"""Token ids in files of range-coded blocks, predicted by mixed contexts of order 0 to 2."""
+"""Token ids in files of range-coded blocks, predicted by mixed contexts of order 0 to 2.
+
+The distribution of the next id mixes three with integer weights that add up to 4,096: the file's ids by how
+often they occur (order 0), and the ids that last followed the same one and the same two ids in the block, each with
+all its chance on that id. The weights follow how sure these two ids are: how often in turn they were right. What each
+state of sureness is worth is counted over the file and stands in its head; the memory starts anew in each block.
+Many blocks advance together, one id a step.
+"""
 
 from __future__ import annotations
 
@@ -9,247 +16,289 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 4096  # ids of a block, at most
-MAGIC = b"LTTOK1\n\0"
+MAGIC = b"LTTOK2\n\0"
 IDS = (1 << 16) - 2  # ids lie below
-SYMBOLS = 17  # 0: the order-2 guess, 1: the order-1 guess, 2 + k: a rank (plus 2) of k + 2 bits
-EDGES = SYMBOLS - 1
-TOTAL = 14  # bits of a distribution's total
-ROWS1, ROWS2 = 64, 256  # rows of adaptive distributions of order 1 and 2
-GUESS1, GUESS2 = 1 << 10, 1 << 11  # remembered ids of order 1 and 2
-WIDE = 56  # bits of the coder's range
+COUNTS = 16  # bits of the total of the chances of order 0
+TOTAL = 12  # bits of the total of the weights
+ROWS = 9  # bits of the number of remembered ids of each order
+SURE = 15  # how often in turn a remembered id was right, at most
+STATES = (SURE + 1) ** 2
+PLAIN = 2  # of a state's three cells: right by order 2, right by order 1, neither
+WORD = 32  # bits written at once
+STEPS = 8  # steps whose intervals are looked up together
 _U = np.uint64
-_MASK, _LEAST = _U((1 << WIDE) - 1), _U(1 << (WIDE - 16))
-_RATE = np.array([5, 4, 4], np.int16)[:, None, None]
-#: For each coded symbol, what the inner edges of its distributions move to.
-_TARGET = np.where(np.arange(EDGES) >= np.arange(SYMBOLS)[:, None], 1 << TOTAL, 0).astype(np.int16)
-_FLOOR = np.arange(1, SYMBOLS, dtype=np.int16)
-
-
-class Mixer:
-    """The adaptive model of many blocks at once, one lane each, all starting from the same state.
-
-    A distribution is the 16 inner edges of the cumulated chances of 17 symbols. Three of them (no
-    context, last id, last two ids) are mixed with weights that follow how much chance each gave lately;
-    the last id seen after the same one or two ids is a guess with a symbol of its own. All arithmetic is
-    on integers, so coder and decoder agree everywhere.
+_LEAST, _WORD, _UNIT = _U(1 << WORD), _U(WORD), _U(TOTAL + COUNTS)
+_FULL = _U((1 << 64) - 1)
+_FIRST_CELL = 3 * np.arange(STATES)
+
+
+def shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids by falling count, and the chance of each in 1 / 65,536, at least 1."""
+    seen = np.zeros(IDS, np.int64)
+    for at in range(0, len(ids), 1 << 18):
+        seen += np.bincount(ids[at : at + (1 << 18)], minlength=IDS)
+    order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
+    if not len(order):
+        return order, order
+    sizes = np.maximum(seen[order] * (1 << COUNTS) // len(ids), 1)
+    over = int(sizes.sum()) - (1 << COUNTS)
+    if over <= 0:
+        sizes[0] -= over
+        return order, sizes
+    # Rare ids got more than their share: it is taken evenly from the commoner ones.
+    spare = sizes - 1
+    taken = np.minimum(spare, spare * over // spare.sum() + 1)
+    taken -= np.diff(np.maximum(np.cumsum(taken) - over, 0), prepend=0)
+    return order, sizes - taken
+
+
+class Memory:
+    """What many blocks remember at once, one lane each, all starting with nothing.
+
+    For the last id and for the last two ids: the id that followed lately, and how often in turn it did. All
+    arithmetic is on integers, so coder and decoder agree everywhere.
     """
 
-    def __init__(self, lanes: int):
-        even = (np.arange(1, SYMBOLS) * (1 << TOTAL) // SYMBOLS).astype(np.int16)
-        self.order1 = np.tile(even, (lanes * ROWS1, 1))
-        self.order2 = np.tile(even, (lanes * ROWS2, 1))
-        self.guess1 = np.full(lanes * GUESS1, -1, np.int32)
-        self.guess2 = np.full(lanes * GUESS2, -1, np.int32)
-        self.now = np.tile(even, (3, lanes, 1))
-        self.trust = np.full((3, lanes), 1 << (TOTAL - 4), np.int32)
-        self.last = np.zeros(lanes, np.int32)
-        self.before = np.zeros(lanes, np.int32)
+    def __init__(self, lanes: int, distinct: int):
+        n = np.arange(distinct + 1, dtype=np.uint32)
+        self.one, self.two = ((n * np.uint32(k) >> np.uint32(32 - ROWS)).astype(np.int64) for k in (0x9E3779B1, 0x85EBCA6B))
+        self.held = np.full(lanes << (ROWS + 1), distinct << 4, np.int32)
+        self.before = np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.int64)
         self.keep(lanes)
 
     def keep(self, lanes: int) -> None:
         """Go on with the first ``lanes`` lanes only."""
-        self.now, self.trust = self.now[:, :lanes].copy(), self.trust[:, :lanes].copy()
         self.last, self.before = self.last[:lanes], self.before[:lanes]
-        n = np.arange(lanes, dtype=np.int32)
-        self.rows1, self.rows2, self.ids1, self.ids2 = n * ROWS1, n * ROWS2, n * GUESS1, n * GUESS2
-        self.flat, self.padded = n * EDGES, n * (SYMBOLS + 1)
-        self.edges = np.zeros((lanes, SYMBOLS + 1), np.int16)
-        self.edges[:, -1] = 1 << TOTAL
-
-    def look(self) -> None:
-        """Edges and guesses for the next id of every lane."""
-        one = self.last * 30011
-        two = one + self.before * 21401
-        one, two = one ^ (one >> 9), two ^ (two >> 12)
-        self.row1, self.row2 = self.rows1 + (one & (ROWS1 - 1)), self.rows2 + (two & (ROWS2 - 1))
-        self.at1, self.at2 = self.ids1 + (one & (GUESS1 - 1)), self.ids2 + (two & (GUESS2 - 1))
-        self.first, self.second = self.guess2.take(self.at2), self.guess1.take(self.at1)
-        now = self.now
-        self.order1.take(self.row1, axis=0, out=now[1], mode="clip")
-        self.order2.take(self.row2, axis=0, out=now[2], mode="clip")
-        share = ((self.trust[1:] << 3) // self.trust.sum(axis=0)).astype(np.int16)
-        eighths = now >> 3
-        mixed = eighths[0] * (8 - share[0] - share[1])[:, None]
-        mixed += eighths[1] * share[0][:, None]
-        mixed += eighths[2] * share[1][:, None]
-        mixed -= mixed >> 9
-        np.add(mixed, _FLOOR, out=self.edges[:, 1:SYMBOLS])
-
-    def chances(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each lane's symbol."""
-        at = self.padded + symbol
-        start = self.edges.take(at)
-        return start.astype(_U), (self.edges.take(at + 1) - start).astype(_U)
-
-    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        """Adapt to what was coded."""
-        now = self.now
-        flat = now.reshape(3, -1)
-        given = flat[:, self.flat + np.minimum(symbol, EDGES - 1)] - np.where(
-            symbol > 0, flat[:, self.flat + np.maximum(symbol - 1, 0)], 0)
-        given[:, symbol == EDGES] = (1 << TOTAL) - flat[:, self.flat[symbol == EDGES] + EDGES - 1]
-        self.trust += (given + 2 - self.trust) >> 4
-        np.maximum(self.trust, 1, out=self.trust)
-        now += (_TARGET.take(symbol, axis=0) - now) >> _RATE
-        self.order1[self.row1], self.order2[self.row2] = now[1], now[2]
-        self.guess1[self.at1] = ids
-        self.guess2[self.at2] = ids
-        self.before, self.last = self.last, ids
-
-
-def _bits(x: np.ndarray) -> np.ndarray:
-    """Bit length of positive integers below 2**24."""
-    return np.frexp(x.astype(np.float32))[1]
-
-
-def encode_lanes(lanes: list[np.ndarray], rank_of: np.ndarray) -> list[bytes]:
-    """Code each array of ids (longest first) by itself; all lanes advance one id a step."""
-    sizes = np.array([len(x) for x in lanes], np.int64)
-    count, longest = len(lanes), int(sizes.max(initial=0))
-    grid = np.zeros((longest, count), np.int32)
-    for i, x in enumerate(lanes):
-        grid[: len(x), i] = x
-    model = Mixer(count)
-    low, width = np.zeros(count, _U), np.full(count, _MASK, _U)
-    words = np.zeros((count, longest * 2 + 8), np.uint32)
-    sent = np.zeros(count, np.int64)
-
-    def put(rows: np.ndarray, values: np.ndarray) -> None:
-        words[rows, sent[rows]] = values
+        self.rows = np.arange(2 * lanes).reshape(2, lanes, order="F") << ROWS
+        self.row = np.empty((2, lanes), np.int64)
+        self.found, self.guess, self.sure = (np.empty((2, lanes), np.int32) for _ in range(3))
+        self.hit, self.more = np.empty((2, lanes), bool), np.empty((2, lanes), bool)
+
+    def look(self) -> np.ndarray:
+        """The first cell of each lane's state: how sure its guesses of order 2 and 1 are."""
+        one = self.row[1]
+        self.one.take(self.last, out=one, mode="clip")
+        np.bitwise_xor(one, self.before, out=self.row[0])
+        self.row += self.rows
+        self.held.take(self.row, out=self.found, mode="clip")
+        np.right_shift(self.found, 4, out=self.guess)
+        np.bitwise_and(self.found, SURE, out=self.sure)
+        state = self.sure[0] << 4
+        state += self.sure[1]
+        return _FIRST_CELL.take(state)
+
+    def learn(self, ranks: np.ndarray) -> np.ndarray:
+        """Remember what came; which guesses of order 2 and 1 were right."""
+        new = ranks.astype(np.int32)
+        np.equal(self.guess, new, out=self.hit)
+        new <<= 4
+        new += 1
+        np.less(self.sure, SURE, out=self.more)
+        self.found += self.more
+        self.held[self.row] = np.where(self.hit, self.found, new)
+        self.before, self.last = self.two.take(self.last, mode="clip"), ranks
+        return self.hit
+
+
+def intervals(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and scale of the three cells of every state: the shares of order 2, order 1 and order 0."""
+    ends = np.zeros((len(weights), 4), np.int64)
+    ends[:, 1:3] = weights
+    ends[:, 3] = 1 << TOTAL
+    return (ends[:, :3] << COUNTS).ravel(), np.diff(ends).ravel()
+
+
+class Order0:
+    """Intervals of ranks in 1 / 65,536; the rank behind the last one stands for all of it."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.size = np.append(sizes, 1 << COUNTS)
+        self.start = np.append(np.cumsum(sizes) - sizes, 0)
+        self.at = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16) if len(sizes) else np.zeros(1, np.uint16)
+
+
+def guessed(grid: np.ndarray, sizes: np.ndarray, distinct: int) -> np.ndarray:
+    """The cell of every rank in ``grid`` (a lane a column); ranks that were guessed become ``distinct`` there."""
+    cells = np.full(grid.shape, 3 * STATES, np.uint16)
+    live = grid.shape[1]
+    memory = Memory(live, distinct)
+    for step, row in enumerate(grid):
+        if sizes[live - 1] <= step:
+            live = int(np.searchsorted(-sizes, -step))
+            memory.keep(live)
+        ranks = row[:live].astype(np.int64)
+        state = memory.look()
+        exact, second = memory.learn(ranks)
+        state += PLAIN
+        state -= np.maximum(exact.view(np.uint8) << 1, second.view(np.uint8))
+        cells[step, :live] = state
+        np.copyto(row[:live], distinct, where=exact | second)
+    return cells
+
+
+def weigh(cells: np.ndarray) -> np.ndarray:
+    """Where the shares of order 2 and 1 end in each state, of 4,096, by how often either was right; none is 0."""
+    seen = np.zeros(3 * STATES + 1, np.int64)
+    for rows in range(0, len(cells), 64):
+        seen += np.bincount(cells[rows : rows + 64].ravel(), minlength=len(seen))
+    seen = seen[:-1].reshape(STATES, 3)
+    right = seen[:, :PLAIN] * ((1 << TOTAL) - 3) // np.maximum(seen.sum(axis=1), 1)[:, None] + 1
+    return np.cumsum(right, axis=1)
+
+
+def encode_lanes(cells: np.ndarray, grid: np.ndarray, lengths: np.ndarray, weights: np.ndarray, order0: Order0) -> list[bytes]:
+    """Code each column (longest first) by itself; all lanes advance one id a step."""
+    longest, count = grid.shape
+    starts, scales = intervals(weights)
+    low, width = np.zeros(count, _U), np.full(count, _FULL, _U)
+    words = np.zeros(count * (longest + 2), np.uint32)
+    begin = np.arange(count) * (longest + 2)
+    sent = begin.copy()
+
+    def put(rows: np.ndarray | slice, values: np.ndarray) -> None:
+        words[sent[rows]] = values >> _WORD
         sent[rows] += 1
 
-    def finish(first: int) -> None:
-        rest = low[first:].copy()
-        for _ in range(4):
-            put(np.arange(first, len(low)), (rest >> _U(WIDE - 16)).astype(np.uint32))
-            rest = (rest << _U(16)) & _MASK
-
+    live = count
     for step in range(longest):
-        live = int(np.searchsorted(-sizes, -step))
-        if live < len(low):
-            finish(live)
-            low, width = low[:live], width[:live]
-            model.keep(live)
-        ids = grid[step, :live]
-        model.look()
-        rank = rank_of.take(ids) + 2
-        bits = _bits(rank)
-        symbol = np.where(ids == model.first, 0, np.where(ids == model.second, 1, bits))
-        start, size = model.chances(symbol)
-        unit = width >> _U(TOTAL)
-        low += unit * start
-        width = unit * size
-        ranked = symbol > 1
-        tail = ((bits - 1) * ranked).astype(_U)
-        width >>= tail
-        low += width * ((rank - (1 << (bits - 1))) * ranked).astype(_U)
-        carry = np.flatnonzero(low > _MASK)
+        if step % STEPS == 0:
+            some, ranks = (x[step : step + STEPS, :live].astype(np.int64) for x in (cells, grid))
+            scale = scales.take(some, mode="clip")
+            start = order0.start.take(ranks)
+            start *= scale
+            start += starts.take(some, mode="clip")
+            scale *= order0.size.take(ranks)
+            start, scale = start.view(_U), scale.view(_U)
+        if lengths[live - 1] <= step:
+            ended, live = live, int(np.searchsorted(-lengths, -step))
+            for _ in range(2):
+                put(slice(live, ended), low[live:])
+                low[live:] <<= _WORD
+            low, width = low[:live].copy(), width[:live].copy()
+        width >>= _UNIT
+        up = width * start[step % STEPS, :live]
+        low += up
+        width *= scale[step % STEPS, :live]
+        carry = np.flatnonzero(low < up)
         if len(carry):
-            words[carry, sent[carry] - 1] += 1
-            low[carry] &= _MASK
-        while len(short := np.flatnonzero(width < _LEAST)):
-            put(short, (low[short] >> _U(WIDE - 16)).astype(np.uint32))
-            low[short] = (low[short] << _U(16)) & _MASK
-            width[short] <<= _U(16)
-        model.learn(symbol, ids)
-    finish(0)
-    out = []
-    for i in range(count):
-        digits = words[i, : sent[i]]
-        while (over := digits >> 16).any():  # carries that arrived after a word had been put down
-            digits = digits & 0xFFFF
-            digits[:-1] += over[1:]
-        out.append(digits.astype(">u2").tobytes())
-    return out
-
-
-def decode_lanes(coded: list[bytes], sizes: np.ndarray, id_of: np.ndarray) -> list[np.ndarray]:
-    """The ids of each coded array (longest first)."""
-    count, longest = len(coded), int(sizes.max(initial=0))
-    stream = np.zeros((count, max([len(c) // 2 for c in coded], default=0) + 6), np.uint16)
-    for i, c in enumerate(coded):
-        stream[i, : len(c) // 2] = np.frombuffer(c, ">u2")
-    model = Mixer(count)
-    value = stream[:, :4].astype(_U) @ (_U(1) << np.array([WIDE - 16, WIDE - 32, WIDE - 48, 0], _U))
-    value = value - stream[:, 3].astype(_U) + (stream[:, 3].astype(_U) >> _U(8))  # 56 bits: three words and a half
-    half = stream[:, 3] & 0xFF
-    flat = stream.ravel()
-    at = np.arange(count) * stream.shape[1] + 4
-    width = np.full(count, _MASK, _U)
-    grid = np.zeros((longest, count), np.int32)
+            places = sent[carry]
+            while len(places):
+                places -= 1
+                words[places] += np.uint32(1)
+                places = places[words[places] == 0]
+        short = np.flatnonzero(width < _LEAST)
+        if len(short):
+            rest = low[short]
+            put(short, rest)
+            low[short] = rest << _WORD
+            width[short] <<= _WORD
+    for _ in range(2):
+        put(slice(0, live), low)
+        low <<= _WORD
+    return [words[a:b].astype(">u4").tobytes() for a, b in zip(begin.tolist(), sent.tolist())]
+
+
+def decode_lanes(coded: list[bytes], lengths: np.ndarray, weights: np.ndarray, order0: Order0) -> np.ndarray:
+    """The ranks of each coded column (longest first)."""
+    count, longest, distinct = len(coded), int(lengths.max(initial=0)), len(order0.size) - 1
+    stream = np.frombuffer(b"".join([*coded, bytes(8)]), ">u4").astype(np.uint32)
+    at = np.cumsum([0, *map(len, coded)])[:-1] // 4
+    starts, scales = intervals(weights)
+    share2, share1 = (np.repeat(weights[:, i], 3) for i in range(2))
+    value = (stream.take(at, mode="clip").astype(_U) << _WORD) | stream.take(at + 1, mode="clip")
+    at += 2
+    width = np.full(count, _FULL, _U)
+    grid = np.zeros((longest, count), np.uint16)
+    live, memory = count, Memory(count, distinct)
     for step in range(longest):
-        live = int(np.searchsorted(-sizes, -step))
-        if live < len(value):
-            value, width, half, at = value[:live], width[:live], half[:live].copy(), at[:live].copy()
-            model.keep(live)
-        model.look()
-        unit = width >> _U(TOTAL)
-        place = np.minimum(value // unit, _U((1 << TOTAL) - 1)).astype(np.int16)
-        below = np.ascontiguousarray(model.edges[:, 1:SYMBOLS]) <= place[:, None]
-        symbol = np.bitwise_count(below.view(_U)).sum(axis=1, dtype=np.int32)
-        start, size = model.chances(symbol)
-        value = value - unit * start
-        width = unit * size
-        ranked = symbol > 1
-        tail = (symbol - 1) * ranked
-        width >>= tail.astype(_U)
-        rest = (value // width).astype(np.int64)
-        rest = np.minimum(rest, (1 << tail.astype(np.int64)) - 1)
-        value -= width * rest.astype(_U)
-        rank = np.minimum(((1 << tail) + rest - 2) * ranked, len(id_of) - 1)
-        ids = np.where(ranked, id_of.take(rank), np.where(symbol == 0, model.first, model.second))
-        while len(short := np.flatnonzero(width < _LEAST)):
-            word = flat[at[short]]
-            value[short] = (value[short] << _U(16)) | (half[short].astype(_U) << _U(8)) | (word >> 8)
-            half[short] = word & 0xFF
-            at[short] += 1
-            width[short] <<= _U(16)
-        grid[step, :live] = ids
-        model.learn(symbol, ids)
-    return [grid[:s, i].copy() for i, s in enumerate(sizes.tolist())]
+        if lengths[live - 1] <= step:
+            live = int(np.searchsorted(-lengths, -step))
+            value, width, at = value[:live].copy(), width[:live].copy(), at[:live].copy()
+            memory.keep(live)
+        cell = memory.look()
+        width >>= _UNIT
+        place = (value // width).view(np.int64)
+        share = place >> COUNTS
+        exact, guess = share < share2.take(cell), share < share1.take(cell)
+        cell += PLAIN
+        cell -= exact
+        cell -= guess
+        start, scale = starts.take(cell, mode="clip"), scales.take(cell, mode="clip")
+        place -= start
+        ranks = order0.at.take((place / scale).astype(np.int64), mode="clip").astype(np.int64)  # place below 2**28, so exact
+        np.copyto(ranks, distinct, where=guess)
+        down = order0.start.take(ranks)
+        down *= scale
+        down += start
+        scale *= order0.size.take(ranks)
+        down = down.view(_U)
+        down *= width
+        value -= down
+        width *= scale.view(_U)
+        np.copyto(ranks, memory.guess[1], where=guess)
+        np.copyto(ranks, memory.guess[0], where=exact)
+        short = np.flatnonzero(width < _LEAST)
+        if len(short):
+            places = at[short]
+            value[short] = (value[short] << _WORD) | stream.take(places, mode="clip")
+            at[short] = places + 1
+            width[short] <<= _WORD
+        grid[step, :live] = ranks
+        memory.learn(ranks)
+    return grid
 
 
 def write_file(ids: np.ndarray, block: int = BLOCK, doc_ids: np.ndarray | None = None, lengths: np.ndarray | None = None) -> bytes:
     """One file: a head, the documents in it, the ids ordered by how often they occur, and coded blocks.
 
     Head: magic; lengths of what follows; doc ids (signed 64-bit) and their numbers of ids (unsigned
-    32-bit), compressed; distinct ids by falling count; crc32 of all that. A block: number of ids, number
+    32-bit), compressed; distinct ids by falling count; their chances less 1 and the weights of all states, compressed; crc32 of all that. A block: number of ids, number
     of coded bytes, crc32 of its ids (little-endian unsigned 32-bit), crc32 of its coded bytes, those
     bytes. A block is decoded without any other.
     """
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() >= IDS):
         raise ValueError(f"ids must lie in 0 .. {IDS - 1}")
-    seen = np.bincount(ids, minlength=1)
-    order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)].astype("<u2")
-    rank_of = np.zeros(IDS, np.int32)
+    order, sizes = shares(ids)
+    rank_of = np.zeros(IDS, np.uint16)
     rank_of[order] = np.arange(len(order))
     blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
+    counts = np.array([len(b) for b in blocks], np.int64)
+    grid = np.zeros((int(counts.max(initial=0)), len(blocks)), np.uint16)
+    for i, plain in enumerate(blocks):
+        grid[: len(plain), i] = rank_of.take(plain)
+    cells = guessed(grid, counts, len(order))
+    weights = weigh(cells)
+    tables = zlib.compress((sizes - 1).astype("<u2").tobytes() + weights.astype("<u2").tobytes())
     index = b"" if doc_ids is None else zlib.compress(np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes())
     documents = 0 if doc_ids is None else len(doc_ids)
-    head = _HEAD.pack(block, len(ids), documents, len(index), len(order), len(blocks)) + index + order.tobytes()
+    head = _HEAD.pack(block, len(ids), documents, len(index), len(order), len(tables), len(blocks))
+    head += index + order.astype("<u2").tobytes() + tables
     out = [MAGIC, head, struct.pack("<I", zlib.crc32(head))]
-    for plain, coded in zip(blocks, encode_lanes(blocks, rank_of)):
+    for plain, coded in zip(blocks, encode_lanes(cells, grid, counts, weights, Order0(sizes))):
         out += [_BLOCK.pack(len(plain), len(coded), zlib.crc32(plain.astype("<u4").tobytes()), zlib.crc32(coded)), coded]
     return b"".join(out)
 
 
-_HEAD, _BLOCK = struct.Struct("<IQIIII"), struct.Struct("<IIII")
+_HEAD, _BLOCK = struct.Struct("<IQIIIII"), struct.Struct("<IIII")
 
 
-def _head(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(number of ids, of blocks, doc ids, lengths, ids by rank, where blocks start) after checking the head."""
+def _head(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """(number of ids, of blocks, doc ids, lengths, (ids by rank, their chances, weights), where blocks start), checked."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token file")
     at = len(MAGIC)
-    _, total, documents, index, distinct, count = _HEAD.unpack_from(data, at)
+    _, total, documents, index, distinct, tables, count = _HEAD.unpack_from(data, at)
     middle = at + _HEAD.size + index
-    end = middle + 2 * distinct
+    end = middle + 2 * distinct + tables
     if end + 4 > len(data) or zlib.crc32(data[at:end]) != struct.unpack_from("<I", data, end)[0]:
         raise ValueError("the head of a token file is damaged")
     raw = zlib.decompress(data[middle - index : middle]) if index else b""
     doc_ids, lengths = np.frombuffer(raw, "<i8", documents), np.frombuffer(raw, "<u4", documents, 8 * documents)
-    return total, count, doc_ids, lengths, np.frombuffer(data, "<u2", distinct, middle).astype(np.int32), end + 4
+    found = np.frombuffer(zlib.decompress(data[end - tables : end]), "<u2").astype(np.int64)
+    model = np.frombuffer(data, "<u2", distinct, middle), found[:distinct] + 1, found[distinct:].reshape(STATES, 2)
+    return total, count, doc_ids, lengths, model, end + 4
 
 
 def read_documents(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +312,7 @@ def read_file(data: bytes, wanted: slice | None = None) -> np.ndarray:
 
 
 def _blocks(data: bytes, wanted: slice | None) -> Iterator[np.ndarray]:
-    total, count, _, _, id_of, at = _head(data)
+    total, count, _, _, (order, chances, weights), at = _head(data)
     found = []
     for _ in range(count):
         if at + _BLOCK.size > len(data):
@@ -278,7 +327,9 @@ def _blocks(data: bytes, wanted: slice | None) -> Iterator[np.ndarray]:
         if zlib.crc32(coded) != crc:
             raise ValueError("a block of a token file is damaged")
     sizes = np.array([f[0] for f in found], np.int64)
-    for ids, (_, _, crc, _) in zip(decode_lanes([f[1] for f in found], sizes, id_of), found):
+    ranks = decode_lanes([f[1] for f in found], sizes, weights, Order0(chances)).T
+    for row, (n, _, crc, _) in zip(ranks, found):
+        ids = order.take(row[:n])
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError("a block of a token file decodes to other ids")
-        yield ids
+        yield ids.astype(np.int32)
