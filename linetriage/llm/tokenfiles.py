@@ -14,7 +14,7 @@ from linetriage.llm.common import parts, stored
 from linetriage.llm.parsing import dealt_by_range
 from linetriage.llm.tokens import END_ID, encode_with_end
 
-FILE_IDS = 1 << 22  # ids after which a file is closed; documents stay whole
+FILE_IDS = 1 << 23  # ids after which a file is closed; documents stay whole. Blocks of a file advance together
 NULL_ID = -(1 << 63)
 
 

@@ -94,8 +94,8 @@ class WordEncoder:
     text are those of its space-separated words in turn. Words of plain letters, digits and signs are
     cut into pieces here, many texts at once by the kinds of their bytes; a piece is encoded once and found
     again by its bytes. Samples show whether the file follows the rules known here, and all other words go
-    through the whole library. At most ``limit`` words and pieces are remembered per Python worker, besides
-    those of one stretch of texts.
+    through the whole library. At most ``limit`` of these and four times as many pieces, which take 50 to 100
+    bytes each, are remembered per Python worker, besides those of one stretch of texts.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -163,7 +163,7 @@ class WordEncoder:
 
     def stretch(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places of the pieces in ``data``, ids up to the end of each, ids); a space or line end stands first and last."""
-        if len(self.memory) + self.pieces.count > self.limit:
+        if len(self.memory) > self.limit or self.pieces.count > 4 * self.limit:
             self.forget()
         raw = np.frombuffer(data, np.uint8)
         kind, lower = self.kinds(raw)

@@ -65,6 +65,13 @@ def test_spellings_of_a_piece_are_remembered_once():
     assert not encoder.memory and encoder.pieces.count == len({"word", "(", "7", ",", ".", "-", "x"})
 
 
+def test_memory_of_pieces_is_bounded():
+    encoder = tokens.WordEncoder(WORD_TOKENIZER, limit=100)
+    for n in range(20):
+        encoder.encode([f"piece{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + n)}" for i in range(300)])
+        assert 300 <= encoder.pieces.count <= 4 * 100 + 300 and encoder.used < 10_000
+
+
 def test_pieces_are_found_by_their_bytes():
     rng = np.random.default_rng(3)
     held, table = {}, tokens.Pieces()
