@@ -11,17 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linetriage.functions.columns import hash_number, hash_text, ratio
-from linetriage.functions.sizing import small_table
 from linetriage.operators.budget import ALL
-from linetriage.operators.ordering import Cuts, find_cuts, rank_by_hash, with_buckets
+from linetriage.operators.draws import Picks, multinomial_picks as draws_of_groups, pack, tile_metrics
+from linetriage.operators.ordering import Cuts, rank_by_hash
 from linetriage.session import cut_lineage
 
-BLOCK = 64  # draws that go through the sums as one vector
 DRAWS = 1000
 
 
@@ -55,6 +52,14 @@ def multinomial_weights(
     return picked.join(numbered, [*strata, "group_number"]).select(*strata, group, "draw", "w")
 
 
+def multinomial_picks(
+    df: DataFrame, draws: int, seed: int, strata: Sequence[str] = (), group: str = "group_id", observed: bool = False
+) -> Picks:
+    """The draws of ``multinomial_weights``, packed; with ``observed`` also draw -1, in which every group counts once."""
+    numbered = cut_lineage(number_groups(df, list(strata), group))
+    return draws_of_groups(numbered, draws, seed, strata, group, observed)
+
+
 def poisson_weights(
     df: DataFrame, draws: int, seed: int, strata: Sequence[str] = (), group: str = "group_id"
 ) -> DataFrame:
@@ -70,172 +75,26 @@ def poisson_weights(
     return slots.withColumn("w", w.cast("long")).where(F.col("w") > 0)
 
 
-def draw_blocks(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weights with one row per (keys, block of ``BLOCK`` draws): ``picks`` holds the block's multiplicities."""
-    block = F.floor(F.col("draw") / F.lit(BLOCK)).cast("int")
-    place = F.pmod(F.col("draw"), F.lit(BLOCK)).cast("int")
-    sums = [F.sum(F.when(place == i, F.col("w").cast("double")).otherwise(0.0)).alias(f"_{i}") for i in range(BLOCK)]
-    packed = weights.groupBy(*keys, block.alias("block")).agg(*sums)
-    return packed.select(*keys, "block", F.array(*[f"_{i}" for i in range(BLOCK)]).alias("picks"))
-
-
-def _dense(entries: Column, length: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0)))
-
-
-def _times(n: Column, pos: Column) -> Column:
-    """Rows, then positives, of every draw of the block."""
-    return F.concat(F.transform("picks", lambda w: w * n), F.transform("picks", lambda w: w * pos))
-
-
 def _vector_sums(df: DataFrame, keys: Sequence[str], name: str, length: int) -> DataFrame:
     """Sums of vectors by place, as plain sums of columns: these are hashed, while aggregates of objects are sorted."""
     sums = df.groupBy(*keys).agg(*[F.sum(F.col(name)[i]).alias(f"_{i}") for i in range(length)])
     return sums.select(*keys, F.array(*[f"_{i}" for i in range(length)]).alias(name))
 
 
-def _schema_of(df: DataFrame, names: Sequence[str]) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join(f"`{n}` {kinds[n]}" for n in names)
-
-
-def _steps(fractions: Sequence[float], keys: Sequence[str]):
-    """Share of average precision and the cut of every draw in one bucket of one scope."""
-    def of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("score", ascending=False)
-        v, before, total = np.stack(rows["v"]), np.asarray(rows["before"].iloc[0]), np.asarray(rows["total"].iloc[0])
-        n, y = v[:, :BLOCK], v[:, BLOCK:]
-        cn, cy = before[:BLOCK] + np.cumsum(n, axis=0), before[BLOCK:] + np.cumsum(y, axis=0)
-        part = np.divide(y * cy, cn, out=np.zeros_like(cn), where=y > 0).sum(axis=0)
-        score, places = rows["score"].to_numpy(), np.flatnonzero(total[:BLOCK] > 0)
-        out = []
-        for i, f in enumerate(fractions):
-            k = np.maximum(1.0, np.ceil(f * total[:BLOCK]))
-            inside = (cn - n < k) & (k <= cn)
-            at, here = inside.argmax(axis=0), inside.any(axis=0)
-            for d in places:
-                r = at[d]
-                out.append((d, i, total[d], total[BLOCK + d], part[d], k[d]) + (
-                    (score[r], k[d] - (cn[r, d] - n[r, d]), cy[r, d] - y[r, d]) if here[d] else (None, None, None)))
-        frame = pd.DataFrame(out, columns=["place", "f", "rows", "positives", "part", "k", "edge", "room", "above"])
-        for name in keys:
-            frame[name] = rows[name].iloc[0]
-        return frame
-    return of_bucket
-
-
-def _before(scope: Sequence[str], buckets: Sequence[str], ascending: Sequence[bool]):
-    """Sums of the earlier buckets and of the scope, for each bucket: one row a bucket."""
-    def of_scope(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(buckets), ascending=list(ascending))
-        v = np.stack(rows["v"])
-        upto = np.cumsum(v, axis=0)
-        out = rows[[*scope, *buckets]].copy()
-        out["before"], out["total"] = list(upto - v), [upto[-1]] * len(rows)
-        return out
-    return of_scope
-
-
-def _tied_buckets(scope: Sequence[str], buckets: Sequence[str]):
-    """What whole buckets of tied rows give to each cut, and the buckets that hold a cut (``open``)."""
-    def of_tie(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(buckets))
-        v, room = np.stack(rows["v"]), np.asarray(rows["rooms"].iloc[0]).reshape(-1, BLOCK)
-        n, y = v[:, :BLOCK], v[:, BLOCK:]
-        upto = np.cumsum(n, axis=0)
-        before = upto - n
-        whole = np.where(upto[:, None] <= room, y[:, None], 0.0)
-        out = rows[[*scope, *buckets]].copy()
-        out["before"], out["rooms"] = list(before), list(rows["rooms"])
-        out["whole"] = list(whole.reshape(len(rows), -1))
-        out["open"] = ((before[:, None] < room) & (room < upto[:, None])).any(axis=(1, 2))
-        return out
-    return of_tie
-
-
-def _ordered_ties(scope: Sequence[str]):
-    """Positives that the cuts take from one bucket of tied rows in row order; cuts outside of the bucket take none here."""
-    def of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_id")
-        w, room = np.stack(rows["picks"]), np.asarray(rows["rooms"].iloc[0]).reshape(-1, BLOCK)
-        upto = np.asarray(rows["before"].iloc[0]) + np.cumsum(w, axis=0)
-        label, extra = rows["label"].to_numpy(dtype=float), np.zeros(room.shape)
-        for i in range(len(room)):
-            taken = np.clip(room[i] - (upto - w), 0.0, w)
-            extra[i] = np.where(room[i] < upto[-1], (taken * label[:, None]).sum(axis=0), 0.0)
-        return rows[list(scope)].head(1).assign(whole=[extra.reshape(-1)])
-    return of_bucket
-
-
 def draw_metrics(
-    df: DataFrame, weights: DataFrame, dims: Sequence[str], fractions: Sequence[float],
+    df: DataFrame, weights: DataFrame | Picks, dims: Sequence[str], fractions: Sequence[float],
     strata: Sequence[str] = (), scopes: Sequence[str] = (ALL,), cuts: Cuts | None = None,
 ) -> DataFrame:
     """Average precision and rows caught by a budget in every draw, ranked again inside the draw.
 
-    ``scopes`` is ("all",) or ("all", "segment"). ``weights`` has a row per (strata, group, draw) at most. Rows enter
-    the draws as counts per (group, score), ``BLOCK`` draws at a time as one vector, so the sums per score do not grow
-    with the rows of a group or a score. Of the rows that tie at a cut only the bucket with the cut is ordered; a row
-    with weight w counts as w copies that stand together.
+    ``scopes`` is ("all",) or ("all", "segment"). ``weights`` has a row per (strata, group, draw) at most, or comes packed
+    from ``multinomial_picks``. The rows are cut into buckets of their order; a bucket gets its rows and the weights of its
+    groups, and takes the sums of the buckets before it from counts per (bucket, group). A row with weight w counts as w
+    copies that stand together.
     """
-    dims, strata = list(dims), list(strata)
-    cuts = cuts or find_cuts(df, "score", "row_id")
     link = [*strata, "group_id"]
-    picks = cut_lineage(draw_blocks(weights, link))  # used for the score counts and again for the tied rows
-    scope = [*dims, "scope", "block"]
-    base = df.groupBy(*dims, "segment", "group_id", "score").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")
-    )
-    drawn = base.join(picks, link).withColumn("v", _times(F.col("n"), F.col("pos")))
-    drawn = with_buckets(drawn, cuts, "score")
-    per_score = [*dims, "block", "_bucket", "score"]
-    if "segment" in scopes:
-        # Segments make up the whole, whose sums come from theirs.
-        own = cut_lineage(_vector_sums(drawn, [*per_score, "segment"], "v", 2 * BLOCK).withColumnRenamed("segment", "scope"))
-        table = own
-        if ALL in scopes:
-            table = own.unionByName(cut_lineage(_vector_sums(own, per_score, "v", 2 * BLOCK).withColumn("scope", F.lit(ALL))))
-    else:
-        table = cut_lineage(_vector_sums(drawn, per_score, "v", 2 * BLOCK).withColumn("scope", F.lit(ALL)))
-    totals = _vector_sums(table, [*scope, "_bucket"], "v", 2 * BLOCK)
-    key_types = _schema_of(table, scope)
-    offsets = totals.groupBy(*scope).applyInPandas(
-        _before(scope, ["_bucket"], [False]), f"{key_types}, _bucket double, before array<double>, total array<double>")
-    parts = table.join(offsets, [*scope, "_bucket"]).groupBy(*scope, "_bucket").applyInPandas(
-        _steps(list(fractions), scope), f"{key_types}, place int, f int, rows double, positives double, part double, k double, "
-                                        "edge double, room double, above double")
-    # Draws x scopes x fractions rows, used twice below: write it once.
-    summary = cut_lineage(parts.groupBy(*scope, "place", "f").agg(
-        F.max("rows").alias("rows"), F.max("positives").alias("positives"), F.sum("part").alias("_ap"),
-        F.max("k").alias("k"), F.max("edge").alias("edge"), F.max("room").alias("room"), F.max("above").alias("above")))
-    tie = [*dims, "scope", "score", "block"]
-    rooms = summary.withColumnRenamed("edge", "score").groupBy(*tie).agg(_dense(F.map_from_entries(F.collect_list(F.struct(
-        (F.col("f") * BLOCK + F.col("place")).alias("i"), "room"))), len(fractions) * BLOCK).alias("rooms"))
-    at = small_table(summary.select(*dims, "scope", F.col("edge").alias("score"), "block").distinct())
-    tied = (
-        df.select(*dims, "segment", "row_id", "group_id", "label", "score").join(at, [*dims, "score"])
-        .where((F.col("scope") == ALL) | (F.col("scope") == F.col("segment")))
-        .join(picks, [*link, "block"])
-    )
-    spots = ["segment", "_bucket"]
-    ready = with_buckets(tied, Cuts(cuts.tie_splits, (), ()), "row_id")
-    counted = _vector_sums(ready.withColumn("v", _times(F.lit(1), F.col("label"))), [*tie, *spots], "v", 2 * BLOCK)
-    tie_types = _schema_of(counted, [*tie, *spots])
-    buckets = cut_lineage(counted.join(rooms, tie).groupBy(*tie).applyInPandas(
-        _tied_buckets(tie, spots), f"{tie_types}, before array<double>, rooms array<double>, whole array<double>, open boolean"))
-    cut = ready.join(buckets.where("open").select(*tie, *spots, "before", "rooms"), [*tie, *spots]).groupBy(*tie, *spots).applyInPandas(
-        _ordered_ties(tie), f"{_schema_of(counted, tie)}, whole array<double>")
-    taken = buckets.select(*tie, "whole").unionByName(cut)
-    taken = _vector_sums(taken, scope, "whole", len(fractions) * BLOCK)
-    extra = taken.select(*scope, F.posexplode("whole").alias("i", "_extra")).select(
-        *scope, F.pmod("i", F.lit(BLOCK)).alias("place"), F.floor(F.col("i") / BLOCK).cast("int").alias("f"), "_extra")
-    fraction = F.element_at(F.array(*[F.lit(float(f)) for f in fractions]), F.col("f") + 1)
-    whole = {c: F.col(c).cast("long") for c in ("rows", "positives", "k")}
-    return summary.join(extra, [*scope, "place", "f"], "left").select(
-        *dims, (F.col("block") * BLOCK + F.col("place")).alias("draw"), "scope", fraction.alias("fraction"),
-        *[v.alias(c) for c, v in whole.items()], ratio(F.col("_ap"), F.col("positives")).alias("average_precision"),
-        (F.col("above") + F.coalesce(F.col("_extra"), F.lit(0.0))).cast("long").alias("found"),
-    ).withColumn("recall", ratio(F.col("found"), F.col("positives")))
+    picks = weights if isinstance(weights, Picks) else pack(weights, link)
+    return tile_metrics(df, picks, dims, fractions, link, scopes, cuts)
 
 
 def interval(df: DataFrame, keys: Sequence[str], value: Column, draws: int, *more: Column) -> DataFrame:
@@ -252,7 +111,7 @@ def bootstrap_quality(
     df: DataFrame, draws: int = DRAWS, seed: int = 0, dims: Sequence[str] = (), fractions: Sequence[float] = (0.1, 0.2)
 ) -> DataFrame:
     """Group bootstrap intervals of average precision and budget recall."""
-    weights = multinomial_weights(df, draws, seed)
+    weights = multinomial_picks(df, draws, seed)
     per_draw = draw_metrics(df, weights, dims, fractions)
     metrics = F.array(
         F.struct(F.lit("average_precision").alias("metric"), F.col("average_precision").alias("v"),
@@ -290,11 +149,12 @@ def paired_policy_bootstrap(
     """
     dims = list(dims)
     pair = df.where(F.col("model").isin(baseline, candidate))
-    if weights is None:
-        weights = multinomial_weights(pair, draws, seed, ["segment"])
     # The observed table is one more draw, number -1, in which every group counts once.
-    once = pair.select("segment", "group_id").distinct().withColumns({"draw": F.lit(-1), "w": F.lit(1).cast("long")})
-    both = weights.select("segment", "group_id", "draw", "w").unionByName(once)
+    if weights is None:
+        both = multinomial_picks(pair, draws, seed, ["segment"], observed=True)
+    else:
+        once = pair.select("segment", "group_id").distinct().withColumns({"draw": F.lit(-1), "w": F.lit(1).cast("long")})
+        both = weights.select("segment", "group_id", "draw", "w").unionByName(once)
     per_draw = draw_metrics(pair, both, [*dims, "model"], [fraction], ["segment"], (ALL, "segment"))
     keys = [*dims, "segment", "policy", "metric"]
     deltas = _policy_values(per_draw, [*dims, "model", "draw"]).groupBy("draw", *keys).agg(

@@ -9,6 +9,7 @@ from linetriage.plans import views
 from linetriage.plans.registry import query
 
 DRAWS = 50
+PAIRED_DRAWS = resample.DRAWS
 SEED = 9
 
 
@@ -16,7 +17,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
 
 
-def _weights_sql(source: str, strata: str = "") -> str:
+def _weights_sql(source: str, strata: str = "", draws: int = DRAWS) -> str:
     """Multinomial draws of the groups of ``source``, within segments when ``strata`` is 'segment'."""
     part = f"PARTITION BY {strata} " if strata else ""
     lead = f"{strata}, " if strata else ""
@@ -25,7 +26,7 @@ def _weights_sql(source: str, strata: str = "") -> str:
     return f"""numbered AS (SELECT {lead}group_id, row_number() OVER ({part}ORDER BY md5('boot|' || group_id), group_id) - 1 AS i,
     count(*) OVER ({part.strip()}) AS g FROM (SELECT DISTINCT {lead}group_id FROM {source})),
 w0 AS (SELECT {lead}d.draw, CAST('0x' || substr(md5('{SEED}|' || {text}(d.draw // 2) || '|' || i), 1 + 16 * (d.draw % 2), 15) AS BIGINT) % g AS i, count(*) AS w
-  FROM numbered CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw) d GROUP BY ALL),
+  FROM numbered CROSS JOIN (SELECT unnest(range({draws})) AS draw) d GROUP BY ALL),
 weights AS (SELECT {'n.segment, ' if strata else ''}n.group_id, draw, w FROM w0 JOIN numbered n ON w0.i = n.i{on})"""
 
 
@@ -68,18 +69,18 @@ vals AS (
 delta AS (SELECT seed, draw, scope, policy, metric, max(v) FILTER (model = 'mixed') - max(v) FILTER (model = 'ratio') AS d FROM vals GROUP BY ALL)"""
 
 
-@query("A27 X1 A8", f"""WITH {views.OOF}, pair AS (SELECT * FROM oof), {_weights_sql('pair', 'segment')},
+@query("A27 X1 A8", f"""WITH {views.OOF}, pair AS (SELECT * FROM oof), {_weights_sql('pair', 'segment', PAIRED_DRAWS)},
 all_weights AS (SELECT segment, group_id, draw, w FROM weights UNION ALL
   SELECT DISTINCT segment, group_id, -1, 1 FROM pair),
 drawn AS (SELECT o.*, draw, w, unnest(['all', o.segment]) AS scope FROM pair o JOIN all_weights a ON a.segment = o.segment AND a.group_id = o.group_id),
 {PAIRED.format(ap=AP_OF_DRAWS.format(keys='seed, model, draw, scope'))}
 SELECT seed, scope AS segment, policy, metric, round(quantile_cont(d, 0.025) FILTER (draw >= 0), 6) AS lower95,
   round(quantile_cont(d, 0.975) FILTER (draw >= 0), 6) AS upper95, count(d) FILTER (draw >= 0) AS valid_repeats,
-  {DRAWS} - count(d) FILTER (draw >= 0) AS invalid_repeats, {DRAWS}::BIGINT AS requested_repeats,
+  {PAIRED_DRAWS} - count(d) FILTER (draw >= 0) AS invalid_repeats, {PAIRED_DRAWS}::BIGINT AS requested_repeats,
   round(max(d) FILTER (draw = -1), 6) AS difference
 FROM delta GROUP BY seed, scope, policy, metric""")
 def boot_paired(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(resample.paired_policy_bootstrap(views.oof(spark, sf), "ratio", "mixed", DRAWS, SEED, dims=["seed"]))
+    return _rounded(resample.paired_policy_bootstrap(views.oof(spark, sf), "ratio", "mixed", PAIRED_DRAWS, SEED, dims=["seed"]))
 
 
 @query("A28", f"""WITH {views.OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, row_id) AS i,
