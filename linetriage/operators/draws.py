@@ -7,12 +7,14 @@ one table of scores. It gets its rows and the weights of its groups; what stands
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linetriage.functions.columns import ratio
@@ -24,10 +26,11 @@ BLOCK = 64  # draws whose weights are numbers at a time; a multiple of 8
 RANGE = 4096  # groups that are counted together
 UNIT = 256  # draws that are hashed together for a range of slots; even
 TILE_ROWS = 250_000
-PART_ROWS = 600_000  # counts of (tile, group) that are summed together
 SPAN = 256  # rows between two running sums: with weights below 2 ** 16 their sums are exact in 32 bits
 CHUNK = 8192
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 
 @dataclass(frozen=True)
 class Picks:
@@ -161,34 +164,24 @@ def _joined(frames: Sequence[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True)
 
 
-def _part_sums(keys: Sequence[str], count: int):
-    """Rows and positives of every draw by tile and segment, of the groups of one part."""
-    keys = list(keys)
+def _tile_sums(tile: Sequence[str], count: int):
+    """Rows and positives of every draw by segment of a tile."""
+    tile = list(tile)
 
-    def of_part(counts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    def of_tile(counts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        counts = counts.sort_values("segment")
         at = pd.Index(table["link"]).get_indexer(counts["link"])
         counts, at = counts[at >= 0], at[at >= 0]
         if not len(counts):
-            return pd.DataFrame(columns=[*keys, "block", "v"])
-        which = counts.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
-        order = np.argsort(which, kind="stable")
-        which, at = which[order], at[order]
-        n, pos = (counts[c].to_numpy(dtype=float)[order] for c in ("n", "pos"))
-        heads = counts.iloc[order[np.flatnonzero(np.diff(which, prepend=-1))]][keys]
+            return pd.DataFrame(columns=[*tile, "segment", "block", "v"])
+        which, names = pd.factorize(counts["segment"], use_na_sentinel=False)
+        n, pos = (counts[c].to_numpy(dtype=float) for c in ("n", "pos"))
         planes, out = planes_of(table["picks"].tolist(), count), []
         for block, first, size in _blocks(count):
             w = block_weights(planes, first, size)
-            v = np.hstack([_sums(w, at, which, len(heads), n), _sums(w, at, which, len(heads), pos)])
-            out.append(heads.assign(block=block, v=[r.tobytes() for r in v]))
-        return _joined(out)
-    return of_part
-
-
-def _added(keys: Sequence[str]):
-    """Sums over the parts, for the rows of one tile."""
-    def of_tile(rows: pd.DataFrame) -> pd.DataFrame:
-        groups = rows.groupby([*keys, "block"], dropna=False, sort=False)["v"]
-        return groups.agg(lambda vs: np.sum([np.frombuffer(v) for v in vs], axis=0).tobytes()).reset_index()
+            v = np.hstack([_sums(w, at, which, len(names), x) for x in (n, pos)])
+            out += [(s, block, r.tobytes()) for s, r in zip(names, v)]
+        return pd.DataFrame(out, columns=["segment", "block", "v"]).assign(**{c: counts[c].iloc[0] for c in tile})
     return of_tile
 
 
@@ -267,8 +260,9 @@ def _of_scope(part: _Scope, w: np.ndarray, offsets: np.ndarray, fractions: Seque
 def _tile(dims: Sequence[str], fractions: Sequence[float], scopes: Sequence[str], heavy: Sequence[int], count: int):
     dims = list(dims)
 
-    def of_tile(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        table, offsets = side[side["scope"].isna()], side[side["scope"].notna()]
+    def of_tile(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        offsets = rows[rows["scope"].notna()]
+        rows = rows[rows["scope"].isna()]
         at = pd.Index(table["link"]).get_indexer(rows["link"])
         rows, at = rows[at >= 0], at[at >= 0]
         if not len(rows):
@@ -287,7 +281,7 @@ def _tile(dims: Sequence[str], fractions: Sequence[float], scopes: Sequence[str]
                 parts[name] = _scope(score[own], at[own], label[own])
         planes = planes_of(table["picks"].tolist(), count)
         kind = np.float32 if planes.shape[1] <= 16 else np.float64
-        given, out = {(s, b): np.frombuffer(v) for s, b, v in zip(offsets["scope"], offsets["block"], offsets["picks"])}, []
+        given, out = {(s, b): np.frombuffer(v) for s, b, v in zip(offsets["scope"], offsets["block"], offsets["v"])}, []
         for block, first, size in _blocks(count):
             w = block_weights(planes, first, size, kind)
             for name, part in parts.items():
@@ -331,18 +325,15 @@ def tile_metrics(
     types = dict(ready.dtypes)
     kinds = lambda names: "".join(f"`{c}` {types[c]}, " for c in names)
     counts = ready.groupBy(*tile, "segment", "link").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    # Sums per tile: the groups are dealt over parts, then parts are added up.
-    parts = max(bucket_count(spark), -(-picks.table.count() // RANGE), -(-size // PART_ROWS))
-    part = F.pmod(F.hash("link"), F.lit(parts)).alias("part")
-    sums = counts.select("*", part).groupBy("part").cogroup(picks.table.select("*", part).groupBy("part")).applyInPandas(
-        _part_sums([*tile, "segment"], count), f"{kinds([*tile, 'segment'])}block int, v binary")
-    sums = sums.groupBy(*tile).applyInPandas(_added([*tile, "segment"]), f"{kinds([*tile, 'segment'])}block int, v binary")
+    # The weights of a tile's groups are moved once and read twice: for its sums, then for its rows.
+    weights = counts.select(*tile, "link").distinct().join(picks.table, "link").select(
+        *[F.col(c).alias(c) for c in [*tile, "link", "picks"]]).groupBy(*tile)
+    sums = counts.groupBy(*tile).cogroup(weights).applyInPandas(
+        _tile_sums(tile, count), f"{kinds([*tile, 'segment'])}block int, v binary")
     offsets = sums.groupBy(*dims, "block").applyInPandas(
         _offsets(dims, scopes), f"{kinds(tile)}scope string, block int, v binary")
-    weights = counts.select(*tile, "link").distinct().join(picks.table, "link").select(
-        *[F.col(c).alias(c) for c in [*tile, "link"]], F.lit(None).cast("string").alias("scope"), F.lit(0).alias("block"), "picks")
-    side = weights.unionByName(offsets.select(*tile, F.lit(None).cast("string").alias("link"), "scope", "block", F.col("v").alias("picks")))
-    done = ready.groupBy(*tile).cogroup(side.groupBy(*tile)).applyInPandas(
+    both = ready.unionByName(offsets, allowMissingColumns=True)
+    done = both.groupBy(*tile).cogroup(weights).applyInPandas(
         _tile(dims, fractions, scopes, cuts.heavy, count), f"{kinds(dims)}scope string, block int, v binary")
     wide = done.groupBy(*dims, "scope", "block").applyInPandas(
         _whole(dims, fractions, picks.first), f"{kinds(dims)}draw long, scope string, fraction double, rows double, positives double, "
